@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqlgauge.functions.similarity import (
+    comparable,
     fuzzy_match,
     may_match,
     value_initial,
@@ -241,14 +242,18 @@ def fuzzy_pairs(
         "sql_idx",
         "db_id",
         "question",
+        comparable(F.col("question")).alias("asked"),
         word_starts(F.col("question")).alias("starts"),
         F.explode(span_initials(F.col("question"))).alias("initial"),
     )
     stored = candidates.where("is_text").select(
-        *COLUMN_KEY, "value", value_initial(F.col("value")).alias("initial")
+        *COLUMN_KEY,
+        "value",
+        value_initial(F.col("value")).alias("initial"),
+        comparable(F.col("value")).alias("stored"),
     )
     pairs = stored.join(asked, ["db_id", "initial"]).where(
-        may_match(F.col("question"), F.col("starts"), F.col("value"), theta)
+        may_match(F.col("asked"), F.col("starts"), F.col("stored"), theta)
     )
     return _keep_matches(pairs, theta)
 
@@ -291,11 +296,19 @@ def link_values(
     scored_in_prefix = scores.join(prefix.select(*COLUMN_KEY, "value", "place"), [*COLUMN_KEY, "value"])
 
     # Fuzzy matches among the candidates that have a score ...
-    texts = values.where("is_text").select(*COLUMN_KEY, "value", "is_text")
+    texts = values.where("is_text").select(
+        *COLUMN_KEY, "value", comparable(F.col("value")).alias("stored")
+    )
+    asked = questions.select(
+        "sql_idx",
+        "question",
+        comparable(F.col("question")).alias("asked"),
+        word_starts(F.col("question")).alias("starts"),
+    )
     scored_matches = _keep_matches(
         ranked.join(texts, [*COLUMN_KEY, "value"])
-        .join(questions.select("sql_idx", "question"), "sql_idx")
-        .where(may_match(F.col("question"), word_starts(F.col("question")), F.col("value"), theta)),
+        .join(asked, "sql_idx")
+        .where(may_match(F.col("asked"), F.col("starts"), F.col("stored"), theta)),
         theta,
     ).join(ranked, [*PAIR_KEY, "value"])
     in_reach = (F.col("score") > 0) | (F.col("n_values") - F.col("n_low") + F.col("rank") <= k)

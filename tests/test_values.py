@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sqlgauge.functions.similarity import (
+    comparable,
     lcs_length,
     lcs_ratio,
     match_value,
@@ -184,7 +185,9 @@ def test_filter_keeps_every_match(spark):
     pairs += [(long, long), ("see " + long, long[:-2]), ("It's NOT O'Neil's", "O'Neil")]
     df = spark.createDataFrame(pairs, "q string, v string")
     rows = df.select(
-        "q", "v", may_match(F.col("q"), word_starts(F.col("q")), F.col("v")).alias("may")
+        "q", "v", may_match(
+            comparable(F.col("q")), word_starts(F.col("q")), comparable(F.col("v"))
+        ).alias("may")
     ).collect()
     dropped = sum(not r.may for r in rows)
     assert dropped > len(rows) / 4
