@@ -1,15 +1,16 @@
 """Stored values of a database and their retrieval for a question.
 
-A long frame ``(db_id, table_name, column_name, value)`` replaces one index per
-column. BM25 is a join of question words with postings; the fuzzy match runs on
-the few pairs that can match at all.
-
-How the work is spread: distinct values are hash-partitioned by column and
-value, and word counts and scores are grouped by supersets of these keys, so a
-score needs no second shuffle while the question side is small enough to be
-broadcast (Spark checks its size). Beyond that size the postings of one word
-are split over ``SALTS`` tasks. Ranking keeps at most k rows per question and
-column in each task before anything is shuffled.
+The distinct values of all columns form one long frame. Stored, each value has
+its ``place`` in the order of its column: a small number that stands for the
+text in every join, breaks ties in value order, and marks the first values.
+BM25 is a join of question words with postings; the fuzzy match runs on the few
+pairs that can match at all.
+
+How the work is spread: words are counted and scores are summed where the
+values lie, since both are grouped by supersets of (column, place). The question
+side is broadcast only if its measured size is small; beyond, the postings of a
+word are split over several tasks (``operators.joins``). Ranking keeps at most k
+rows per question and column in each task before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from sqlgauge.functions.similarity import (
     value_initial,
     word_starts,
 )
-from sqlgauge.functions.text import span_initials
+from sqlgauge.functions.text import span_initials, strip
 from sqlgauge.functions.wordlists import (
     BM25_B,
     BM25_CANDIDATES,
@@ -35,10 +36,12 @@ from sqlgauge.functions.wordlists import (
     MATCH_THRESHOLD,
     VALUES_KEPT,
 )
+from sqlgauge.operators.joins import spread_join
+from sqlgauge.session import materialise
 
 COLUMN_KEY = ["db_id", "table_name", "column_name"]
+VALUE_KEY = [*COLUMN_KEY, "place"]
 PAIR_KEY = ["sql_idx", *COLUMN_KEY]
-SALTS = 8
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 
 
@@ -102,6 +105,39 @@ def picklists(values: DataFrame, k: int = 3) -> DataFrame:
     )
 
 
+def store_values(values: DataFrame) -> DataFrame:
+    """Write the values to the shared folder, numbered in value order per column.
+
+    A range-partitioned sort spreads long columns over tasks. Row ids then grow
+    in sorted order, and a column's place is its id less the first id of its
+    stretch, plus the lengths of its earlier stretches (one row per task and
+    column).
+    """
+    order = [*COLUMN_KEY, "value"]
+    ordered = values.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_rows = materialise(
+        ordered.select(
+            *order,
+            "is_text",
+            F.spark_partition_id().alias("part"),
+            F.monotonically_increasing_id().alias("id"),
+        ),
+        "sorted-values",
+    )
+    before = W.partitionBy(*COLUMN_KEY).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    stretches = (
+        sorted_rows.groupBy(*COLUMN_KEY, "part")
+        .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .drop("n")
+    )
+    place = F.col("id") - F.col("first_id") + 1 + F.col("before")
+    # One row per task and column: the number of tasks bounds the broadcast.
+    return sorted_rows.join(F.broadcast(stretches), [*COLUMN_KEY, "part"]).select(
+        *COLUMN_KEY, place.alias("place"), "value", "is_text"
+    )
+
+
 # --- BM25 ------------------------------------------------------------------
 
 
@@ -109,44 +145,44 @@ def _words(text: Column) -> Column:
     return F.split(text, " ")
 
 
-def postings(values: DataFrame) -> DataFrame:
-    """(column, value, length, token, tf); stays partitioned by column and value."""
+def postings(stored: DataFrame) -> DataFrame:
+    """(column, place, length, token, tf), partitioned by column and place.
+
+    The one shuffle moves the words of each value together, without its text.
+    """
     return (
-        values.select(
-            *COLUMN_KEY,
-            "value",
-            F.size(_words(F.col("value"))).alias("length"),
-            F.explode(_words(F.col("value"))).alias("token"),
-        )
-        .groupBy(*COLUMN_KEY, "value", "length", "token")
+        stored.select(*VALUE_KEY, _words(F.col("value")).alias("words"))
+        .repartition(*VALUE_KEY)
+        .select(*VALUE_KEY, F.size("words").alias("length"), F.explode("words").alias("token"))
+        .groupBy(*VALUE_KEY, "length", "token")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
-def column_stats(values: DataFrame) -> DataFrame:
+def column_stats(stored: DataFrame) -> DataFrame:
     """(column, n_values, mean_length): one row per column."""
-    return values.groupBy(*COLUMN_KEY).agg(
+    return stored.groupBy(*COLUMN_KEY).agg(
         F.count(F.lit(1)).alias("n_values"),
         F.avg(F.size(_words(F.col("value")))).alias("mean_length"),
     )
 
 
-def token_weights(values: DataFrame) -> DataFrame:
+def token_weights(stored: DataFrame, stats: DataFrame) -> DataFrame:
     """(column, token, idf, mean_length): Okapi idf of every word of every column.
 
     A negative idf is replaced by a quarter of the mean idf of the column.
+    Frames of one row per column are broadcast; the schema bounds their size.
     """
-    stats = column_stats(values)
     counts = (
-        values.select(*COLUMN_KEY, F.explode(F.array_distinct(_words(F.col("value")))).alias("token"))
+        stored.select(*COLUMN_KEY, F.explode(F.array_distinct(_words(F.col("value")))).alias("token"))
         .groupBy(*COLUMN_KEY, "token")
         .agg(F.count(F.lit(1)).alias("df"))
     )
-    raw = counts.join(stats, COLUMN_KEY).withColumn(
+    raw = counts.join(F.broadcast(stats), COLUMN_KEY).withColumn(
         "idf", F.ln(F.col("n_values") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     )
     floors = raw.groupBy(*COLUMN_KEY).agg((F.avg("idf") * BM25_EPSILON).alias("floor"))
-    return raw.join(floors, COLUMN_KEY).select(
+    return raw.join(F.broadcast(floors), COLUMN_KEY).select(
         *COLUMN_KEY,
         "token",
         F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"),
@@ -154,42 +190,61 @@ def token_weights(values: DataFrame) -> DataFrame:
     )
 
 
-def bm25_scores(questions: DataFrame, values: DataFrame) -> DataFrame:
-    """(sql_idx, column, value, score) of every value sharing a word with a question.
+def question_weights(questions: DataFrame, stored: DataFrame, stats: DataFrame) -> DataFrame:
+    """(sql_idx, column, token, weight, mean_length) of the words of each question.
 
-    All other values score 0. ``questions`` is (sql_idx, db_id, question). The
-    score is rounded to nine places so that it does not depend on the order of
-    summation.
+    Written to the shared folder: small, and read by every scoring step. The
+    distinct words meet the vocabulary first, so that a word asked by many
+    questions is one row in that join.
     """
     asked = (
         questions.select("sql_idx", "db_id", F.explode(_words(F.col("question"))).alias("token"))
         .groupBy("sql_idx", "db_id", "token")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    wanted = (
-        asked.join(token_weights(values), ["db_id", "token"])
-        .select(*PAIR_KEY, "token", (F.col("qtf") * F.col("idf")).alias("weight"), "mean_length")
-        .withColumn("salt", F.explode(salts))
+    words = asked.select("db_id", "token").distinct()
+    found = materialise(
+        token_weights(stored, stats).join(words, ["db_id", "token"], "left_semi"), "vocabulary"
     )
-    salted = postings(values).withColumn(
-        "salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int")
+    return materialise(
+        spread_join(asked, found, ["db_id", "token"], "sql_idx").select(
+            *PAIR_KEY, "token", (F.col("qtf") * F.col("idf")).alias("weight"), "mean_length"
+        ),
+        "weights",
     )
+
+
+def score_values(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """(sql_idx, column, place, score): weights summed over the words of each value.
+
+    The score is rounded to nine places, so that it does not depend on the order
+    of summation.
+    """
     spread = F.col("tf") + BM25_K1 * (
         1 - BM25_B + BM25_B * F.col("length") / F.col("mean_length")
     )
     return (
-        salted.join(wanted, [*COLUMN_KEY, "token", "salt"])
+        spread_join(postings(stored), wanted, [*COLUMN_KEY, "token"], "place")
         .withColumn("part", F.col("weight") * F.col("tf") * (BM25_K1 + 1) / spread)
-        .groupBy(*COLUMN_KEY, "value", "sql_idx")
+        .groupBy(*VALUE_KEY, "sql_idx")
         .agg(F.round(F.sum("part"), 9).alias("score"))
-        .select(*PAIR_KEY, "value", "score")
+        .select(*PAIR_KEY, "place", "score")
     )
 
 
+def bm25_scores(questions: DataFrame, stored: DataFrame) -> DataFrame:
+    """(sql_idx, column, place, score) of every value sharing a word with a question.
+
+    All other values score 0. ``questions`` is (sql_idx, db_id, question),
+    ``stored`` comes from :func:`store_values`.
+    """
+    wanted = question_weights(questions, stored, column_stats(stored))
+    return score_values(wanted, stored)
+
+
 def _best_first(*extra_keys: str) -> W:
     keys = [*PAIR_KEY, *extra_keys]
-    return W.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("value"))
+    return W.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("place"))
 
 
 def bm25_topk(scores: DataFrame, k: int) -> DataFrame:
@@ -197,43 +252,18 @@ def bm25_topk(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(_best_first())).where(F.col("rank") <= k)
 
 
-# --- value linking ---------------------------------------------------------
-
+def with_text(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Add the ``value`` of (column, place)."""
+    return rows.join(stored.select(*VALUE_KEY, "value"), VALUE_KEY)
 
-def _zero_candidates(
-    values: DataFrame, scores: DataFrame, stats: DataFrame, k: int
-) -> tuple[DataFrame, DataFrame]:
-    """The values, in value order, that can follow the positively scored ones.
 
-    Unscored values are candidates in value order, so the first ``k`` of a
-    column are enough; where scores can be negative (``n_low`` of them), as
-    many more. Returns (prefix, column bounds).
-    """
-    lows = (
-        scores.where(F.col("score") < 0)
-        .groupBy(*PAIR_KEY)
-        .agg(F.count(F.lit(1)).alias("n_low"))
-        .groupBy(*COLUMN_KEY)
-        .agg(F.max("n_low").alias("most_low"))
-    )
-    prefix = first_values(values, k)
-    longer = lows.join(stats.where(F.col("n_values") > k), COLUMN_KEY).select(
-        *COLUMN_KEY, "most_low"
-    )
-    by_value = W.partitionBy(*COLUMN_KEY).orderBy("value")
-    extra = (
-        values.join(longer, COLUMN_KEY)
-        .withColumn("place", F.row_number().over(by_value))
-        .where((F.col("place") > k) & (F.col("place") <= k + F.col("most_low")))
-        .drop("most_low")
-    )
-    return prefix.unionByName(extra), lows
+# --- value linking ---------------------------------------------------------
 
 
 def fuzzy_pairs(
     questions: DataFrame, candidates: DataFrame, theta: float = MATCH_THRESHOLD
 ) -> DataFrame:
-    """Fuzzy matches between questions and candidate values of their database.
+    """Fuzzy matches between questions and stored candidates of their database.
 
     A match starts with the same character as a word of the question, so the
     join is an equi-join on (db_id, character), not a product.
@@ -246,30 +276,31 @@ def fuzzy_pairs(
         word_starts(F.col("question")).alias("starts"),
         F.explode(span_initials(F.col("question"))).alias("initial"),
     )
-    stored = candidates.where("is_text").select(
-        *COLUMN_KEY,
+    texts = candidates.where("is_text").select(
+        *VALUE_KEY,
         "value",
         value_initial(F.col("value")).alias("initial"),
         comparable(F.col("value")).alias("stored"),
     )
-    pairs = stored.join(asked, ["db_id", "initial"]).where(
+    pairs = spread_join(asked, texts, ["db_id", "initial"], "sql_idx").where(
         may_match(F.col("asked"), F.col("starts"), F.col("stored"), theta)
     )
     return _keep_matches(pairs, theta)
 
 
-def _keep_matches(pairs: DataFrame, theta: float) -> DataFrame:
+def _keep_matches(pairs: DataFrame, theta: float, *extra: str) -> DataFrame:
+    kept = [*PAIR_KEY, "place", "value", *extra]
     return (
-        pairs.select(*PAIR_KEY, "question", "value")
+        pairs.select(*kept, "question")
         .withColumn("m", fuzzy_match(F.col("question"), F.col("value"), theta))
         .where(F.col("m.match_text").isNotNull())
-        .select(*PAIR_KEY, "value", "m.*")
+        .select(*kept, "m.*")
     )
 
 
 def link_values(
     questions: DataFrame,
-    values: DataFrame,
+    stored: DataFrame,
     k: int = BM25_CANDIDATES,
     keep: int = VALUES_KEPT,
     theta: float = MATCH_THRESHOLD,
@@ -278,26 +309,88 @@ def link_values(
 
     The ``k`` best values by BM25 are the candidates. Fuzzy matches come first,
     best score first; the best BM25 values fill the remaining places. Numeric
-    columns are only filled.
+    columns are only filled. Frames that several steps read are written to the
+    shared folder.
     """
-    stats = column_stats(values)
-    scores = bm25_scores(questions, values).where(F.col("score") != 0)
-    sign = F.signum("score").cast("int")
-    ranked = (
-        scores.withColumn("sign", sign)
+    questions = materialise(questions.select("sql_idx", "db_id", "question"), "questions")
+    stats = materialise(column_stats(stored), "stats")
+    wanted = question_weights(questions, stored, stats)
+    scores = score_values(wanted, stored).where(F.col("score") != 0)
+    ranked = materialise(
+        scores.withColumn("sign", F.signum("score").cast("int"))
         .withColumn("rank", F.row_number().over(_best_first("sign")))
-        .where(F.col("rank") <= k)
+        .where(F.col("rank") <= k),
+        "ranked",
+    )
+    # Negative scores occur only in columns whose mean idf is negative.
+    low_columns = wanted.where(F.col("weight") < 0).select(*COLUMN_KEY).distinct()
+    lows = materialise(
+        score_values(wanted, stored.join(F.broadcast(low_columns), COLUMN_KEY, "left_semi"))
+        .where(F.col("score") < 0)
+        .groupBy(*PAIR_KEY)
+        .agg(F.count(F.lit(1)).alias("n_low")),
+        "lows",
+    )
+    # Values without a score are candidates in value order: the first k of a
+    # column are enough, and where scores can be negative, as many more.
+    most_low = lows.groupBy(*COLUMN_KEY).agg(F.max("n_low").alias("most_low"))
+    prefix = materialise(
+        stored.join(F.broadcast(most_low), COLUMN_KEY, "left")
+        .where(F.col("place") <= k + F.coalesce(F.col("most_low"), F.lit(0)))
+        .drop("most_low"),
+        "prefix",
+    )
+    # The scored places at the head of each column, per question.
+    taken = materialise(
+        score_values(wanted, prefix)
+        .where(F.col("score") != 0)
+        .groupBy(*PAIR_KEY)
+        .agg(F.array_sort(F.collect_list("place")).alias("taken")),
+        "taken",
     )
-    counts = scores.groupBy(*PAIR_KEY).agg(
-        F.count_if(F.col("score") > 0).alias("n_high"),
-        F.count_if(F.col("score") < 0).alias("n_low"),
+    matches = _scored_matches(questions, stored, ranked, lows, stats, k, theta).unionByName(
+        _unscored_matches(questions, prefix, ranked, taken, stats, k, theta)
     )
-    prefix, lows = _zero_candidates(values, scores, stats, k)
-    scored_in_prefix = scores.join(prefix.select(*COLUMN_KEY, "value", "place"), [*COLUMN_KEY, "value"])
+    best = _best_matches(matches, keep)
+    fill = _fill_values(questions, stored, stats, ranked, taken, 2 * keep)
+    chosen = F.coalesce(F.col("chosen"), F.array().cast("array<string>"))
+    rest = F.filter(F.col("fill"), lambda v: ~F.array_contains(chosen, v))
+    return fill.join(best, PAIR_KEY, "left").select(
+        *PAIR_KEY,
+        F.array_distinct(F.slice(F.concat(chosen, rest), 1, keep)).alias("matches"),
+    )
+
+
+def _scored_matches(
+    questions: DataFrame,
+    stored: DataFrame,
+    ranked: DataFrame,
+    lows: DataFrame,
+    stats: DataFrame,
+    k: int,
+    theta: float,
+) -> DataFrame:
+    """Fuzzy matches among the scored candidates.
 
-    # Fuzzy matches among the candidates that have a score ...
-    texts = values.where("is_text").select(
-        *COLUMN_KEY, "value", comparable(F.col("value")).alias("stored")
+    Positive scores come first; negative ones come after all other values, so
+    that their rank counts from the end of the column.
+    """
+    in_reach = (F.col("sign") > 0) | (
+        F.col("n_values") - F.coalesce(F.col("n_low"), F.lit(0)) + F.col("rank") <= k
+    )
+    candidates = (
+        ranked.join(lows, PAIR_KEY, "left")
+        .join(F.broadcast(stats), COLUMN_KEY)
+        .where(in_reach)
+        .select(*PAIR_KEY, "place", "score")
+    )
+    # Each needed text is fetched once; a value may be a candidate of many questions.
+    needed = candidates.select(*VALUE_KEY).distinct()
+    texts = materialise(
+        stored.where("is_text")
+        .join(needed, VALUE_KEY, "left_semi")
+        .select(*VALUE_KEY, "value", comparable(F.col("value")).alias("stored")),
+        "texts",
     )
     asked = questions.select(
         "sql_idx",
@@ -305,54 +398,45 @@ def link_values(
         comparable(F.col("question")).alias("asked"),
         word_starts(F.col("question")).alias("starts"),
     )
-    scored_matches = _keep_matches(
-        ranked.join(texts, [*COLUMN_KEY, "value"])
+    pairs = (
+        spread_join(candidates, texts, VALUE_KEY, "sql_idx")
         .join(asked, "sql_idx")
-        .where(may_match(F.col("asked"), F.col("starts"), F.col("stored"), theta)),
-        theta,
-    ).join(ranked, [*PAIR_KEY, "value"])
-    in_reach = (F.col("score") > 0) | (F.col("n_values") - F.col("n_low") + F.col("rank") <= k)
-    scored_matches = (
-        scored_matches.join(counts, PAIR_KEY)
-        .join(stats.drop("mean_length"), COLUMN_KEY)
-        .where(in_reach)
-        .drop("sign", "rank", "n_high", "n_low", "n_values")
+        .where(may_match(F.col("asked"), F.col("starts"), F.col("stored"), theta))
     )
-    # ... and among those without one, which have to lie within the first k as well.
-    before = (
+    return _keep_matches(pairs, theta, "score")
+
+
+def _unscored_matches(
+    questions: DataFrame,
+    prefix: DataFrame,
+    ranked: DataFrame,
+    taken: DataFrame,
+    stats: DataFrame,
+    k: int,
+    theta: float,
+) -> DataFrame:
+    """Fuzzy matches among the candidates that share no word with the question.
+
+    Their rank is the number of positive scores, plus the place in the column,
+    less the scored values before it.
+    """
+    high = (
+        ranked.where(F.col("sign") > 0).groupBy(*PAIR_KEY).agg(F.count(F.lit(1)).alias("n_high"))
+    )
+    scored = F.coalesce(F.col("taken"), F.array().cast("array<bigint>"))
+    earlier = F.size(F.filter(scored, lambda p: p < F.col("place")))
+    rank = F.coalesce(F.col("n_high"), F.lit(0)) + F.col("place") - earlier
+    return (
         fuzzy_pairs(questions, prefix, theta)
-        .join(scored_in_prefix.select(*PAIR_KEY, "value"), [*PAIR_KEY, "value"], "left_anti")
-        .join(prefix.select(*COLUMN_KEY, "value", "place"), [*COLUMN_KEY, "value"])
-        .join(stats.drop("mean_length"), COLUMN_KEY)
-    )
-    earlier = (
-        before.where(F.col("n_values") > k)
-        .select(*PAIR_KEY, "value", "place")
-        .join(
-            scored_in_prefix.select(*PAIR_KEY, F.col("place").alias("scored_place")), PAIR_KEY
-        )
-        .where(F.col("scored_place") < F.col("place"))
-        .groupBy(*PAIR_KEY, "value")
-        .agg(F.count(F.lit(1)).alias("n_earlier"))
-    )
-    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
-    unscored_matches = (
-        before.join(earlier, [*PAIR_KEY, "value"], "left")
-        .join(counts, PAIR_KEY, "left")
-        .where(
-            (F.col("n_values") <= k)
-            | (zero("n_high") + F.col("place") - zero("n_earlier") <= k)
+        .join(F.broadcast(stats), COLUMN_KEY)
+        .join(high, PAIR_KEY, "left")
+        .join(taken, PAIR_KEY, "left")
+        .where(~F.array_contains(scored, F.col("place")))
+        .where((F.col("n_values") <= k) | (rank <= k))
+        .select(
+            *PAIR_KEY, "place", "value", F.lit(0.0).alias("score"), "match_text", "source_text",
+            "match_score", "match_size",
         )
-        .withColumn("score", F.lit(0.0))
-        .drop("place", "n_values", "n_earlier", "n_high", "n_low")
-    )
-    best = _best_matches(scored_matches.unionByName(unscored_matches), keep)
-    fill = _fill_order(questions, ranked, prefix, lows, scored_in_prefix, 2 * keep)
-    chosen = F.coalesce(F.col("chosen"), F.array().cast("array<string>"))
-    rest = F.filter(F.col("fill"), lambda v: ~F.array_contains(chosen, v))
-    return fill.join(best, PAIR_KEY, "left").select(
-        *PAIR_KEY,
-        F.array_distinct(F.slice(F.concat(chosen, rest), 1, keep)).alias("matches"),
     )
 
 
@@ -362,7 +446,7 @@ def _best_matches(matches: DataFrame, keep: int) -> DataFrame:
     Of several values with the same matched text the last candidate counts, at
     the place of the first. Columns called ``*name*`` need a perfect score.
     """
-    order = F.struct((-F.col("score")).alias("s"), F.col("value").alias("v"))
+    order = F.struct((-F.col("score")).alias("s"), "place")
     one_per_text = (
         matches.withColumn("ord", order)
         .groupBy(*PAIR_KEY, "match_text")
@@ -381,52 +465,54 @@ def _best_matches(matches: DataFrame, keep: int) -> DataFrame:
     return (
         top.where(F.col("n") <= keep)
         .groupBy(*PAIR_KEY)
-        .agg(F.sort_array(F.collect_list(F.struct("n", F.trim("m.value").alias("v")))).alias("c"))
+        .agg(F.sort_array(F.collect_list(F.struct("n", strip(F.col("m.value")).alias("v")))).alias("c"))
         .select(*PAIR_KEY, F.col("c.v").alias("chosen"))
     )
 
 
-def _fill_order(
+def _fill_values(
     questions: DataFrame,
+    stored: DataFrame,
+    stats: DataFrame,
     ranked: DataFrame,
-    prefix: DataFrame,
-    lows: DataFrame,
-    scored_in_prefix: DataFrame,
+    taken: DataFrame,
     size: int,
 ) -> DataFrame:
-    """First ``size`` values by (score descending, value) for every question and column."""
-    short = ranked.where(F.col("rank") <= size)
-    ends = short.groupBy(*PAIR_KEY).agg(
-        F.sort_array(
-            F.collect_list(F.when(F.col("sign") > 0, F.struct("rank", "value")))
-        )["value"].alias("high"),
-        F.sort_array(
-            F.collect_list(F.when(F.col("sign") < 0, F.struct("rank", "value")))
-        )["value"].alias("low"),
-    )
-    reach = F.col("place") <= size + F.coalesce(F.col("most_low"), F.lit(0))
-    heads = (
-        prefix.join(lows, COLUMN_KEY, "left")
-        .where(reach)
-        .groupBy(*COLUMN_KEY)
-        .agg(F.sort_array(F.collect_list(F.struct("place", "value")))["value"].alias("head"))
-    )
-    taken = (
-        scored_in_prefix.join(lows, COLUMN_KEY, "left")
-        .where(reach)
+    """First ``size`` values by (score descending, value) for every question and column.
+
+    Worked out on places: the best positive ones, the first free places of the
+    column, the best negative ones. Texts are fetched for the result only.
+    """
+    in_order = lambda sign: F.sort_array(
+        F.collect_list(F.when(F.col("sign") == sign, F.struct("rank", "place")))
+    )["place"]
+    ends = (
+        ranked.where(F.col("rank") <= size)
         .groupBy(*PAIR_KEY)
-        .agg(F.collect_set("value").alias("taken"))
+        .agg(in_order(1).alias("high"), in_order(-1).alias("low"))
     )
-    none = F.array().cast("array<string>")
+    none = F.array().cast("array<bigint>")
     array = lambda name: F.coalesce(F.col(name), none)
-    free = F.filter(array("head"), lambda v: ~F.array_contains(array("taken"), v))
-    return (
+    reach = F.least(F.col("n_values"), F.lit(size) + F.size(array("taken")))
+    free = F.slice(F.array_except(F.sequence(F.lit(1).cast("long"), reach), array("taken")), 1, size)
+    places = (
         questions.select("sql_idx", "db_id")
-        .join(heads, "db_id")
+        .join(F.broadcast(stats.drop("mean_length")), "db_id")
         .join(ends, PAIR_KEY, "left")
         .join(taken, PAIR_KEY, "left")
         .select(
             *PAIR_KEY,
-            F.slice(F.concat(array("high"), free, array("low")), 1, size).alias("fill"),
+            F.posexplode(F.slice(F.concat(array("high"), free, array("low")), 1, size)).alias(
+                "n", "place"
+            ),
         )
     )
+    needed = places.select(*VALUE_KEY).distinct()
+    texts = materialise(
+        stored.join(needed, VALUE_KEY, "left_semi").select(*VALUE_KEY, "value"), "fill"
+    )
+    return (
+        spread_join(places, texts, VALUE_KEY, "sql_idx")
+        .groupBy(*PAIR_KEY)
+        .agg(F.sort_array(F.collect_list(F.struct("n", "value")))["value"].alias("fill"))
+    )

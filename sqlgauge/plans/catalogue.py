@@ -35,6 +35,10 @@ def _linked_values(spark: SparkSession, sf: str) -> DataFrame:
     return vl.column_values({dv.DB_ID: dv.shop(spark, sf)}, dv.LINKED_COLUMNS)
 
 
+def _stored_values(spark: SparkSession, sf: str) -> DataFrame:
+    return vl.store_values(_linked_values(spark, sf))
+
+
 def _clean_questions(spark: SparkSession, sf: str) -> DataFrame:
     log = dv.question_log(spark, sf)
     return log.withColumn("question", tx.clean_question(F.col("question")))
@@ -57,7 +61,8 @@ def picklist_first_k(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_scores(spark: SparkSession, sf: str) -> DataFrame:
-    scores = vl.bm25_scores(_clean_questions(spark, sf), _linked_values(spark, sf))
+    stored = _stored_values(spark, sf)
+    scores = vl.with_text(vl.bm25_scores(_clean_questions(spark, sf), stored), stored)
     return scores.select(
         "sql_idx", "table_name", "column_name", "value", F.round("score", 6).alias("score")
     )
@@ -71,15 +76,15 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     values = vl.column_values(
         {"web": {"documents": dv.read(spark, sf, "documents")}}, {("documents", "text")}
     )
-    top = vl.bm25_topk(vl.bm25_scores(questions, values), 10)
+    stored = vl.store_values(values)
+    top = vl.with_text(vl.bm25_topk(vl.bm25_scores(questions, stored), 10), stored)
     return top.select(
-        "sql_idx", "rank", F.md5("value").alias("value_md5"), F.round("score", 6).alias("score")
+        "sql_idx", F.col("rank").cast("long").alias("rank"), F.md5("value").alias("value_md5"), F.round("score", 6).alias("score")
     )
 
 
 def fuzzy_matches(spark: SparkSession, sf: str) -> DataFrame:
-    values = _linked_values(spark, sf)
-    found = vl.fuzzy_pairs(_clean_questions(spark, sf), values)
+    found = vl.fuzzy_pairs(_clean_questions(spark, sf), _stored_values(spark, sf))
     return found.select(
         "sql_idx", "table_name", "column_name", "value", "match_text", "source_text",
         F.round("match_score", 6).alias("match_score"), "match_size",
@@ -87,7 +92,7 @@ def fuzzy_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def value_link_top2(spark: SparkSession, sf: str) -> DataFrame:
-    linked = vl.link_values(_clean_questions(spark, sf), _linked_values(spark, sf))
+    linked = vl.link_values(_clean_questions(spark, sf), _stored_values(spark, sf))
     return linked.select(
         "sql_idx", "table_name", "column_name", F.array_join("matches", "|").alias("matches")
     )
@@ -476,7 +481,7 @@ def prepared_samples(spark: SparkSession, sf: str) -> DataFrame:
     samples = dv.question_log(spark, sf).join(
         dv.query_log(spark, sf).select("sql_idx", "gold_sql"), "sql_idx"
     )
-    prepared = prepare(samples, dv.shop_schemas(spark, sf), _linked_values(spark, sf))
+    prepared = prepare(samples, dv.shop_schemas(spark, sf), _stored_values(spark, sf))
     nested = ("db_schema", "pk", "fk", "table_labels", "column_labels")
     return prepared.select(
         *[F.to_json(c).alias(c) if c in nested else c for c in prepared.columns]
@@ -485,7 +490,7 @@ def prepared_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 def sample_contents(spark: SparkSession, sf: str) -> DataFrame:
     """Number of linked values per sample."""
-    linked = vl.link_values(_clean_questions(spark, sf), _linked_values(spark, sf))
+    linked = vl.link_values(_clean_questions(spark, sf), _stored_values(spark, sf))
     contents = contents_by_sample(linked)
     n = F.aggregate(F.map_values("contents"), F.lit(0), lambda acc, v: acc + F.size(v))
     return contents.select("sql_idx", n.cast("long").alias("n_values"))

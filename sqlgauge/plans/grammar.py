@@ -68,10 +68,10 @@ def _select_distinct(t: Tables) -> DataFrame:
 def _arith_units(t: Tables) -> DataFrame:
     return t.lineitem.select(
         "l_orderkey",
-        F.round(_c("l_extendedprice") * _c("l_discount"), 4).alias("product"),
-        F.round(_c("l_extendedprice") - _c("l_tax"), 4).alias("difference"),
-        F.round(_c("l_quantity") + _c("l_discount"), 4).alias("total"),
-        F.round(F.try_divide("l_extendedprice", "l_quantity"), 4).alias("quotient"),
+        (_c("l_extendedprice") * _c("l_discount")).alias("product"),
+        (_c("l_extendedprice") - _c("l_tax")).alias("difference"),
+        (_c("l_quantity") + _c("l_discount")).alias("total"),
+        F.try_divide("l_extendedprice", "l_quantity").alias("quotient"),
     )
 
 
@@ -273,10 +273,9 @@ GRAMMAR = {
     "select_distinct": (_select_distinct, "SELECT DISTINCT p_brand, p_type FROM part"),
     "arith_units": (
         _arith_units,
-        "SELECT l_orderkey, round(l_extendedprice * l_discount, 4) AS product, "
-        "round(l_extendedprice - l_tax, 4) AS difference, "
-        "round(l_quantity + l_discount, 4) AS total, "
-        "round(l_extendedprice / l_quantity, 4) AS quotient FROM lineitem",
+        "SELECT l_orderkey, l_extendedprice * l_discount AS product, "
+        "l_extendedprice - l_tax AS difference, l_quantity + l_discount AS total, "
+        "l_extendedprice / l_quantity AS quotient FROM lineitem",
     ),
     "agg_all_five": (
         _agg_all_five,

@@ -30,13 +30,13 @@ COLUMNS = {
     ],
     "orders": [
         ("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
-        ("o_totalprice", "double"), ("o_orderdate", "timestamp"), ("o_orderpriority", "string"),
+        ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string"),
     ],
     "lineitem": [
         ("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
         ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"),
         ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
-        ("l_linestatus", "string"), ("l_shipdate", "timestamp"),
+        ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz"),
     ],
 }
 ALL_COLUMNS = [(t, c) for t, cs in COLUMNS.items() for c, _ in cs]
@@ -305,7 +305,7 @@ _COLUMN_TEXT = f"""
             string_agg(value, ', ' ORDER BY place) AS plain
      FROM (VALUES {_SCHEMA_ORDER}) AS o(ti, t, ci, c)
      JOIN {_first_values(2)} f ON f.table_name = o.t AND f.column_name = o.c
-     GROUP BY ALL)
+     GROUP BY o.ti, o.t, o.ci, o.c)
 """
 
 

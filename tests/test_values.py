@@ -18,6 +18,7 @@ from sqlgauge.functions.similarity import (
     word_starts,
 )
 from sqlgauge.functions.wordlists import COMMON_WORDS, SPAN_SEPARATORS, STOP_WORDS
+from sqlgauge.operators.joins import measured_bytes, spread_join
 from sqlgauge.operators.values import (
     bm25_scores,
     bm25_topk,
@@ -25,7 +26,10 @@ from sqlgauge.operators.values import (
     first_values,
     link_values,
     picklists,
+    store_values,
+    with_text,
 )
+from sqlgauge.session import materialise
 
 
 def lcs_table(a, b):
@@ -220,11 +224,11 @@ def test_link_values_equals_model(spark, seed, k):
     corpora[("mix", "code")] = (sorted(mixed), True)
     questions = [(i, "db", random_text(rng, 3, 9) + " a1"[: 3 * (i % 2)]) for i in range(12)]
     qs = spark.createDataFrame(questions, "sql_idx long, db_id string, question string")
-    values = column_values({"db": tables})
+    values = store_values(column_values({"db": tables}))
 
     got_scores = {
         (r.sql_idx, r.table_name, r.column_name, r.value): r.score
-        for r in bm25_scores(qs, values).collect()
+        for r in with_text(bm25_scores(qs, values), values).collect()
     }
     got = {
         (r.sql_idx, r.table_name, r.column_name): list(r.matches)
@@ -242,15 +246,36 @@ def test_link_values_equals_model(spark, seed, k):
 def test_hot_word_is_spread_and_complete(spark):
     """A word held by every value: all scores arrive, the top k is exact."""
     rows = spark.range(3000).select(F.concat(F.lit("hot w"), F.col("id")).alias("v"))
-    values = column_values({"db": {"t": rows}})
+    values = store_values(column_values({"db": {"t": rows}}))
     qs = spark.createDataFrame([(0, "db", "hot w7"), (1, "db", "hot")],
                                "sql_idx long, db_id string, question string")
     scores = bm25_scores(qs, values)
     assert scores.groupBy("sql_idx").count().where("count = 3000").count() == 2
-    top = bm25_topk(scores, 2).where("sql_idx = 0").orderBy("rank").collect()
+    top = with_text(bm25_topk(scores, 2), values).where("sql_idx = 0").orderBy("rank").collect()
     assert [r.value for r in top] == ["hot w7", "hot w0"]
 
 
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_spread_join_is_the_same_either_way(spark, limit):
+    left = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    right = materialise(spark.createDataFrame([(0, "a"), (1, "b"), (1, "c")], "k long, x string"), "r")
+    got = spread_join(left, right, ["k"], "id", limit=limit)
+    assert got.count() == 334 + 2 * 333
+    assert measured_bytes(right) == 3 * (2 * 16 + 1)
+
+
+def test_places_follow_value_order(spark):
+    rng = random.Random(4)
+    texts = [(random_text(rng, 1, 3),) for _ in range(500)]
+    tables = {"a": spark.createDataFrame(texts, "x string"),
+              "b": spark.createDataFrame(texts[:7], "y string")}
+    rows = store_values(column_values({"db": tables})).collect()
+    for table in ("a", "b"):
+        own = sorted((r for r in rows if r.table_name == table), key=lambda r: r.place)
+        assert [r.place for r in own] == list(range(1, len(own) + 1))
+        assert [r.value for r in own] == sorted(r.value for r in own)
+
+
 def test_picklists(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("", 2), (None, 3), ("c", None), ("a", 2)],
                                "x string, n int")
