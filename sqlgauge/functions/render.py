@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sqlgauge.functions.text import let
 from sqlgauge.functions.wordlists import MAX_RENDERED_VALUE
 
 
@@ -26,9 +27,13 @@ def _samples(table: Column, index: Column) -> Column:
 
 def _example(values: Column) -> Column:
     """`` ( e.g., `a`, `b`, etc. )``, or nothing without a short value."""
-    short = _short_values(values)
-    text = F.concat(F.lit(" ( e.g., `"), F.array_join(short, "`, `"), F.lit("`, etc. )"))
-    return F.when(F.size(short) > 0, text).otherwise("")
+    joined = F.array_join(_short_values(values), "`, `")
+    return let(
+        joined,
+        lambda j: F.when(j == "", "").otherwise(
+            F.concat(F.lit(" ( e.g., `"), j, F.lit("`, etc. )"))
+        ),
+    )
 
 
 def _column(table: Column, name: Column, index: Column, exact: bool) -> Column:
@@ -47,8 +52,11 @@ def foreign_keys_text(fk: Column, tables: Column | None = None) -> Column:
     """``# a.x = b.y`` lines, of all keys or of those within ``tables``."""
     src, dst = "source_table_name_original", "target_table_name_original"
     if tables is not None:
-        fk = F.filter(
-            fk, lambda k: F.array_contains(tables, k[src]) & F.array_contains(tables, k[dst])
+        fk = let(
+            tables,
+            lambda bound: F.filter(
+                fk, lambda k: F.array_contains(bound, k[src]) & F.array_contains(bound, k[dst])
+            ),
         )
     line = lambda k: F.concat(
         F.lit("# "), k[src], F.lit("."), k["source_column_name_original"],
@@ -100,7 +108,9 @@ def schema_text_by_columns(db_schema: Column, used: Column, exact: bool = False)
     )
 
     def line(t: Column) -> Column:
-        wanted = _selection(used, t["table_name_original"])
+        return let(_selection(used, t["table_name_original"]), lambda w: picked_line(t, w))
+
+    def picked_line(t: Column, wanted: Column) -> Column:
         columns = F.filter(
             F.transform(
                 t["column_names_original"],
@@ -124,7 +134,9 @@ def schema_text_in_order(db_schema: Column, used: Column) -> Column:
         table = F.get(
             F.filter(db_schema, lambda t: t["table_name_original"] == u["table_name"]), F.lit(0)
         )
+        return let(table, lambda t: table_line(u, t))
 
+    def table_line(u: Column, table: Column) -> Column:
         def column(c: Column) -> Column:
             place = F.array_position(table["column_names_original"], c)
             values = F.when(place > 0, _samples(table, (place - 1).cast("int"))).otherwise(

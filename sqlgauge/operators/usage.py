@@ -51,9 +51,14 @@ def natsql_labels(norm_natsql: Column, schema_items: Column) -> tuple[Column, Co
     return _labels(schema_items, words, used, dotted_only=True)
 
 
-def _names_column(words: Column, table: Column, column: Column) -> Column:
-    dotted = F.concat(table, F.lit("."), column)
-    return F.array_contains(words, column) | F.array_contains(words, dotted)
+def _column_words(words: Column, table: Column, dotted_only: bool) -> Column:
+    """Words that can name a column of ``table``; ``table.x`` also counts as ``x``."""
+    prefix = F.concat(table, F.lit("."))
+    own = F.transform(
+        F.filter(words, lambda w: F.startswith(w, prefix)),
+        lambda w: F.substr(w, F.char_length(prefix) + 1),
+    )
+    return own if dotted_only else F.concat(words, own)
 
 
 def _labels(
@@ -65,18 +70,16 @@ def _labels(
         )
 
     def columns(bound: Column) -> Column:
-        def label(t: Column, c: Column) -> Column:
-            table = t["table_name_original"]
-            if dotted_only:
-                named = F.array_contains(bound["c"], F.concat(table, F.lit("."), c))
-            else:
-                named = _names_column(bound["c"], table, c)
-            return (F.array_contains(bound["t"], table) & named).cast("int")
+        def of_table(t: Column) -> Column:
+            names = t["column_names_original"]
+            labels = let(
+                _column_words(bound["c"], t["table_name_original"], dotted_only),
+                lambda own: F.transform(names, lambda c: F.array_contains(own, c).cast("int")),
+            )
+            used = F.array_contains(bound["t"], t["table_name_original"])
+            return F.when(used, labels).otherwise(F.array_repeat(F.lit(0), F.size(names)))
 
-        return F.transform(
-            schema_items,
-            lambda t: F.transform(t["column_names_original"], lambda c: label(t, c)),
-        )
+        return F.transform(schema_items, of_table)
 
     both = F.struct(table_words.alias("t"), column_words.alias("c"))
     return let(table_words, tables), let(both, columns)
@@ -90,9 +93,11 @@ def used_columns(sql: Column, schema_items: Column) -> Column:
             used,
             lambda t: F.struct(
                 t["table_name_original"].alias("table_name"),
-                F.filter(
-                    t["column_names_original"],
-                    lambda c: _names_column(words, t["table_name_original"], c),
+                let(
+                    _column_words(words, t["table_name_original"], dotted_only=False),
+                    lambda own: F.filter(
+                        t["column_names_original"], lambda c: F.array_contains(own, c)
+                    ),
                 ).alias("columns"),
             ),
         )
@@ -131,7 +136,7 @@ def with_neighbors(tables: Column, fk: Column) -> Column:
                 F.array_contains(bound, k[_DST_T]), k[_SRC_T]
             ),
         )
-        return F.array_sort(F.array_union(bound, F.array_compact(other)))
+        return F.sort_array(F.array_union(bound, F.array_compact(other)))
 
     return let(tables, expand)
 
@@ -197,7 +202,7 @@ def connected_tables(tables: Column, fk: Column, paths: Column) -> Column:
         )
         joined = F.flatten(F.transform(between, lambda p: p["path"]))
         return F.when(
-            F.size(near) < MAX_CONNECTED_TABLES, F.array_sort(F.array_union(near, joined))
+            F.size(near) < MAX_CONNECTED_TABLES, F.sort_array(F.array_union(near, joined))
         ).otherwise(near)
 
     return let(with_neighbors(tables, fk), connect)
@@ -262,11 +267,11 @@ def _bound_text(sql: Column, schema_items: Column) -> Column:
 
 def _columns_in_text(text: Column, table: Column, key_columns: Column) -> Column:
     found = F.filter(table["column_names_original"], lambda c: F.contains(text, c))
-    both = F.array_sort(F.array_union(key_columns, found))
+    both = F.sort_array(F.array_union(key_columns, found))
     return F.struct(
         table["table_name_original"].alias("table_name"),
         F.when(F.size(both) > 0, both)
-        .otherwise(F.array_sort(table["column_names_original"]))
+        .otherwise(F.sort_array(table["column_names_original"]))
         .alias("columns"),
     )
 
@@ -355,7 +360,7 @@ def join_columns_by_table(columns: DataFrame, fks: DataFrame) -> DataFrame:
     return (
         ends.unionByName(shared)
         .groupBy("db_id", "table_name")
-        .agg(F.array_sort(F.collect_set("column_name")).alias("columns"))
+        .agg(F.sort_array(F.collect_set("column_name")).alias("columns"))
     )
 
 

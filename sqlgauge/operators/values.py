@@ -37,7 +37,7 @@ from sqlgauge.functions.wordlists import (
     VALUES_KEPT,
 )
 from sqlgauge.operators.joins import spread_join
-from sqlgauge.session import materialise
+from sqlgauge.session import materialise, task_count
 
 COLUMN_KEY = ["db_id", "table_name", "column_name"]
 VALUE_KEY = [*COLUMN_KEY, "place"]
@@ -268,7 +268,8 @@ def fuzzy_pairs(
     A match starts with the same character as a word of the question, so the
     join is an equi-join on (db_id, character), not a product.
     """
-    asked = questions.select(
+    n = task_count(questions.sparkSession)
+    asked = questions.repartition(n, "sql_idx").select(
         "sql_idx",
         "db_id",
         "question",
@@ -290,8 +291,12 @@ def fuzzy_pairs(
 
 def _keep_matches(pairs: DataFrame, theta: float, *extra: str) -> DataFrame:
     kept = [*PAIR_KEY, "place", "value", *extra]
+    # Pairs of one question or value may be many: they are spread by both before
+    # the Python step, which is the costly one.
+    n = task_count(pairs.sparkSession)
     return (
         pairs.select(*kept, "question")
+        .repartition(n, "sql_idx", "place")
         .withColumn("m", fuzzy_match(F.col("question"), F.col("value"), theta))
         .where(F.col("m.match_text").isNotNull())
         .select(*kept, "m.*")

@@ -18,6 +18,7 @@ from sqlgauge.operators.execute import Executor, parquet_tables
 from sqlgauge.plans import derived as dv
 from sqlgauge.plans.grammar import GRAMMAR, Tables
 from sqlgauge.plans.preprocess import contents_by_sample, prepare, with_contents
+from sqlgauge.session import widen
 from sqlgauge.sources import catalog, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +33,7 @@ def _lines(column) -> F.Column:
 
 
 def _linked_values(spark: SparkSession, sf: str) -> DataFrame:
-    return vl.column_values({dv.DB_ID: dv.shop(spark, sf)}, dv.LINKED_COLUMNS)
+    return dv.shop_values(spark, sf, dv.LINKED_COLUMNS)
 
 
 def _stored_values(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +55,7 @@ def picklist_distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 def picklist_first_k(spark: SparkSession, sf: str) -> DataFrame:
     """First three values of every column of every table."""
-    values = vl.column_values({dv.DB_ID: dv.shop(spark, sf)})
+    values = dv.shop_values(spark, sf)
     return vl.picklists(values, 3).select(
         "table_name", "column_name", F.array_join("first_values", "|").alias("first_values")
     )
@@ -74,7 +75,7 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
         F.col("item_id").alias("sql_idx"), F.lit("web").alias("db_id"), F.col("text").alias("question")
     )
     values = vl.column_values(
-        {"web": {"documents": dv.read(spark, sf, "documents")}}, {("documents", "text")}
+        {"web": {"documents": widen(dv.read(spark, sf, "documents").select("text"))}}
     )
     stored = vl.store_values(values)
     top = vl.with_text(vl.bm25_topk(vl.bm25_scores(questions, stored), 10), stored)
@@ -158,9 +159,10 @@ def table_aliases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sql_skeleton(spark: SparkSession, sf: str) -> DataFrame:
-    log = usage.with_schema(normalized(spark, sf), dv.shop_schemas(spark, sf))
-    names = catalog.schema_names(F.col("schema_items"))
-    return log.select("sql_idx", tx.sql_skeleton(F.col("norm_sql"), names).alias("skeleton"))
+    names = catalog.with_names(dv.shop_schemas(spark, sf)).select("db_id", "schema_names")
+    log = usage.with_schema(normalized(spark, sf), names)
+    skeleton = tx.sql_skeleton(F.col("norm_sql"), F.col("schema_names"))
+    return log.select("sql_idx", skeleton.alias("skeleton"))
 
 
 def schema_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,7 +202,7 @@ def _logged(spark: SparkSession, sf: str) -> DataFrame:
 def catalog_columns(spark: SparkSession, sf: str) -> DataFrame:
     """Every column with its type, key flag and number of distinct values."""
     columns = catalog.catalog_columns(dv.shop_schemas(spark, sf))
-    values = vl.column_values({dv.DB_ID: dv.shop(spark, sf)})
+    values = dv.shop_values(spark, sf)
     counts = values.groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("n_values"))
     return columns.join(counts, ["table_name", "column_name"]).select(
         "table_name", "column_name", "table_idx", "col_idx", "data_type", "is_pk", "n_values"
@@ -211,7 +213,7 @@ def catalog_fks(spark: SparkSession, sf: str) -> DataFrame:
     """Every foreign key with the number of distinct values on both sides."""
     fks = catalog.catalog_fks(dv.shop_schemas(spark, sf))
     columns = {(t, c) for a, b, d, e in dv.FOREIGN_KEYS for t, c in ((a, b), (d, e))}
-    values = vl.column_values({dv.DB_ID: dv.shop(spark, sf)}, columns)
+    values = dv.shop_values(spark, sf, columns)
     counts = values.groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("n"))
     side = lambda s: counts.select(
         F.col("table_name").alias(f"{s}_table"), F.col("column_name").alias(f"{s}_column"),
@@ -273,7 +275,7 @@ def used_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sampled_schema(spark: SparkSession, sf: str) -> DataFrame:
     """The schema with the first two values of every column as sample values."""
-    values = vl.column_values({dv.DB_ID: dv.shop(spark, sf)})
+    values = dv.shop_values(spark, sf)
     entry = F.struct(F.concat_ws(".", "table_name", "column_name"), "first_values")
     contents = vl.picklists(values, 2).groupBy("db_id").agg(
         F.map_from_entries(F.collect_list(entry)).alias("contents")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqlgauge.operators.values import column_values
+from sqlgauge.session import widen
 from sqlgauge.sources.catalog import schemas_of_tables
 
 DB_ID = "shop"
@@ -48,6 +50,18 @@ def shop(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: read(spark, folder, name) for name in SHOP_TABLES}
 
 
+def shop_values(
+    spark: SparkSession, folder: str, columns: set[tuple[str, str]] | None = None
+) -> DataFrame:
+    """Distinct values of all or the chosen columns of the shop."""
+    tables = {}
+    for name, df in shop(spark, folder).items():
+        fields = [c for c in df.columns if columns is None or (name, c) in columns]
+        if fields:
+            tables[name] = widen(df.select(*fields))
+    return column_values({DB_ID: tables}, columns)
+
+
 def shop_schemas(spark: SparkSession, folder: str) -> DataFrame:
     return schemas_of_tables(
         spark, DB_ID, shop(spark, folder), PRIMARY_KEYS, FOREIGN_KEYS
@@ -122,7 +136,8 @@ def shaped(shapes: list[str]) -> F.Column:
 
 def query_log(spark: SparkSession, folder: str) -> DataFrame:
     """(sql_idx, db_id, gold_sql, difficulty, res): one query text per order."""
-    return read(spark, folder, "orders").select(
+    orders = read(spark, folder, "orders").select(*_SHAPE_FIELDS.values())
+    return widen(orders).select(
         F.col("o_orderkey").alias("sql_idx"),
         F.lit(DB_ID).alias("db_id"),
         shaped(QUERY_SHAPES).alias("gold_sql"),

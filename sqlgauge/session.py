@@ -49,6 +49,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def widen(scan: DataFrame) -> DataFrame:
+    """Spread a scan of fewer splits than cores over all cores.
+
+    For work that is heavy per row. A large input has more splits than cores and
+    is left alone. ``scan`` is a plain file scan, whose splits are known before
+    anything runs.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def task_count(spark: SparkSession) -> int:
+    """Number of tasks for an explicit repartitioning before per-row Python work."""
+    return max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        spark.sparkContext.defaultParallelism,
+    )
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

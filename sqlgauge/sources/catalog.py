@@ -271,6 +271,11 @@ def schema_names(schema_items: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(schema_items, names)))
 
 
+def with_names(schemas: DataFrame) -> DataFrame:
+    """Add ``schema_names``, made once per database and not once per sample."""
+    return schemas.withColumn("schema_names", schema_names(F.col("schema_items")))
+
+
 def name_ids(schema_items: Column) -> Column:
     """``array<struct<name, id>>``: the unique identifier of every schema name."""
     def ids(t: Column) -> Column:
