@@ -17,6 +17,9 @@ def measured_bytes(df: DataFrame) -> int:
     for f in df.schema.fields:
         if isinstance(f.dataType, T.StringType):
             width = width + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            text = F.to_json(F.struct(F.col(f.name)))
+            width = width + F.coalesce(F.octet_length(text), F.lit(0))
     return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
 
 

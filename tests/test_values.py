@@ -12,6 +12,7 @@ from sqlgauge.functions.similarity import (
     comparable,
     lcs_length,
     lcs_ratio,
+    longest_match,
     match_value,
     may_match,
     similarity,
@@ -166,6 +167,16 @@ def test_native_lcs_ratio(spark):
         assert row.r == pytest.approx(similarity(row.a, row.b))
 
 
+def test_longest_match_equals_difflib():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab c") for _ in range(rng.randint(0, 30))) for _ in range(600)]
+    texts += ["".join(rng.choice("abcdefg ") for _ in range(260)), "İ" * 3 + "abc"]
+    for _ in range(3000):
+        a, b = (tuple(c.lower() for c in rng.choice(texts)) for _ in range(2))
+        want = difflib.SequenceMatcher(None, a, b).find_longest_match(0, len(a), 0, len(b))
+        assert longest_match(a, b) == tuple(want)
+
+
 def test_pair_matcher_equals_model():
     rng = random.Random(2)
     hits = 0
@@ -173,8 +184,7 @@ def test_pair_matcher_equals_model():
         q, v = random_text(rng, 2, 8), random_text(rng)
         if rng.random() < 0.3:
             v = v.upper()
-        matcher = difflib.SequenceMatcher(None, b=[c.lower() for c in v.strip()])
-        got, want = match_value(q, v, matcher), plain_match(q, v)
+        got, want = match_value(q, v), plain_match(q, v)
         hits += want is not None
         assert got == want or (
             got and want and got[:2] == want[:2] and got[2] == pytest.approx(want[2])
