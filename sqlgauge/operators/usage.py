@@ -214,33 +214,34 @@ def connected_tables(tables: Column, fk: Column, paths: Column) -> Column:
     return let(with_neighbors(tables, fk), connect)
 
 
+def _distances_of(keys: Iterable[dict]) -> list[dict]:
+    """Shortest key distance between all connected pairs of tables of one schema."""
+    near: dict[str, set[str]] = {}
+    for k in keys:
+        near.setdefault(k[_SRC_T], set()).add(k[_DST_T])
+        near.setdefault(k[_DST_T], set()).add(k[_SRC_T])
+    found = []
+    for start in near:
+        seen, frontier, depth = {start}, {start}, 0
+        while frontier:
+            depth += 1
+            frontier = {n for t in frontier for n in near[t]} - seen
+            seen |= frontier
+            found += [{"src": start, "dst": t, "depth": depth} for t in frontier]
+    return found
+
+
 def reachable_tables(schemas: DataFrame, max_depth: int = 10) -> DataFrame:
     """(db_id, src, dst, depth): shortest foreign-key distance between tables.
 
-    One step is one equi-join of the frontier with the edges, keeping the first
-    depth of each pair. Rows grow with the square of the tables of a database.
+    One schema is one row and one small graph; schemas spread over the tasks.
     """
-    keys = schemas.select("db_id", F.explode("fk").alias("k"))
-    edges = (
-        keys.select("db_id", F.col("k." + _SRC_T).alias("a"), F.col("k." + _DST_T).alias("b"))
-        .unionByName(
-            keys.select("db_id", F.col("k." + _DST_T).alias("a"), F.col("k." + _SRC_T).alias("b"))
-        )
-        .distinct()
-    )
-    seen = edges.select(
-        "db_id", F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).alias("depth")
-    )
-    for depth in range(2, max_depth + 1):
-        step = (
-            seen.where(F.col("depth") == depth - 1)
-            .join(edges.withColumnRenamed("a", "dst"), ["db_id", "dst"])
-            .select("db_id", "src", F.col("b").alias("dst"), F.lit(depth).alias("depth"))
-        )
-        seen = (
-            seen.unionByName(step).groupBy("db_id", "src", "dst").agg(F.min("depth").alias("depth"))
-        )
-    return seen.where("src != dst")
+    @F.pandas_udf("array<struct<src:string,dst:string,depth:int>>")
+    def distances(fk: pd.Series) -> pd.Series:
+        return fk.map(_distances_of)
+
+    rows = schemas.select("db_id", F.explode(distances(F.col("fk"))).alias("d"))
+    return rows.select("db_id", "d.*").where(F.col("depth") <= max_depth)
 
 
 # --- column selection ------------------------------------------------------

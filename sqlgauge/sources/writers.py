@@ -36,7 +36,8 @@ def gold_lines(samples: DataFrame) -> DataFrame:
 
 def merge_predictions(predictions: DataFrame, samples: DataFrame) -> DataFrame:
     """(sql_idx, entry): each prediction with the database of its sample."""
-    return predictions.join(samples.select("sql_idx", "db_id"), "sql_idx").select(
+    texts = predictions.select("sql_idx", "predicted_sql")
+    return texts.join(samples.select("sql_idx", "db_id"), "sql_idx").select(
         "sql_idx",
         F.concat(
             unconcat(F.trim(F.col("predicted_sql"))), F.lit(PREDICTION_DELIMITER), F.col("db_id")
