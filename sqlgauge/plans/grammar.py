@@ -110,7 +110,7 @@ def _group_by(t: Tables) -> DataFrame:
 
 def _group_having(t: Tables) -> DataFrame:
     per_customer = t.orders.groupBy("o_custkey").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 8).alias("mean_price")
     )
     return per_customer.where((_c("n") > 10) & (_c("mean_price") > 100000))
 
@@ -299,8 +299,8 @@ GRAMMAR = {
     ),
     "group_having": (
         _group_having,
-        "SELECT o_custkey, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM orders "
-        "GROUP BY o_custkey HAVING count(*) > 10 AND round(avg(o_totalprice), 4) > 100000",
+        "SELECT o_custkey, count(*) AS n, round(avg(o_totalprice), 8) AS mean_price FROM orders "
+        "GROUP BY o_custkey HAVING count(*) > 10 AND round(avg(o_totalprice), 8) > 100000",
     ),
     "join_two": (
         _join_two,
