@@ -52,41 +52,41 @@ def column_values(
     """Distinct non-empty values of every (or the chosen) column, as text.
 
     One scan per table: its columns are stacked into rows and made distinct in
-    a single aggregation, which drops repeats before the shuffle.
+    a single aggregation, which drops repeats before the shuffle. Columns go by
+    number until then, and get their names afterwards.
     """
+    numbers: dict[tuple[str, str, str], int] = {}
+    text_columns: set[int] = set()
     stacked = []
     for db_id, tables in databases.items():
         for name, df in tables.items():
-            fields = [
-                f
-                for f in df.schema.fields
-                if not isinstance(f.dataType, _NESTED)
-                and (columns is None or (name, f.name) in columns)
-            ]
-            if not fields:
-                continue
-            cells = F.array(
-                *[
+            cells = []
+            for f in df.schema.fields:
+                if isinstance(f.dataType, _NESTED) or not (
+                    columns is None or (name, f.name) in columns
+                ):
+                    continue
+                number = numbers.setdefault((db_id, name.lower(), f.name.lower()), len(numbers))
+                if isinstance(f.dataType, T.StringType):
+                    text_columns.add(number)
+                cells.append(
                     F.struct(
-                        F.lit(f.name.lower()).alias("column_name"),
-                        F.col(f.name).cast("string").alias("value"),
-                        F.lit(isinstance(f.dataType, T.StringType)).alias("is_text"),
+                        F.lit(number).alias("number"), F.col(f.name).cast("string").alias("value")
                     )
-                    for f in fields
-                ]
-            )
-            stacked.append(
-                df.select(
-                    F.lit(db_id).alias("db_id"),
-                    F.lit(name.lower()).alias("table_name"),
-                    F.explode(cells).alias("cell"),
-                ).select("db_id", "table_name", "cell.*")
-            )
+                )
+            if cells:
+                stacked.append(df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*"))
     rows = stacked[0]
     for more in stacked[1:]:
         rows = rows.unionByName(more)
     present = F.col("value").isNotNull() & (F.col("value") != "")
-    return rows.where(present).groupBy(*COLUMN_KEY, "value").agg(F.bool_or("is_text").alias("is_text"))
+    # One row per column of the databases, made from their schemas.
+    names = rows.sparkSession.createDataFrame(
+        [(n, *key, n in text_columns) for key, n in numbers.items()],
+        "number int, db_id string, table_name string, column_name string, is_text boolean",
+    )
+    distinct = rows.where(present).groupBy("number", "value").agg(F.lit(1).alias("one"))
+    return distinct.join(F.broadcast(names), "number").select(*COLUMN_KEY, "value", "is_text")
 
 
 def first_values(values: DataFrame, k: int) -> DataFrame:

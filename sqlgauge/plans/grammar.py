@@ -116,22 +116,31 @@ def _group_having(t: Tables) -> DataFrame:
 
 
 def _join_two(t: Tables) -> DataFrame:
-    joined = t.customer.join(t.orders, _c("c_custkey") == _c("o_custkey"))
-    return (
-        joined.where(_c("o_totalprice") > 100000)
-        .groupBy("c_mktsegment")
+    # Orders are counted per customer before they meet the customers, so that a
+    # customer of very many orders is one row in the join.
+    per_customer = (
+        t.orders.where(_c("o_totalprice") > 100000)
+        .groupBy("o_custkey")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    joined = t.customer.join(per_customer, _c("c_custkey") == _c("o_custkey"))
+    return joined.groupBy("c_mktsegment").agg(F.sum("n").alias("n"))
 
 
 def _join_three(t: Tables) -> DataFrame:
-    return (
-        t.orders.join(t.customer, _c("o_custkey") == _c("c_custkey"))
+    # The sums shrink before every join: per customer, then per nation.
+    totals = lambda df, *keys: df.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total")
+    )
+    orders = t.orders.select("o_custkey", F.lit(1).alias("n"), _c("o_totalprice").alias("total"))
+    per_customer = totals(orders, "o_custkey")
+    customers = per_customer.join(t.customer, _c("o_custkey") == _c("c_custkey"))
+    named = (
+        totals(customers, "c_nationkey")
         .join(t.nation, _c("c_nationkey") == _c("n_nationkey"))
         .join(t.region, _c("n_regionkey") == _c("r_regionkey"))
-        .groupBy("r_name", "n_name")
-        .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
     )
+    return totals(named, "r_name", "n_name").withColumn("total", F.round("total", 2))
 
 
 def _join_self_alias(t: Tables) -> DataFrame:
@@ -187,34 +196,37 @@ def _set_union_all(t: Tables) -> DataFrame:
 
 
 def _set_intersect(t: Tables) -> DataFrame:
-    left = t.customer.select(_c("c_nationkey").alias("k"))
-    return left.intersect(t.supplier.select("s_nationkey"))
+    # Repeats go first: the join behind the operator then sees each key once.
+    left = t.customer.select(_c("c_nationkey").alias("k")).distinct()
+    return left.intersect(t.supplier.select("s_nationkey").distinct())
 
 
 def _set_except(t: Tables) -> DataFrame:
-    return t.customer.select(_c("c_custkey").alias("k")).subtract(t.orders.select("o_custkey"))
+    left = t.customer.select(_c("c_custkey").alias("k"))
+    return left.subtract(t.orders.select("o_custkey").distinct())
 
 
 def _set_chain(t: Tables) -> DataFrame:
     # Set operators apply from left to right; the grouping is spelled out by the calls.
-    first = t.part.select(_c("p_size").alias("k")).subtract(t.nation.select("n_nationkey"))
+    sizes = t.part.select(_c("p_size").alias("k")).distinct()
+    first = sizes.subtract(t.nation.select("n_nationkey"))
     return first.union(t.region.select("r_regionkey")).distinct()
 
 
 def _sub_in(t: Tables) -> DataFrame:
-    big = t.orders.where(_c("o_totalprice") > 300000)
+    big = t.orders.where(_c("o_totalprice") > 300000).select("o_custkey").distinct()
     found = t.customer.join(big, _c("c_custkey") == _c("o_custkey"), "left_semi")
     return found.select("c_custkey", "c_name")
 
 
 def _sub_not_in(t: Tables) -> DataFrame:
     # The key holds no NULLs, so NOT IN is an anti join.
-    keys = t.orders.where(_c("o_custkey").isNotNull())
+    keys = t.orders.where(_c("o_custkey").isNotNull()).select("o_custkey").distinct()
     return t.customer.join(keys, _c("c_custkey") == _c("o_custkey"), "left_anti").select("c_custkey")
 
 
 def _sub_exists(t: Tables) -> DataFrame:
-    late = t.lineitem.where(_c("l_discount") > 0.09)
+    late = t.lineitem.where(_c("l_discount") > 0.09).select("l_orderkey").distinct()
     return t.orders.join(late, _c("o_orderkey") == _c("l_orderkey"), "left_semi").select("o_orderkey")
 
 
