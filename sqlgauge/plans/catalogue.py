@@ -176,6 +176,15 @@ def schema_labels(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def clause_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables, aggregates, directions, limit and counts of every query."""
+    log = normalized(spark, sf).select("sql_idx", tx.clause_profile(F.col("norm_sql")).alias("p"))
+    listed = [_lines(F.col(f"p.{n}")).alias(n)
+              for n in ("tables", "aggregates", "set_operators", "directions")]
+    plain = ("limit", "is_distinct", "n_joins", "n_conditions", "n_subqueries")
+    return log.select("sql_idx", *listed, *[F.col(f"p.{n}").alias(n) for n in plain])
+
+
 def draft_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     """Generated text with fences and split operators, cleaned."""
     log = dv.query_log(spark, sf)
@@ -514,6 +523,7 @@ OPERATORS: dict[str, Query] = {
     "table_aliases": table_aliases,
     "sql_skeleton": sql_skeleton,
     "schema_labels": schema_labels,
+    "clause_profile": clause_profile,
     "draft_cleanup": draft_cleanup,
     "catalog_columns": catalog_columns,
     "catalog_fks": catalog_fks,

@@ -154,6 +154,17 @@ FIRST_TABLE = [
     "orders", "customer", "orders", "orders", "customer", "nation", "lineitem", "region",
 ]
 N_TABLES = [1, 2, 1, 1, 2, 3, 1, 0]
+# tables, aggregates, set operators, directions, limit, joins, conditions, subqueries
+PROFILES = [
+    ("orders", "count", "", "", "NULL", 0, 1, 0),
+    ("customer,orders", "", "", "", "NULL", 1, 2, 0),
+    ("orders", "avg,max,count,avg", "", "asc", "NULL", 0, 2, 0),
+    ("orders", "", "", "desc", "5", 0, 3, 0),
+    ("customer,orders,customer", "", "except", "", "NULL", 0, 3, 1),
+    ("orders,customer,nation", "count", "", "asc", "NULL", 2, 3, 0),
+    ("lineitem", "", "", "", "NULL", 0, 3, 0),
+    ("", "", "", "", "NULL", 0, 0, 0),
+]
 JOIN_COLUMNS = {
     "region": "r_regionkey",
     "nation": "n_nationkey,n_regionkey",
@@ -420,6 +431,15 @@ def oracle_sql() -> dict[str, str]:
         f"(5, 't3', 'nation')) AS a(shape, alias, table_name) ON shape = o_orderkey % {N_SHAPES}",
         "sql_skeleton": f"SELECT sql_idx, {_by_shape(SKELETONS)} AS skeleton FROM {LOG}",
         "schema_labels": _labels_sql(),
+        "clause_profile": 'SELECT o_orderkey AS sql_idx, tables, aggregates, set_operators, '
+        'directions, CAST("limit" AS INTEGER) AS "limit", FALSE AS is_distinct, n_joins, '
+        "n_conditions, n_subqueries FROM orders JOIN (VALUES "
+        + ", ".join(
+            f"({i}, '{t}', '{a}', '{s}', '{d}', {n}, {j}, {c}, {q})"
+            for i, (t, a, s, d, n, j, c, q) in enumerate(PROFILES)
+        )
+        + ') AS p(shape, tables, aggregates, set_operators, directions, "limit", n_joins, '
+        f"n_conditions, n_subqueries) ON shape = o_orderkey % {N_SHAPES}",
         "draft_cleanup": "SELECT sql_idx, 'SELECT ' || gold_sql || ' LIMIT 3' AS draft, "
         "CASE WHEN shape = 2 THEN 'SELECT  SELECT ' ELSE 'SELECT  ' END || gold_sql || ' LIMIT 3' "
         f"AS correction FROM {LOG}",

@@ -178,3 +178,11 @@ def test_long_prompts(spark):
     assert apply(spark, prompts.is_long, ["word " * 3799, "word " * 3800]) == [False, True]
     with pytest.raises(AttributeError):
         prompts.NO_SUCH_TEMPLATE
+
+
+def test_clause_profile(spark):
+    sql = "select distinct a from t join u on t.x = u.x where b between 1 and 2 or c = 'limit 9 and' limit 12"
+    got = apply(spark, tx.clause_profile, [sql])[0]
+    assert (got.tables, got.limit, got.is_distinct, got.n_joins, got.n_conditions) == (
+        ["t", "u"], 12, True, 1, 3
+    )
