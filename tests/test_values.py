@@ -1,6 +1,7 @@
 """BM25, fuzzy matching and value linking against plain Python models."""
 
 import difflib
+import functools
 import math
 import random
 from collections import Counter
@@ -293,3 +294,21 @@ def test_picklists(spark):
     got = {r.column_name: list(r.first_values) for r in picklists(values, 2).collect()}
     assert got == {"x": ["a", "b"], "n": ["1", "2"]}
     assert first_values(values, 10).count() == 6
+
+
+def test_results_do_not_depend_on_the_join(spark, monkeypatch):
+    """Nothing broadcast: the salted joins give the same links and scores."""
+    tables, _ = make_db(spark, 7, [("parts", "p_name", 30), ("places", "place", 20)])
+    rng = random.Random(7)
+    questions = [(i, "db", random_text(rng, 3, 9)) for i in range(8)]
+    qs = spark.createDataFrame(questions, "sql_idx long, db_id string, question string")
+    stored = store_values(column_values({"db": tables}))
+
+    def results():
+        links = {tuple(r)[:4]: tuple(r.matches) for r in link_values(qs, stored, k=6).collect()}
+        return links, sorted(map(tuple, bm25_scores(qs, stored).collect()))
+
+    broadcast = results()
+    never = functools.partial(spread_join, limit=-1)
+    monkeypatch.setattr("sqlgauge.operators.values.spread_join", never)
+    assert results() == broadcast
