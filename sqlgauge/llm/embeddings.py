@@ -33,6 +33,7 @@ LEAST_COSINE = 0.95
 SHARDS = 9
 SHARD_VECTORS = 100_000
 NEIGHBOURS = 12  # per node in upper layers, twice as many in the ground layer
+SPARE = 8  # further links of a node, to nodes that would else be hard to reach
 BUILD_BEAM = 48
 BEAM = 64
 AUDIT = 0.995
@@ -61,8 +62,26 @@ class SmallWorld:
             to = min(same, at + min(_BATCH, max(16, at)))
             self._insert(order[at:to], own, order[:at])
             at = to
+        self._link_back()
         self.starts = self._starts()
 
+    def _link_back(self) -> None:
+        """Give each node that no neighbour of its own links to a link from the nearest with room."""
+        table = self.links[0]
+        n = len(table)
+        spare = np.full((n, SPARE), -1, np.int32)
+        used = np.zeros(n, int)
+        for at in range(0, n, 4096):
+            own = table[at : at + 4096]
+            back = (table[own] == np.arange(at, at + len(own))[:, None, None]).any(2) & (own >= 0)
+            for node in (at + np.flatnonzero(back.sum(1) < 2)).tolist():
+                mine = table[node][table[node] >= 0]
+                nearest = mine[np.argsort(-(self.x[mine] @ self.x[node]), kind="stable")]
+                for to in [x for x in nearest.tolist() if used[x] < SPARE][:2]:
+                    spare[to, used[to]] = node
+                    used[to] += 1
+        self.links[0] = np.concatenate([table, spare[:, : used.max(initial=0)]], 1)
+
     def _starts(self) -> np.ndarray:
         """The entry, and further entries from which all other nodes of the ground layer are reached."""
         reached = np.zeros(len(self.x), bool)
@@ -121,7 +140,7 @@ class SmallWorld:
             table[who] = self._diverse(part, like, table.shape[1])
 
     def _diverse(self, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
-        """Per row the most similar nodes that are nearer to the row than to each other; then the rest."""
+        """Per row its nearest nodes (a third), then nodes nearer to it than to those; then the rest."""
         k = min(ids.shape[1], max(3 * most, 48))
         order = np.argsort(-sims, 1, kind="stable")[:, :k]
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
@@ -131,7 +150,7 @@ class SmallWorld:
         closest = np.full(ids.shape, -2, np.float32)  # to any node taken so far
         count = np.zeros(len(ids), int)
         for j in range(k):
-            ok = valid[:, j] & (closest[:, j] < sims[:, j]) & (count < most)
+            ok = valid[:, j] & ((closest[:, j] < sims[:, j]) | (count < most // 3)) & (count < most)
             taken[:, j] = ok
             count += ok
             if ok.any():
