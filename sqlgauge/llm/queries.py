@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embeddings, html, language, lines, sharding, simhash, toxicity
+from . import bpe, decontam, embeddings, html, language, lines, sharding, simhash, substrings, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -26,6 +26,13 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("doc_id", held.alias("held_out"), "_lang.lang_pred", "_lang.score")
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substrings.remove_repeats(_table(spark, folder, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256")
+    )
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     held = language.held_out("doc_id", 5, 0)
