@@ -75,7 +75,8 @@ def keep_bitmaps(
     # Streams: a row per key and document, without another shuffle, then one per key and partition
     by_doc = ordered.groupBy("h1", "h2", "doc").agg(F.count(F.lit(1)).alias("n"))
     by_key = by_doc.groupBy("h1", "h2").agg(F.max("doc").alias("keeper"), F.count(F.lit(1)).alias("docs"))
-    shared = by_key.where(F.col("docs") >= min_docs).select("h1", "h2", "keeper")
+    # stored, so that the join sees two plain shuffles and can split a frequent key
+    shared = store(by_key.where(F.col("docs") >= min_docs).select("h1", "h2", "keeper"), "shared-lines")
     dropped = lines.join(shared, ["h1", "h2"]).where(F.col("doc") != F.col("keeper"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % WORD_BITS).cast("int"))
     bits = dropped.groupBy("doc", "row", F.floor(F.col("pos") / WORD_BITS).cast("int").alias("word")).agg(
