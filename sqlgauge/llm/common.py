@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -40,7 +41,18 @@ def store(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._place = place
+    return stored
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete stored frames that no later step reads, and let Spark drop finished shuffles."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        df._place.getFileSystem(context._jsc.hadoopConfiguration()).delete(df._place, True)
+    gc.collect()
+    SparkSession.active().sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
@@ -148,13 +160,3 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = utf8(texts)
     starts, ends, row = runs(WORD_BYTES[data], offsets)
     return span_hashes(LOWER[data], starts, ends), row
-
-
-def text_frame(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns of ``docs``; other columns, whatever their names, are left out."""
-    return docs.select(*columns)
-
-
-def scratch() -> str:
-    """Base folder of a local session's own files, for tests."""
-    return os.environ.get("TMPDIR", tempfile.gettempdir())
