@@ -300,4 +300,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, with their columns."""
-    return matches(docs, benchmark, text).where(F.size("_found") == 0).drop("_found")
+    whole = docs.select(F.struct("*").alias("_all"), F.col(text).alias("_text"))
+    return matches(whole, benchmark, "_text").where(F.size("_found") == 0).select("_all.*")

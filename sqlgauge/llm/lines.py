@@ -111,8 +111,9 @@ def drop_repeated_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3
 ) -> DataFrame:
     """``docs`` with the shared lines taken out of their texts; all rows and columns stay."""
-    marked = with_bitmaps(docs, keep_bitmaps(docs, key, text, min_chars, min_docs), key, text)
-    return marked.withColumn(text, kept_text(text)).select(*[f"`{c}`" for c in docs.columns])
+    whole = docs.select(F.struct("*").alias("_all"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    marked = with_bitmaps(whole, keep_bitmaps(docs, key, text, min_chars, min_docs), "_key", "_text")
+    return marked.select(F.col("_all").withField(f"`{text}`", kept_text("_text")).alias("_all")).select("_all.*")
 
 
 def line_report(

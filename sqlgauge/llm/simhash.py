@@ -75,7 +75,6 @@ def fingerprints(texts: pa.Array, size: int = SHINGLE_WORDS) -> np.ndarray:
     total = np.diff(np.concatenate([heads, [len(row)]]))
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = np.zeros((len(heads), 64), np.int64)
-    # counts of up to 255 rows fit a byte
     for k, (a, n) in enumerate(zip(heads.tolist(), total.tolist())):
         ones[k] = bits[a : a + n].sum(0, dtype=np.int32)
     packed = np.packbits(2 * ones > total[:, None], axis=1, bitorder="little")
@@ -230,11 +229,13 @@ def keep_one_of_each(
     kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(
         F.coalesce(F.col(key).cast("long"), F.lit(LEAST_LONG)).alias("_doc"), F.col("row").alias("_row")
     )
-    marked = docs.withColumns(
-        {"_doc": F.coalesce(F.col(key).cast("long"), F.lit(LEAST_LONG)), "_row": _text_hash(text)}
+    marked = docs.select(
+        F.struct("*").alias("_all"),
+        F.coalesce(F.col(key).cast("long"), F.lit(LEAST_LONG)).alias("_doc"),
+        _text_hash(text).alias("_row"),
     )
     once = marked.join(kept.distinct(), ["_doc", "_row"], "left_semi").dropDuplicates(["_doc", "_row"])
-    return once.select(*[f"`{c}`" for c in docs.columns])
+    return once.select("_all.*")
 
 
 def hex_digits(fp: Column) -> Column:
