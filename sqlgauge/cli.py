@@ -8,7 +8,6 @@ from __future__ import annotations
 import argparse
 import importlib
 import logging
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +30,10 @@ def _generator(spec: str):
     return getattr(importlib.import_module(module), name)()
 
 
-def _done(path: str) -> bool:
-    return os.path.exists(os.path.join(path, "_SUCCESS"))
+def _done(spark: SparkSession, path: str) -> bool:
+    """Whether a finished output lies at ``path``, on whatever file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def table_catalog(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -40,7 +41,7 @@ def table_catalog(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def preprocess(spark: SparkSession, args: argparse.Namespace) -> None:
-    if _done(args.output):
+    if _done(spark, args.output):
         log.info("skipping, %s exists", args.output)
         return
     tables = readers.read_tables_json(spark, args.table_path, lines=args.json_lines)
@@ -71,7 +72,7 @@ def _context(spark: SparkSession, args: argparse.Namespace, samples: bool = True
 
 def generate(spark: SparkSession, args: argparse.Namespace) -> None:
     prepared = _context(spark, args)
-    if _done(args.output):
+    if _done(spark, args.output):
         prepared = dataset.remaining(prepared, spark.read.parquet(args.output))
     writers.write_parquet(draft_queries(prepared, _generator(args.generator)), args.output, "append")
 

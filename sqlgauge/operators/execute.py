@@ -100,7 +100,7 @@ class Executor:
         select lists that name ungrouped columns."""
         session, names, integers = self._session(db_id)
         text = to_spark_sql(sql, names, integers)
-        for _ in range(20):
+        while True:  # each round wraps one more column
             try:
                 return session.sql(text)
             except PySparkException as error:
@@ -108,10 +108,9 @@ class Executor:
                     raise
                 column = (error.getMessageParameters() or {}).get("expression", "").strip('"')
                 wrapped = any_value_of(text, column) if column else None
-                if wrapped is None:
+                if wrapped is None or wrapped == text:
                     raise
                 text = wrapped
-        return session.sql(text)
 
     # --- one statement -----------------------------------------------------
 

@@ -159,10 +159,9 @@ def efficiency_by_difficulty(ratios: DataFrame, samples: DataFrame) -> DataFrame
 
 
 def report(scores: DataFrame, name: str) -> str:
-    """Text table of a ``*_by_difficulty`` frame (four rows)."""
+    """One line per level of a ``*_by_difficulty`` frame (four rows): level, samples, score."""
     rows = {r["level"]: r for r in scores.collect()}
-    levels = [*DIFFICULTY_LEVELS, "total"]
-    head = f"{'':20} " + " ".join(f"{level:20}" for level in levels)
-    counts = f"{'count':20} " + " ".join(f"{rows[level]['count']:<20}" for level in levels)
-    values = f"{name:20} " + " ".join(f"{rows[level][name]:<20.2f}" for level in levels)
-    return "\n".join([head, counts, f" {name.upper()} ".center(100, "="), values])
+    lines = [f"{'level':<12}{'samples':>10}{name:>12}"]
+    for level in [*DIFFICULTY_LEVELS, "total"]:
+        lines.append(f"{level:<12}{rows[level]['count']:>10}{rows[level][name]:>12.2f}")
+    return "\n".join(lines)

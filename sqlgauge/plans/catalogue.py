@@ -186,13 +186,19 @@ def clause_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def draft_cleanup(spark: SparkSession, sf: str) -> DataFrame:
-    """Generated text with fences and split operators, cleaned."""
+    """Replies as models give them after a prompt that ends in SELECT, cleaned.
+
+    Fenced, fenced in lower case with split operators, or only the rest of the statement.
+    """
     log = dv.query_log(spark, sf)
-    raw = F.concat(
-        F.lit("SELECT  ```sql\nSELECT "),
-        F.replace(F.col("gold_sql"), F.lit(">="), F.lit("> =")),
-        F.lit("\nLIMIT 3```"),
+    sql = F.col("gold_sql")
+    split = F.replace(sql, F.lit(">="), F.lit("> ="))
+    reply = (
+        F.when(F.col("sql_idx") % 3 == 0, F.concat(F.lit("```sql\n"), sql, F.lit("\n```")))
+        .when(F.col("sql_idx") % 3 == 1, F.concat(F.lit("```\n"), F.regexp_replace(split, "(?i)^select", "select"), F.lit("```")))
+        .otherwise(F.regexp_replace(sql, r"(?i)^select\s+", ""))
     )
+    raw = F.concat(F.lit("SELECT  "), reply)
     return log.select(
         "sql_idx",
         tx.clean_draft(raw).alias("draft"),
@@ -257,7 +263,7 @@ def fk_reachability(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("db_id", "src")
         .agg(F.count(F.lit(1)).alias("n_queries"))
     )
-    return sources.join(usage.reachable_tables(schemas, 5), ["db_id", "src"]).select(
+    return sources.join(usage.reachable_tables(schemas), ["db_id", "src"]).select(
         "src", "dst", "depth", "n_queries"
     )
 
@@ -324,7 +330,7 @@ def render_selection(spark: SparkSession, sf: str) -> DataFrame:
         "sql_idx",
         render.schema_text_by_columns(F.col("db_schema"), F.col("used")).alias("by_columns"),
         render.schema_text_in_order(F.col("db_schema"), F.reverse("used")).alias("in_order"),
-        render.schema_text_by_tables(F.col("db_schema"), F.slice("named", 1, 1)).alias("first_table"),
+        render.schema_text_by_tables(F.col("db_schema"), F.col("named")).alias("by_tables"),
     )
 
 

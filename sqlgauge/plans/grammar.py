@@ -5,6 +5,8 @@ Each entry pairs a DataFrame plan with the SQL that checks it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +57,8 @@ def _filter_in_list(t: Tables) -> DataFrame:
 
 
 def _filter_null(t: Tables) -> DataFrame:
-    # Customers without orders leave NULLs behind; IS NULL finds them.
-    spent = t.orders.groupBy("o_custkey").agg(F.max("o_totalprice").alias("top"))
+    # Customers without such orders leave NULLs behind; IS NULL finds them.
+    spent = t.orders.where(_c("o_totalprice") > 300000).groupBy("o_custkey").agg(F.max("o_totalprice").alias("top"))
     joined = t.customer.join(spent, _c("c_custkey") == _c("o_custkey"), "left")
     return joined.where(_c("top").isNull()).select("c_custkey")
 
@@ -203,7 +205,7 @@ def _set_intersect(t: Tables) -> DataFrame:
 
 def _set_except(t: Tables) -> DataFrame:
     left = t.customer.select(_c("c_custkey").alias("k"))
-    return left.subtract(t.orders.select("o_custkey").distinct())
+    return left.subtract(t.orders.where(_c("o_totalprice") > 300000).select("o_custkey").distinct())
 
 
 def _set_chain(t: Tables) -> DataFrame:
@@ -219,10 +221,39 @@ def _sub_in(t: Tables) -> DataFrame:
     return found.select("c_custkey", "c_name")
 
 
+def not_in(left: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``left`` for which ``column NOT IN (keys)`` is true; ``keys`` has one column.
+
+    A NULL among the keys makes the condition true for no row, and a NULL on the left makes it
+    true only without any key. Both facts are one-row scalars; the rest is a shuffled anti join.
+    """
+    key = keys.columns[0]
+    n_keys = keys.agg(F.count(F.lit(1))).scalar()
+    n_nulls = keys.agg(F.count_if(F.col(key).isNull())).scalar()
+    possible = left.where((n_keys == 0) | ((n_nulls == 0) & F.col(column).isNotNull()))
+    distinct = keys.where(F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct()
+    return possible.join(distinct.hint("merge"), F.col(column) == F.col("_key"), "left_anti")
+
+
 def _sub_not_in(t: Tables) -> DataFrame:
-    # The key holds no NULLs, so NOT IN is an anti join.
-    keys = t.orders.where(_c("o_custkey").isNotNull()).select("o_custkey").distinct()
-    return t.customer.join(keys, _c("c_custkey") == _c("o_custkey"), "left_anti").select("c_custkey")
+    big = t.orders.where(_c("o_totalprice") > 300000).select("o_custkey")
+    return not_in(t.customer, "c_custkey", big).select("c_custkey")
+
+
+def _sub_not_in_null(t: Tables) -> DataFrame:
+    # NULLs left, right, and no key at all: three counts.
+    customer = t.customer.select(F.nullif("c_custkey", F.lit(7)).alias("k"))
+    big = t.orders.where(_c("o_totalprice") > 300000).select("o_custkey")
+    cases = {
+        "null_left": big,
+        "null_right": big.select(F.expr("CASE WHEN o_custkey % 3 > 0 THEN o_custkey END").alias("o_custkey")),
+        "no_key": big.where("o_custkey < 0"),
+    }
+    counts = [
+        not_in(customer, "k", keys).agg(F.lit(name).alias("kind"), F.count(F.lit(1)).alias("n"))
+        for name, keys in cases.items()
+    ]
+    return reduce(DataFrame.unionAll, counts)
 
 
 def _sub_exists(t: Tables) -> DataFrame:
@@ -231,10 +262,8 @@ def _sub_exists(t: Tables) -> DataFrame:
 
 
 def _sub_scalar(t: Tables) -> DataFrame:
-    # One row: the average. Catalyst turns the join into a broadcast of that row.
-    mean = t.orders.agg(F.avg("o_totalprice").alias("mean"))
-    joined = t.orders.join(F.broadcast(mean), _c("o_totalprice") > _c("mean") * 1.5)
-    return joined.select("o_orderkey", "o_totalprice")
+    mean = t.orders.agg(F.avg("o_totalprice")).scalar()
+    return t.orders.where(_c("o_totalprice") > mean * 1.5).select("o_orderkey", "o_totalprice")
 
 
 def _sub_from(t: Tables) -> DataFrame:
@@ -280,7 +309,8 @@ GRAMMAR = {
     "filter_null": (
         _filter_null,
         "SELECT c_custkey FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS top "
-        "FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey WHERE top IS NULL",
+        "FROM orders WHERE o_totalprice > 300000 GROUP BY o_custkey) ON c_custkey = o_custkey "
+        "WHERE top IS NULL",
     ),
     "select_distinct": (_select_distinct, "SELECT DISTINCT p_brand, p_type FROM part"),
     "arith_units": (
@@ -364,7 +394,9 @@ GRAMMAR = {
         "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     ),
     "set_except": (
-        _set_except, "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders"
+        _set_except,
+        "SELECT c_custkey AS k FROM customer EXCEPT "
+        "SELECT o_custkey FROM orders WHERE o_totalprice > 300000",
     ),
     "set_chain": (
         _set_chain,
@@ -378,7 +410,20 @@ GRAMMAR = {
     ),
     "sub_not_in": (
         _sub_not_in,
-        "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        "SELECT c_custkey FROM customer WHERE c_custkey NOT IN "
+        "(SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
+    ),
+    "sub_not_in_null": (
+        _sub_not_in_null,
+        " UNION ALL ".join(
+            f"SELECT '{kind}' AS kind, count(*) AS n FROM (SELECT nullif(c_custkey, 7) AS k FROM customer) "
+            f"WHERE k NOT IN (SELECT {key} FROM orders WHERE o_totalprice > 300000 AND {keep})"
+            for kind, key, keep in (
+                ("null_left", "o_custkey", "TRUE"),
+                ("null_right", "CASE WHEN o_custkey % 3 > 0 THEN o_custkey END", "TRUE"),
+                ("no_key", "o_custkey", "o_custkey < 0"),
+            )
+        ),
     ),
     "sub_exists": (
         _sub_exists,

@@ -150,9 +150,6 @@ FK_LINES = [
     "", _ORDER_KEY, "", "", _ORDER_KEY, _CUSTOMER_KEY + "\n" + _ORDER_KEY, "",
     "\n".join(KEY_LINES),
 ]
-FIRST_TABLE = [
-    "orders", "customer", "orders", "orders", "customer", "nation", "lineitem", "region",
-]
 N_TABLES = [1, 2, 1, 1, 2, 3, 1, 0]
 # tables, aggregates, set operators, directions, limit, joins, conditions, subqueries
 PROFILES = [
@@ -347,7 +344,10 @@ def _render_selection_sql() -> str:
             for i, (t, cs) in enumerate(tables)
             for j, c in enumerate(cs.split(","))
         ]
-    first = ", ".join(f"({i}, '{t}')" for i, t in enumerate(FIRST_TABLE))
+    order = list(COLUMNS)
+    named = ", ".join(
+        f"({i}, '{t}', {order.index(t)})" for i, x in enumerate(TABLE_SETS) for t in x[0].split(",")
+    )
     return f"""
     WITH c AS {_COLUMN_TEXT},
     lines AS (SELECT shape, i, '# ' || u.t || ' ( ' || string_agg(text, ', ' ORDER BY j) || ' )' AS line
@@ -356,11 +356,12 @@ def _render_selection_sql() -> str:
     picked AS (SELECT shape, string_agg(line, chr(10) ORDER BY i) AS by_columns,
                       string_agg(line, chr(10) ORDER BY i DESC) AS in_order
                FROM lines GROUP BY shape),
-    first AS (SELECT shape, '# ' || f.t || ' ( ' || string_agg(text, ', ' ORDER BY ci) || ' )'
-                     AS first_table
-              FROM (VALUES {first}) AS f(shape, t) JOIN c ON c.t = f.t GROUP BY shape, f.t)
+    tables AS (SELECT shape, f.ti, '# ' || f.t || ' ( ' || string_agg(text, ', ' ORDER BY ci) || ' )'
+                      AS line
+               FROM (VALUES {named}) AS f(shape, t, ti) JOIN c ON c.t = f.t GROUP BY shape, f.ti, f.t),
+    first AS (SELECT shape, string_agg(line, chr(10) ORDER BY ti) AS by_tables FROM tables GROUP BY shape)
     SELECT o_orderkey AS sql_idx, coalesce(by_columns, '') AS by_columns,
-           coalesce(in_order, '') AS in_order, first_table
+           coalesce(in_order, '') AS in_order, by_tables
     FROM orders JOIN first ON first.shape = o_orderkey % {N_SHAPES}
     LEFT JOIN picked ON picked.shape = o_orderkey % {N_SHAPES}
     """
@@ -440,9 +441,9 @@ def oracle_sql() -> dict[str, str]:
         )
         + ') AS p(shape, tables, aggregates, set_operators, directions, "limit", n_joins, '
         f"n_conditions, n_subqueries) ON shape = o_orderkey % {N_SHAPES}",
-        "draft_cleanup": "SELECT sql_idx, 'SELECT ' || gold_sql || ' LIMIT 3' AS draft, "
-        "CASE WHEN shape = 2 THEN 'SELECT  SELECT ' ELSE 'SELECT  ' END || gold_sql || ' LIMIT 3' "
-        f"AS correction FROM {LOG}",
+        "draft_cleanup": "SELECT sql_idx, sql AS draft, sql AS correction FROM (SELECT sql_idx, "
+        "'SELECT ' || regexp_replace(regexp_replace(gold_sql, '\\s*\\n\\s*', ' ', 'g'), "
+        f"'^select\\s+', '', 'i') AS sql FROM {LOG})",
         "catalog_columns": " UNION ALL ".join(
             f"SELECT '{t}' AS table_name, '{c}' AS column_name, {ti} AS table_idx, {ci} AS col_idx, "
             f"'{kind}' AS data_type, {str(c in dv.PRIMARY_KEYS.get(t, [])).upper()} AS is_pk, "
@@ -461,7 +462,7 @@ def oracle_sql() -> dict[str, str]:
         "fk_reachability": "SELECT src, dst, depth, n_queries FROM (SELECT src, count(*) AS n_queries "
         f"FROM (SELECT unnest(string_split({_by_shape([x[0] for x in TABLE_SETS])}, ',')) AS src "
         f"FROM {LOG}) GROUP BY src) JOIN (VALUES "
-        + ", ".join(f"('{a}', '{b}', {n})" for a, b, n in _distances(5))
+        + ", ".join(f"('{a}', '{b}', {n})" for a, b, n in _distances(len(COLUMNS)))
         + ") AS d(src, dst, depth) USING (src)",
         "used_columns": f"SELECT sql_idx, {_by_shape(BY_WORD)} AS by_word, "
         f"{_by_shape(BY_MENTION)} AS by_mention, {_by_shape(WITH_KEYS)} AS with_keys FROM {LOG}",

@@ -43,25 +43,40 @@ def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-def spark_type(declared: str) -> str:
-    """Spark type of a declared SQLite type, after SQLite's affinity rules."""
+def affinity(declared: str) -> str:
+    """SQLite's affinity of a declared type; the first rule that applies wins."""
     name = declared.upper()
-    if "INT" in name:
-        return "bigint"
-    if any(part in name for part in ("REAL", "FLOA", "DOUB")):
-        return "double"
-    return "string"
+    rules = {
+        "integer": ("INT",),
+        "text": ("CHAR", "CLOB", "TEXT"),
+        "blob": ("BLOB",),
+        "real": ("REAL", "FLOA", "DOUB"),
+    }
+    found = (kind for kind, parts in rules.items() if any(part in name for part in parts))
+    return next(found, "numeric" if name.strip() else "blob")
+
+
+def spark_type(declared: str, stored: set[str] = frozenset()) -> str:
+    """Spark type that holds every cell of a column.
+
+    ``stored`` has SQLite's types of the cells. Declared types only bind empty columns and text:
+    SQLite lets any cell hold anything, so a numeric column with text in it is a text column
+    here, and one with fractions is a double; no cell is cut or lost.
+    """
+    kind, stored = affinity(declared), stored - {"null"}
+    if kind == "text" or stored & {"text", "blob"} or (kind == "blob" and not stored):
+        return "string"
+    if stored:
+        return "bigint" if stored == {"integer"} and kind != "real" else "double"
+    return "bigint" if kind == "integer" else "double"
 
 
 def _fit(value: object, kind: str) -> object:
-    """The value as its column's type; SQLite itself allows any value anywhere."""
+    """The cell as its column's type."""
     value = decode(value)
-    if value is None or kind == "string":
-        return None if value is None else str(value)
-    try:
-        return int(value) if kind == "bigint" else float(value)
-    except (TypeError, ValueError):
+    if value is None:
         return None
+    return {"string": str, "bigint": int, "double": float}[kind](value)
 
 
 class _Range(InputPartition):
@@ -114,8 +129,14 @@ class SQLiteSource(DataSource):
     def _columns(self) -> list[tuple[str, str]]:
         connection = _connect(self.options["path"])
         try:
-            rows = connection.execute(f"PRAGMA table_info({_quoted(self.options['table'])})")
-            return [(decode(r[1]), spark_type(decode(r[2]) or "")) for r in rows.fetchall()]
+            table = _quoted(self.options["table"])
+            columns = connection.execute(f"PRAGMA table_info({table})").fetchall()
+            found = []
+            for _, name, declared, *_ in columns:
+                name = decode(name)
+                types = connection.execute(f"SELECT DISTINCT typeof({_quoted(name)}) FROM {table}")
+                found.append((name, spark_type(decode(declared) or "", {decode(t[0]) for t in types})))
+            return found
         finally:
             connection.close()
 

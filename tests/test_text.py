@@ -82,7 +82,7 @@ def test_generated_text(spark):
         "SELECT a FROM t", "SELECT a FROM t WHERE a >= 1 AND b != 2"
     ]
     fixed = ["SELECT SELECT a\nFROM t", "SELECTsql\n a", "SELECT ```sql\na\n```"]
-    assert apply(spark, tx.clean_correction, fixed) == ["SELECT a FROM t", " a", "SELECT a"]
+    assert apply(spark, tx.clean_correction, fixed) == ["SELECT a FROM t", "SELECT a", "SELECT a"]
     assert apply(spark, tx.unconcat, ["a || ' ' || b", "a || ', ' || b"]) == ["a ,  b", "a ,  b"]
 
 
