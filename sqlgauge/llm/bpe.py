@@ -258,6 +258,21 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "_ids") -> DataF
     return docs.withColumn("_bytes", raw(F.col(ids)))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``_code``: the ids of each text, and the bytes decoded from them."""
+
+    @F.arrow_udf("ids array<int>, decoded binary")
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        c = coder(path, pattern)
+        for batch in batches:
+            ids = [x for group in _groups(batch) for x in c.encode(group)]
+            back = pa.array([c.decode(x) for x in ids], pa.binary())
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), back], ["ids", "decoded"])
+
+    small_batches(docs.sparkSession)
+    return docs.withColumn("_code", code(F.col(text)))
+
+
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ``_code``: n_tokens, ids_sha256 and decoded_sha256, without moving the ids."""
 

@@ -256,6 +256,7 @@ def predictor(spark, samples: dict[str, list[str]]):
 
 
 def predict_languages(docs: DataFrame, samples: dict[str, list[str]], text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``_lang`` of (lang_pred, score)."""
+    """``docs`` with a struct ``_lang`` of (lang_pred, score), computed once whatever reads it."""
     small_batches(docs.sparkSession)
-    return docs.withColumn("_lang", predictor(docs.sparkSession, samples)(F.col(text)))
+    once = predictor(docs.sparkSession, samples).asNondeterministic()
+    return docs.withColumn("_lang", once(F.col(text)))
