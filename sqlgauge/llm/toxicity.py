@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from .common import mixed, pieces, small_batches, store, words
 
 BITS = 22
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 8.0, 0.5
-EPOCHS = 6
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 12.0, 0.5
+EPOCHS = 8
 SAMPLE_ROWS = {1: 3000, 0: 6000}
 _PAIR, _SKIP = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F)
 
