@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -16,7 +17,7 @@ import xxhash
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from sqlgauge.llm import bpe, decontam, embeddings, html, language, lines, sharding, simhash, substrings, toxicity
+from sqlgauge.llm import bpe, decontam, embeddings, html, language, lines, near, sharding, simhash, substrings, toxicity
 from sqlgauge.llm.common import words
 from sqlgauge.llm.queries import PATTERN, VOCABULARY
 from sqlgauge.llm.suffix_array import suffix_array
@@ -149,6 +150,36 @@ def test_simhash(spark):
     assert kept.columns == frame(spark, texts).columns
 
 
+def similarity(x, y, k=5):
+    def counts(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", lowered(text or ""))
+        return Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else Counter()
+
+    a, b = counts(x), counts(y)
+    return sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
+
+
+def test_near_stage_links_similarity_from_0_8(spark):
+    r = random.Random(12)
+    texts = odd_texts()
+    for n in (12, 40, 150, 400):
+        base = [f"w{r.randrange(3000)}" for _ in range(n)]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(r.randrange(0, 2 + n // 30)):
+                w[r.randrange(len(w))] = f"v{r.randrange(10**6)}"
+            texts.append(" ".join(w[: len(w) - r.randrange(0, 1 + n // 12)]))
+    texts += [" ".join(["one two three four five six"] * k) for k in (1, 2, 9, 10, 30)]
+    like = {(a, b): similarity(texts[a], texts[b]) for a in range(len(texts)) for b in range(a)}
+    want = components(len(texts), lambda a, b: like[a, b] >= 0.8 - 1e-12)
+    prints = [fingerprint(t) for t in texts]
+    assert want != components(len(texts), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    kept = corpus_pipeline.near_dedup(spark, frame(spark, texts), DATA)
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(want.values()))
+    twice = frame(spark, [texts[60], texts[90], texts[60] + " x", "alone"], [5, 5, 2, 9])
+    assert {(x["doc_id"], x["text"]) for x in near.keep_one_of_each(twice).collect()} >= {(5, texts[90]), (9, "alone")}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_simhash_posting_lists_miss_no_link(spark, seed):
     r = random.Random(seed)
@@ -400,3 +431,19 @@ def test_pipeline_stages_equal_brute_force(spark):
         now = out
     assert all(r["n_tokens"] == len(r["ids"]) for r in got.values())
     assert corpus_pipeline.run(spark, DATA).count() <= docs.count()
+
+
+def test_pipeline_near_stage_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    now = corpus_pipeline.line_dedup(spark, corpus_pipeline.language_id(spark, docs, DATA), DATA)
+    rows = {r["doc_id"]: r["text"] for r in now.collect()}
+    ids = sorted(rows)
+    n = [max(1, len(rows[i].split()) - 4) for i in ids]
+    near_in_size = lambda a, b: min(n[a], n[b]) >= 0.8 * max(n[a], n[b])
+    at = components(len(ids), lambda a, b: near_in_size(a, b) and similarity(rows[ids[a]], rows[ids[b]]) >= 0.8 - 1e-12)
+    out = corpus_pipeline.near_dedup(spark, now, DATA)
+    assert tuple(out.columns) == corpus_pipeline.COLUMNS
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {ids[k]: rows[ids[k]] for k in set(at.values())}
+    left = corpus_pipeline.decontaminate(spark, out, DATA)
+    coded = corpus_pipeline.tokenize(spark, left, DATA)
+    assert {r["doc_id"]: r["text"] for r in coded.collect()} == {r["doc_id"]: r["text"] for r in left.collect()}
