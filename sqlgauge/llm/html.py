@@ -58,30 +58,52 @@ _PIECE = re.compile(
 )
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+# a name with one of these tells how the element is laid out around another
+_LAYOUT = frozenset("no not non has have with without".split())
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 
 
-def _is_silent(tag: str, attributes: str) -> bool:
+def _is_silent(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is silent, and whether it may be spared for what it contains."""
+    if _HIDDEN.search(attributes) and tag not in ("html", "body", "article", "main"):
+        return True, False
     if tag in SILENT:
-        return True
+        return True, tag == "form"
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
     for m in _NAMED.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if not SILENT_WORDS.isdisjoint(_WORD.findall(value)):
-            return True
-    return bool(_HIDDEN.search(attributes))
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            found = _WORD.findall(name)
+            if _LAYOUT.isdisjoint(found) and not SILENT_WORDS.isdisjoint(found):
+                return True, True
+    return False, False
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters that count, inside an article) of each line of a page."""
+    """(text, characters that count, inside an article) of each line of a page.
+
+    Elements silent by name that hold all articles, or most text of a page without any, are spared.
+    """
+    lines, held, size, seen = _walk(page, frozenset())
+    if not held:
+        return lines
+    spared = frozenset(at for at, n, own in held if (own == seen if seen else 2 * n > size))
+    return _walk(page, spared)[0] if spared else lines
+
+
+def _walk(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, bool]], list[tuple[int, int, int]], int, int]:
+    """Lines, (place, characters, articles) of elements silent by name, and both sums of the page."""
     lines: list[tuple[str, int, bool]] = []
-    open_: list[tuple[str, bool]] = []  # element, silent
-    silent = links = articles = 0
+    open_: list[tuple[str, bool, int, int, int]] = []  # element, silent, place or -1, characters and articles before
+    held: list[tuple[int, int, int]] = []
+    silent = links = articles = size = seen = firm = 0
     parts: list[str] = []
     linked: list[str] = []
 
     def add(raw: str) -> None:
+        nonlocal size
+        if not firm:
+            size += len(raw.strip())
         if raw and not silent:
             parts.append(raw)
             if links:
@@ -98,10 +120,13 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             linked.clear()
 
     def close(depth: int) -> None:
-        nonlocal silent, links, articles
+        nonlocal silent, links, articles, firm
         while len(open_) > depth:
-            name, quiet = open_.pop()
+            name, quiet, place, n, own = open_.pop()
             silent -= quiet
+            firm -= quiet and place < 0
+            if place >= 0:
+                held.append((place, size - n, seen - own))
             links -= name == "a"
             articles -= name in ARTICLE
 
@@ -120,21 +145,25 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if m[2]:
             depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
             # inline ends do not close the blocks around them
-            if depth is not None and (tag in BLOCKS or not any(x in BLOCKS for x, _ in open_[depth + 1 :])):
+            if depth is not None and (tag in BLOCKS or not any(x[0] in BLOCKS for x in open_[depth + 1 :])):
                 close(depth)
         elif tag not in VOID:
             if tag in _CLOSED_BY_SAME and open_:
                 depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] in BLOCKS), -1)
                 if depth >= 0 and open_[depth][0] == tag:
                     close(depth)
-            quiet = _is_silent(tag, m[4] or "")
-            open_.append((tag, quiet))
+            quiet, by_name = _is_silent(tag, m[4] or "")
+            quiet = quiet and m.start() not in spared
+            open_.append((tag, quiet, m.start() if quiet and by_name else -1, size, seen))
             silent += quiet
+            firm += quiet and not by_name
+            seen += tag in ARTICLE
             links += tag == "a"
             articles += tag in ARTICLE
     add(page[at:])
     end_line()
-    return lines
+    close(0)
+    return lines, held, size, seen
 
 
 def main_text(page: str | None) -> str:

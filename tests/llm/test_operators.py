@@ -351,6 +351,14 @@ def test_html(spark):
     assert got == {0: "", 1: "", 2: "", 3: want, 4: ("long text " * 20).strip() + "\n\nshort", 5: "cut off", 6: "a"}
 
 
+@pytest.mark.parametrize("name", ["no-sidebar", "has-header", "page-with-sidebar", "main-search-result", "site sidebar"])
+def test_html_wrappers_are_not_silenced(name):
+    story = "A long story of many words that goes on for a while. " * 3
+    for inner in (f"<article><p>{story}</p></article>", f"<p>{story}</p>"):
+        page = f"<body><div class='{name}'>{inner}<div class='comments'><p>Nice</p></div></div><div class='menu'>Home</div>"
+        assert html.main_text(page) == story.strip()
+
+
 def test_words_are_lowered_runs():
     a, _ = words(pa.array(["The,CAT é"]))
     b, row = words(pa.array([None, "the", "cat", "é"]))
