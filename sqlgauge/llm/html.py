@@ -3,10 +3,12 @@
 A page is stripped of comments, scripts, styles and tags; each block element is a line. A line
 counts as many characters as it has outside of links; it counts none inside elements that by
 their name, role or class are menus, headers, footers, sidebars, notices, adverts, forms or
-reader comments, and, if the page marks an article, none outside of it. Sums over sliding
-windows of lines then show where text surges and where it dives to nothing; lines that count
-between a surge and its dive are kept, as many such stretches as there are. On pages that mark
-their article any text is a surge; elsewhere a window needs ``SURGE`` characters.
+reader comments, unless such an element holds all articles or, without any, most of the text.
+Inside a marked article a line counts all its characters ``ARTICLE_WEIGHT`` times. Sums over
+sliding windows of lines then show where text surges (``SURGE`` characters, or the most that a
+window of the page has) and where it dives to nothing; all lines between a surge and its dive are
+kept, link-heavy ones too, as many such stretches as there are. The border of an article is a
+dive, and the lines in it surge by their sum as one stretch.
 
 White space inside a line becomes one space; kept lines are joined by an empty line. Character
 references are decoded once. Null, empty and textless pages give an empty text; unclosed and
@@ -18,6 +20,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +31,7 @@ from .common import small_batches
 
 WINDOW = 3
 SURGE = 80
+ARTICLE_WEIGHT = 3
 LINKED_SHARE = 0.5
 
 BLOCKS = frozenset(
@@ -169,20 +173,26 @@ def _walk(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, bool]
 def main_text(page: str | None) -> str:
     """The main text of one page."""
     lines = page_lines(page or "")
-    marked = any(inside for _, _, inside in lines)
-    if marked:
-        counts = [len(text) if inside else 0 for text, _, inside in lines]
-    else:
-        counts = [n for _, n, _ in lines]
-    least = 1 if marked else min(SURGE, max(1, max((sum(counts[i : i + WINDOW]) for i in range(len(counts))), default=1)))
+    counts = [ARTICLE_WEIGHT * len(text) if inside else n for text, n, inside in lines]
+    sums = [
+        sum(counts[j] for j in range(i, min(i + WINDOW, len(lines))) if lines[j][2] == inside)
+        for i, (_, _, inside) in enumerate(lines)
+    ]
+    # a marked stretch surges or not as a whole, by all its lines
+    at = 0
+    for inside, run in groupby(lines, key=lambda line: line[2]):
+        to = at + sum(1 for _ in run)
+        if inside:
+            sums[at:to] = [sum(counts[at:to])] * (to - at)
+        at = to
+    least = min(SURGE, max(sums, default=1) or 1)
     kept, flowing = [], False
-    for i, (text, _, _) in enumerate(lines):
-        ahead = sum(counts[i : i + WINDOW])
-        if not flowing and counts[i] and ahead >= least:
-            flowing = True  # surge
-        elif flowing and not ahead:
+    for i, (text, _, inside) in enumerate(lines):
+        if flowing and (not sums[i] or inside != lines[i - 1][2]):
             flowing = False  # dive
-        if flowing and counts[i]:
+        if not flowing and counts[i] and sums[i] >= least:
+            flowing = True  # surge
+        if flowing:
             kept.append(text)
     return "\n\n".join(kept)
 

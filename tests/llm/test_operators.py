@@ -359,6 +359,17 @@ def test_html_wrappers_are_not_silenced(name):
         assert html.main_text(page) == story.strip()
 
 
+def test_html_article_tags_do_not_decide_alone():
+    story = ["The first paragraph of the story has many words in it. " * 3, "The second one goes on with as many words. " * 3]
+    body = "".join(f"<p>{p}</p>" for p in story)
+    text = "\n\n".join(p.strip() for p in story)
+    teasers = "".join(f"<article><h2><a href=/{i}>Teaser {i}</a></h2></article><hr>" for i in range(3))
+    for page in (f"<div>{body}</div><div>{teasers}</div>", f"<article>Short box</article><div>{body}</div>"):
+        assert text in html.main_text(page)
+    linked = f"<p>{story[0]}</p><p><a href=x>a line that is all link</a></p><p>{story[1]}</p><p><a href=y>more</a></p>"
+    assert html.main_text(linked) == f"{story[0].strip()}\n\na line that is all link\n\n{story[1].strip()}"
+
+
 def test_words_are_lowered_runs():
     a, _ = words(pa.array(["The,CAT é"]))
     b, row = words(pa.array([None, "the", "cat", "é"]))
