@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embeddings, html, language, lines, sharding, simhash, substrings, toxicity
+from . import (
+    bpe,
+    decontam,
+    embeddings,
+    html,
+    language,
+    lines,
+    mining,
+    mixing,
+    sharding,
+    simhash,
+    substrings,
+    toxicity,
+    whitening,
+)
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -81,10 +95,30 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_report(_table(spark, folder, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh row bears a wrong label on purpose."""
+    rows = _table(spark, folder, "embeddings")
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mining.hard_negatives(rows.withColumn("label", wrong))
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that SQL can express."""
-    return {"op4_line_dedup": lines.LINE_REPORT_SQL, "op9_sharding": sharding.shards_sql()}
+    return {
+        "op4_line_dedup": lines.LINE_REPORT_SQL,
+        "op9_sharding": sharding.shards_sql(),
+        "op11_source_mixing": mixing.mix_sql(),
+        "op12_hard_negatives": mining.HARD_NEGATIVES_SQL,
+    }
