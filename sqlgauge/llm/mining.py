@@ -16,13 +16,14 @@ k rows for each task and anchor.
 Odd cases: rows with a null label, a null vector, or a null or non-finite component take no part.
 Vectors of different length have no score. A null id is no anchor and comes before all others in
 ties. Rows that repeat an id are rows of their own. Sums that leave the exact range of doubles
-are added as whole numbers of any size; scores beyond 64 bits are returned as the nearest long. A
-positive with a negative score has an empty window. An empty table gives an empty result.
+are added as whole numbers of any size, compared with up to 38 digits (a pair with more has no
+score) and returned as the nearest long. A positive with a negative score has an empty window. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -168,17 +169,24 @@ def _vectors(batch: pa.RecordBatch, scale: int) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
-def _long(x: int) -> int:
-    return max(-(2**63), min(2**63 - 1, x))
-
-
-_FOUND = "anchor long, positive long, positive_id long, positive_score long, row long, id long, score long"
-_FIELDS = [f.split()[0] for f in _FOUND.split(", ")]
+_SCORE = pa.decimal128(38, 0)
+_TYPES = {
+    "anchor": pa.int64(),
+    "positive": pa.int64(),
+    "positive_id": pa.int64(),
+    "positive_score": _SCORE,
+    "row": pa.int64(),
+    "id": pa.int64(),
+    "score": _SCORE,
+}
+_FOUND = ", ".join(f"{n} {'decimal(38,0)' if t == _SCORE else 'long'}" for n, t in _TYPES.items())
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*found) if found else [[] for _ in _FIELDS]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _FIELDS)
+    found = [f for f in found if abs(f[-1]) < 10**38]
+    columns = list(zip(*found)) or [()] * len(_TYPES)
+    typed = [pa.array([x if x is None or t != _SCORE else Decimal(x) for x in c], t) for c, t in zip(columns, _TYPES.values())]
+    return pa.RecordBatch.from_arrays(typed, list(_TYPES))
 
 
 def _scan(search, scale: int):
@@ -211,13 +219,14 @@ def _scan(search, scale: int):
 
 def _search_positives(k: int):
     def search(blocks, row, label, q, goal):
-        return [(row, None, None, None, r, i, _long(s)) for s, i, r in positives(blocks, row, label, q, k)]
+        return [(row, None, None, None, r, i, s) for s, i, r in positives(blocks, row, label, q, k)]
 
     return search
 
 
 def _search_windows(k: int, window: tuple[int, int]):
     def search(blocks, row, label, q, goal):
+        goal = [{**g, "score": int(g["score"])} for g in goal]
         limits = {g["score"]: (-(-window[0] * g["score"] // 100), window[1] * g["score"] // 100) for g in goal}
         limits = {s: (low, high) for s, (low, high) in limits.items() if low <= high}
         best = dict(zip(limits, in_windows(blocks, label, q, list(limits.values()), k)))
@@ -234,6 +243,11 @@ def _id(c: Column) -> Column:
     return F.when(c != F.lit(LEAST_LONG), c)
 
 
+def _nearest_long(c: Column) -> Column:
+    most, least = (F.lit(x).cast("decimal(38,0)") for x in (2**63 - 1, -(2**63)))
+    return F.least(F.greatest(c, least), most).cast("long")
+
+
 def hard_negatives(
     vectors: DataFrame,
     key: str = "vec_id",
@@ -264,7 +278,7 @@ def hard_negatives(
     rows = numbered.withColumnRenamed("row_number", "row")
     stripes = max(-(-n // STRIPE), min(partitions(spark), -(-n // _LEAST_STRIPE)), 1)
     size = max(-(-n // stripes), 1)
-    goals = F.array().cast("array<struct<row:long,id:long,score:long>>")
+    goals = F.array().cast("array<struct<row:long,id:long,score:decimal(38,0)>>")
     own = rows.select(
         _div(F.col("row"), size).cast("int").alias("stripe"),
         F.lit(0).alias("kind"),
@@ -312,8 +326,8 @@ def hard_negatives(
         _id(F.col("positive_id")).alias("positive_id"),
         "rank",
         _id(F.col("id")).alias("negative_id"),
-        "positive_score",
-        F.col("score").alias("negative_score"),
+        _nearest_long(F.col("positive_score")).alias("positive_score"),
+        _nearest_long(F.col("score")).alias("negative_score"),
     )
 
 

@@ -134,9 +134,29 @@ def plan_sources(
     return placed.drop("_at"), totals["slots"]
 
 
+def _quotients(a: int, b: int) -> list[int]:
+    """Partial quotients of the continued fraction of a/b."""
+    found = []
+    while b:
+        found.append(a // b)
+        a, b = b, a % b
+    return found
+
+
+def lattice_step(n: int, tries: int = 256) -> int:
+    """A step coprime to ``n`` near its golden section, with small quotients to the end.
+
+    The smaller the quotients of step/n, the closer each stretch of multiples is to even.
+    """
+    middle = max(1, round(n * _GOLDEN))
+    near = range(max(1, middle - tries), min(max(n, 2), middle + tries + 1))
+    coprime = [g for g in near if math.gcd(g, n) == 1]
+    return min(coprime, key=lambda g: (max(_quotients(n, g)), abs(g - middle)))
+
+
 def _schedule(sources: DataFrame, n: int) -> DataFrame:
     """(source_rank, rank, slot): the slots of each source, ranked in schedule order."""
-    step = next(g for g in range(max(1, round(n * _GOLDEN)), 2 * n + 2) if math.gcd(g, n) == 1)
+    step = lattice_step(n)
     back = pow(step, -1, n) if n > 1 else 0
 
     def split(level: int) -> Column:

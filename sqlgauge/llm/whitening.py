@@ -5,8 +5,8 @@ the exact n*x - S over n. Tasks reduce their centred rows to a triangle by QR, b
 triangles are reduced pairwise up a tree of tasks; only the last few, of d x d numbers each, reach the
 driver. There the triangle is made bidiagonal, the quotient-difference algorithm with shifts (dqds)
 finds its singular values to high relative accuracy, and a twisted factorisation for each value gives
-its vector without squaring the matrix. Values too close to be told apart (``_CLOSE``) get their
-vectors together, by inverse iteration and a Rayleigh-Ritz step. A direction is a singular vector over its
+its vector without squaring the matrix. Values closer to each other than ``_CLOSE`` have no well
+separated vectors; theirs are found together in the space that the others leave. A direction is a singular vector over its
 standard deviation; its largest entry is positive.
 
 The covariance of the whitened vectors is measured over all distinct vectors, each task's moments
@@ -35,7 +35,7 @@ SHIFT = 1_000_000
 COMPONENTS = 16
 _LARGEST = 2**60
 _FAN_IN = 16
-_CLOSE = 1e-4  # relative gap of variances below which vectors are found together
+_CLOSE = 1e-5  # relative gap of variances below which vectors are found together
 _EPS = np.finfo(float).eps
 
 
@@ -145,36 +145,22 @@ def twisted_vector(diagonal: np.ndarray, upper: np.ndarray, value: float) -> np.
     return z / np.linalg.norm(z)
 
 
-def _together(diagonal, upper, values: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Orthonormal vectors of a group of close eigenvalues, apart from those of ``others``."""
-    n, k = len(diagonal), len(values)
-    b = np.diag(diagonal) + np.diag(upper, 1)
-    shifted = b.T @ b - values.mean() * np.eye(n)
-    shifted += np.eye(n) * _EPS * max(float(np.abs(diagonal).max()) ** 2, np.finfo(float).tiny)
-    x = np.random.default_rng(n).standard_normal((n, k))
-    for _ in range(3):
-        x -= others @ (others.T @ x)
-        x = np.linalg.qr(np.linalg.lstsq(shifted, x, rcond=None)[0])[0]
-    x -= others @ (others.T @ x)
-    x = np.linalg.qr(x)[0]
-    return x @ np.linalg.svd(b @ x, full_matrices=False)[2].T
-
-
 def singular_vectors(diagonal: np.ndarray, upper: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Right singular vectors of a bidiagonal matrix for its squared singular values, falling."""
+    """Right singular vectors of a bidiagonal matrix for its squared singular values, falling.
+
+    Values apart from all others get theirs by twisted factorisation. The rest is decided in the
+    space left over by those, where the matrix is reduced to as many columns.
+    """
     n = len(values)
-    gaps = values[:-1] - values[1:]
-    bounds = [0, *[i + 1 for i in range(n - 1) if gaps[i] > _CLOSE * values[i]], n]
-    groups = list(zip(bounds[:-1], bounds[1:]))
-    z = np.zeros((len(diagonal), n))
-    alone = [a for a, b in groups if b - a == 1]
-    for i in alone:
+    near = np.concatenate([[False], values[:-1] - values[1:] <= _CLOSE * values[:-1], [False]])
+    close = near[:-1] | near[1:]
+    z = np.zeros((n, n))
+    for i in np.flatnonzero(~close).tolist():
         z[:, i] = twisted_vector(diagonal, upper, values[i])
-    done = list(alone)
-    for a, b in groups:
-        if b - a > 1:
-            z[:, a:b] = _together(diagonal, upper, values[a:b], z[:, done])
-            done += range(a, b)
+    if close.any():
+        rest = np.linalg.qr(z[:, ~close], mode="complete")[0][:, int((~close).sum()) :]
+        b = np.diag(diagonal) + np.diag(upper, 1)
+        z[:, close] = rest @ np.linalg.svd(b @ rest, full_matrices=False)[2].T
     return z
 
 
@@ -182,6 +168,8 @@ def components(r: np.ndarray, n: int, most: int = COMPONENTS) -> tuple[np.ndarra
     """Variances (falling), unit directions as columns, and the trace, from the triangle of n rows."""
     diagonal, upper, right = bidiagonalise(r)
     values = qd_values(diagonal, upper)
+    if not values[0]:
+        return np.zeros(0), np.zeros((len(r), 0)), 0.0
     limit = (64 * len(r) * _EPS) ** 2 * values[0]
     z = right @ singular_vectors(diagonal, upper, values)
     z = z[:, : min(most, int((values > limit).sum()))]
