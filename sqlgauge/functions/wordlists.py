@@ -53,7 +53,6 @@ DIFFICULTY_LEVELS = ("simple", "moderate", "challenging")
 BM25_K1 = 1.5
 BM25_B = 0.75
 BM25_EPSILON = 0.25
-BM25_CANDIDATES = 1000
 VALUES_KEPT = 2
 MATCH_THRESHOLD = 0.85
 
@@ -66,13 +65,3 @@ LONG_PROMPT_TOKENS = 3800
 
 # Sample values of this many characters or more are not rendered.
 MAX_RENDERED_VALUE = 100
-
-# SQL keywords.
-SQL_KEYWORDS = (
-    "select", "from", "where", "group", "order", "limit", "intersect", "union", "except",
-    "join", "on", "as",
-    "not", "between", "in", "like", "is", "exists",
-    "max", "min", "count", "sum", "avg",
-    "and", "or",
-    "desc", "asc",
-)

@@ -3,14 +3,13 @@
 The distinct values of all columns form one long frame. Stored, each value has
 its ``place`` in the order of its column: a small number that stands for the
 text in every join, breaks ties in value order, and marks the first values.
-BM25 is a join of question words with postings; the fuzzy match runs on the few
-pairs that can match at all.
-
-How the work is spread: words are counted and scores are summed where the
-values lie, since both are grouped by supersets of (column, place). The question
-side is broadcast only if its measured size is small; beyond, the postings of a
-word are split over several tasks (``operators.joins``). Ranking keeps at most k
-rows per question and column in each task before anything is shuffled.
+BM25 is in ``operators.bm25``; the fuzzy match runs on the pairs that an index of
+grams and rare words finds.
+
+How the work is spread: all steps are equi-joins. The smaller side is broadcast only
+if its measured size is small; beyond, the rows of a key are split over several
+tasks (``operators.joins``). Ranking keeps at most k rows per question and column in
+each task before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -24,24 +23,20 @@ from sqlgauge.functions.similarity import (
     comparable,
     fuzzy_match,
     may_match,
-    value_initial,
+    run_grams,
+    shortest_run_column,
+    span_words,
+    start_grams,
     word_starts,
 )
-from sqlgauge.functions.text import span_initials, strip
-from sqlgauge.functions.wordlists import (
-    BM25_B,
-    BM25_CANDIDATES,
-    BM25_EPSILON,
-    BM25_K1,
-    MATCH_THRESHOLD,
-    VALUES_KEPT,
-)
+from sqlgauge.functions.text import let, strip
+from sqlgauge.functions.wordlists import MATCH_THRESHOLD, VALUES_KEPT
+from sqlgauge.operators import bm25
+from sqlgauge.operators.bm25 import COLUMN_KEY, PAIR_KEY, VALUE_KEY
 from sqlgauge.operators.joins import spread_join
 from sqlgauge.session import materialise, task_count
 
-COLUMN_KEY = ["db_id", "table_name", "column_name"]
-VALUE_KEY = [*COLUMN_KEY, "place"]
-PAIR_KEY = ["sql_idx", *COLUMN_KEY]
+_STRETCH = 1024
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 
 
@@ -141,156 +136,124 @@ def store_values(values: DataFrame) -> DataFrame:
 # --- BM25 ------------------------------------------------------------------
 
 
-def _words(text: Column) -> Column:
-    return F.split(text, " ")
-
-
-def postings(stored: DataFrame) -> DataFrame:
-    """(column, place, length, token, tf), partitioned by column and place.
+def bm25_scores(questions: DataFrame, stored: DataFrame) -> DataFrame:
+    """(sql_idx, column, place, score) of every value sharing a word with a question.
 
-    The one shuffle moves the words of each value together, without its text.
+    All other values score 0. ``questions`` is (sql_idx, db_id, question),
+    ``stored`` comes from :func:`store_values`.
     """
-    return (
-        stored.select(*VALUE_KEY, _words(F.col("value")).alias("words"))
-        .repartition(*VALUE_KEY)
-        .select(*VALUE_KEY, F.size("words").alias("length"), F.explode("words").alias("token"))
-        .groupBy(*VALUE_KEY, "length", "token")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    return bm25.score_all(bm25.build_index(questions, stored))
 
 
-def column_stats(stored: DataFrame) -> DataFrame:
-    """(column, n_values, mean_length): one row per column."""
-    return stored.groupBy(*COLUMN_KEY).agg(
-        F.count(F.lit(1)).alias("n_values"),
-        F.avg(F.size(_words(F.col("value")))).alias("mean_length"),
-    )
+def bm25_topk(questions: DataFrame, stored: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best scored values per question and column; ties in value order."""
+    return bm25.top_values(bm25.build_index(questions, stored), k)
 
 
-def token_weights(stored: DataFrame, stats: DataFrame) -> DataFrame:
-    """(column, token, idf, mean_length): Okapi idf of every word of every column.
+def with_text(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Add the ``value`` of (column, place)."""
+    return rows.join(stored.select(*VALUE_KEY, "value"), VALUE_KEY)
 
-    A negative idf is replaced by a quarter of the mean idf of the column.
-    Frames of one row per column are broadcast; the schema bounds their size.
-    """
-    counts = (
-        stored.select(*COLUMN_KEY, F.explode(F.array_distinct(_words(F.col("value")))).alias("token"))
-        .groupBy(*COLUMN_KEY, "token")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-    raw = counts.join(F.broadcast(stats), COLUMN_KEY).withColumn(
-        "idf", F.ln(F.col("n_values") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    )
-    floors = raw.groupBy(*COLUMN_KEY).agg((F.avg("idf") * BM25_EPSILON).alias("floor"))
-    return raw.join(F.broadcast(floors), COLUMN_KEY).select(
-        *COLUMN_KEY,
-        "token",
-        F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"),
-        "mean_length",
-    )
 
+# --- fuzzy match -----------------------------------------------------------
 
-def question_weights(questions: DataFrame, stored: DataFrame, stats: DataFrame) -> DataFrame:
-    """(sql_idx, column, token, weight, mean_length) of the words of each question.
 
-    Written to the shared folder: small, and read by every scoring step. The
-    distinct words meet the vocabulary first, so that a word asked by many
-    questions is one row in that join.
-    """
-    asked = (
-        questions.select("sql_idx", "db_id", F.explode(_words(F.col("question"))).alias("token"))
-        .groupBy("sql_idx", "db_id", "token")
-        .agg(F.count(F.lit(1)).alias("qtf"))
-    )
-    words = asked.select("db_id", "token").distinct()
-    found = materialise(
-        token_weights(stored, stats).join(words, ["db_id", "token"], "left_semi"), "vocabulary"
-    )
-    return materialise(
-        spread_join(asked, found, ["db_id", "token"], "sql_idx").select(
-            *PAIR_KEY, "token", (F.col("qtf") * F.col("idf")).alias("weight"), "mean_length"
-        ),
-        "weights",
-    )
+def _theta_of(theta: float, names_exact: bool) -> Column:
+    """Least score of a stored value: 1 where a lower one never counts."""
+    plain_upper = F.col("value").rlike(r"^[\x00-\x7F]*$") & F.col("value").rlike("[A-Z]") & ~F.col("value").rlike("[a-z]")
+    exact = plain_upper | F.col("column_name").contains("name") if names_exact else plain_upper
+    return F.when(exact, F.lit(1.0)).otherwise(F.lit(theta))
 
 
-def score_values(wanted: DataFrame, stored: DataFrame) -> DataFrame:
-    """(sql_idx, column, place, score): weights summed over the words of each value.
+def _fuzzy_index(values: DataFrame, theta: float) -> DataFrame:
+    """(db_id, gram, column, place): grams that a question has at a word start if it matches the value.
 
-    The score is rounded to nine places, so that it does not depend on the order
-    of summation.
+    A value of n characters shares a run of at least ``shortest_run(n)`` with a matching question,
+    so one of its places leaves room for the run; the first characters of the run are the gram.
     """
-    spread = F.col("tf") + BM25_K1 * (
-        1 - BM25_B + BM25_B * F.col("length") / F.col("mean_length")
-    )
-    return (
-        spread_join(postings(stored), wanted, [*COLUMN_KEY, "token"], "place")
-        .withColumn("part", F.col("weight") * F.col("tf") * (BM25_K1 + 1) / spread)
-        .groupBy(*VALUE_KEY, "sql_idx")
-        .agg(F.round(F.sum("part"), 9).alias("score"))
-        .select(*PAIR_KEY, "place", "score")
+    run = shortest_run_column(F.char_length("stored"), theta)
+    rows = values.select(*VALUE_KEY, "stored", run.alias("run")).where("run > 0")
+    return rows.select(
+        *VALUE_KEY,
+        F.explode(run_grams(F.col("stored"), F.col("run"))).alias("gram"),
     )
 
 
-def bm25_scores(questions: DataFrame, stored: DataFrame) -> DataFrame:
-    """(sql_idx, column, place, score) of every value sharing a word with a question.
+def _exact_index(values: DataFrame) -> DataFrame:
+    """(db_id, gram, column, place): each value under its rarest word.
 
-    All other values score 0. ``questions`` is (sql_idx, db_id, question),
-    ``stored`` comes from :func:`store_values`.
+    A score of 1 needs the whole value in the question, its rarest word included.
     """
-    wanted = question_weights(questions, stored, column_stats(stored))
-    return score_values(wanted, stored)
-
-
-def _best_first(*extra_keys: str) -> W:
-    keys = [*PAIR_KEY, *extra_keys]
-    return W.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("place"))
+    word = F.explode(F.array_distinct(span_words(F.col("stored")))).alias("gram")
+    words = values.select(*VALUE_KEY, word)
+    counts = words.groupBy("db_id", "gram").agg(F.count(F.lit(1)).alias("df"))
+    rarest = F.min_by("gram", F.struct("df", "gram")).alias("gram")
+    return words.join(counts, ["db_id", "gram"]).groupBy(*VALUE_KEY).agg(rarest)
 
 
-def bm25_topk(scores: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best scored values per question and column; ties in value order."""
-    return scores.withColumn("rank", F.row_number().over(_best_first())).where(F.col("rank") <= k)
-
-
-def with_text(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Add the ``value`` of (column, place)."""
-    return rows.join(stored.select(*VALUE_KEY, "value"), VALUE_KEY)
-
+def fuzzy_candidates(
+    questions: DataFrame,
+    values: DataFrame,
+    theta: float = MATCH_THRESHOLD,
+    names_exact: bool = False,
+) -> DataFrame:
+    """(sql_idx, column, place) of pairs that may match, by an equi-join on grams or words.
 
-# --- value linking ---------------------------------------------------------
+    ``questions`` has (sql_idx, db_id, asked), ``values`` (column, place, value, stored), both
+    texts in the form of :func:`comparable`. No matching pair is left out.
+    """
+    least = materialise(values.withColumn("least", _theta_of(theta, names_exact)), "compared")
+    loose = materialise(_fuzzy_index(least.where("least < 1"), theta), "grams")
+    strict = materialise(_exact_index(least.where("least >= 1")), "rarest-words")
+    # at most one row per rung of the ladder of gram lengths
+    lengths = sorted(r[0] for r in loose.select(F.char_length("gram").alias("n")).distinct().collect())
+    found = []
+    if lengths:
+        grams = F.explode(F.array_distinct(F.flatten(F.array(*[start_grams(F.col("asked"), n) for n in lengths]))))
+        asked = questions.select("sql_idx", "db_id", grams.alias("gram"))
+        found.append(spread_join(asked, loose, ["db_id", "gram"], "sql_idx"))
+    words = F.explode(F.array_distinct(span_words(F.col("asked")))).alias("gram")
+    asked = questions.select("sql_idx", "db_id", words)
+    found.append(spread_join(asked, strict, ["db_id", "gram"], "sql_idx"))
+    pairs = found[0].select(*PAIR_KEY, "place")
+    for more in found[1:]:
+        pairs = pairs.unionByName(more.select(*PAIR_KEY, "place"))
+    return pairs.distinct()
 
 
 def fuzzy_pairs(
-    questions: DataFrame, candidates: DataFrame, theta: float = MATCH_THRESHOLD
+    questions: DataFrame,
+    stored: DataFrame,
+    theta: float = MATCH_THRESHOLD,
+    names_exact: bool = False,
 ) -> DataFrame:
-    """Fuzzy matches between questions and stored candidates of their database.
+    """Fuzzy matches between questions and the stored text values of their database.
 
-    A match starts with the same character as a word of the question, so the
-    join is an equi-join on (db_id, character), not a product.
+    With ``names_exact`` only perfect matches are looked for in columns called ``*name*``.
     """
-    n = task_count(questions.sparkSession)
-    asked = questions.repartition(n, "sql_idx").select(
-        "sql_idx",
-        "db_id",
-        "question",
-        comparable(F.col("question")).alias("asked"),
-        word_starts(F.col("question")).alias("starts"),
-        F.explode(span_initials(F.col("question"))).alias("initial"),
-    )
-    texts = candidates.where("is_text").select(
-        *VALUE_KEY,
-        "value",
-        value_initial(F.col("value")).alias("initial"),
-        comparable(F.col("value")).alias("stored"),
+    texts = materialise(
+        stored.where("is_text").select(*VALUE_KEY, "value", comparable(F.col("value")).alias("stored")),
+        "texts",
     )
-    pairs = spread_join(asked, texts, ["db_id", "initial"], "sql_idx").where(
-        may_match(F.col("asked"), F.col("starts"), F.col("stored"), theta)
+    n = task_count(questions.sparkSession)
+    asked = materialise(
+        questions.repartition(n, "sql_idx").select(
+            "sql_idx",
+            "db_id",
+            "question",
+            comparable(F.col("question")).alias("asked"),
+            word_starts(F.col("question")).alias("starts"),
+        ),
+        "compared-questions",
     )
-    return _keep_matches(pairs, theta)
+    pairs = fuzzy_candidates(asked, texts, theta, names_exact)
+    full = spread_join(pairs, texts, VALUE_KEY, "sql_idx").join(asked.drop("db_id"), "sql_idx")
+    likely = full.where(may_match(F.col("asked"), F.col("starts"), F.col("stored"), theta))
+    return _keep_matches(likely, theta)
 
 
-def _keep_matches(pairs: DataFrame, theta: float, *extra: str) -> DataFrame:
-    kept = [*PAIR_KEY, "place", "value", *extra]
+def _keep_matches(pairs: DataFrame, theta: float) -> DataFrame:
+    kept = [*PAIR_KEY, "place", "value"]
     # Pairs of one question or value may be many: they are spread by both before
     # the Python step, which is the costly one.
     n = task_count(pairs.sparkSession)
@@ -303,146 +266,90 @@ def _keep_matches(pairs: DataFrame, theta: float, *extra: str) -> DataFrame:
     )
 
 
+# --- value linking ---------------------------------------------------------
+
+
 def link_values(
     questions: DataFrame,
     stored: DataFrame,
-    k: int = BM25_CANDIDATES,
+    k: int | None = None,
     keep: int = VALUES_KEPT,
     theta: float = MATCH_THRESHOLD,
 ) -> DataFrame:
     """(sql_idx, column, matches): up to ``keep`` values per question and column.
 
-    The ``k`` best values by BM25 are the candidates. Fuzzy matches come first,
-    best score first; the best BM25 values fill the remaining places. Numeric
-    columns are only filled. Frames that several steps read are written to the
-    shared folder.
+    Fuzzy matches come first, best score first; the best values by BM25 fill the remaining places.
+    Numeric columns are only filled. With ``k``, only values among the ``k`` best by BM25 count as
+    fuzzy matches; by default all do. Every column of the database has a row for every question.
     """
     questions = materialise(questions.select("sql_idx", "db_id", "question"), "questions")
-    stats = materialise(column_stats(stored), "stats")
-    wanted = question_weights(questions, stored, stats)
-    scores = score_values(wanted, stored).where(F.col("score") != 0)
-    ranked = materialise(
-        scores.withColumn("sign", F.signum("score").cast("int"))
-        .withColumn("rank", F.row_number().over(_best_first("sign")))
-        .where(F.col("rank") <= k),
-        "ranked",
-    )
-    # Negative scores occur only in columns whose mean idf is negative.
-    low_columns = wanted.where(F.col("weight") < 0).select(*COLUMN_KEY).distinct()
-    lows = materialise(
-        score_values(wanted, stored.join(F.broadcast(low_columns), COLUMN_KEY, "left_semi"))
-        .where(F.col("score") < 0)
-        .groupBy(*PAIR_KEY)
-        .agg(F.count(F.lit(1)).alias("n_low")),
-        "lows",
-    )
-    # Values without a score are candidates in value order: the first k of a
-    # column are enough, and where scores can be negative, as many more.
-    most_low = lows.groupBy(*COLUMN_KEY).agg(F.max("n_low").alias("most_low"))
-    prefix = materialise(
-        stored.join(F.broadcast(most_low), COLUMN_KEY, "left")
-        .where(F.col("place") <= k + F.coalesce(F.col("most_low"), F.lit(0)))
-        .drop("most_low"),
-        "prefix",
-    )
-    # The scored places at the head of each column, per question.
-    taken = materialise(
-        score_values(wanted, prefix)
-        .where(F.col("score") != 0)
-        .groupBy(*PAIR_KEY)
-        .agg(F.array_sort(F.collect_list("place")).alias("taken")),
-        "taken",
-    )
-    matches = _scored_matches(questions, stored, ranked, lows, stats, k, theta).unionByName(
-        _unscored_matches(questions, prefix, ranked, taken, stats, k, theta)
-    )
+    index = bm25.build_index(questions, stored)
+    matches = materialise(fuzzy_pairs(questions, stored, theta, names_exact=True), "matches")
+    scores = bm25.score_pairs(index, matches.select(*PAIR_KEY, "place").distinct())
+    matches = matches.join(scores, [*PAIR_KEY, "place"], "left").na.fill(0.0, ["score"])
+    if k is not None:
+        matches = _among_first(matches, index, k)
     best = _best_matches(matches, keep)
-    fill = _fill_values(questions, stored, stats, ranked, taken, 2 * keep)
-    chosen = F.coalesce(F.col("chosen"), F.array().cast("array<string>"))
-    rest = F.filter(F.col("fill"), lambda v: ~F.array_contains(chosen, v))
-    return fill.join(best, PAIR_KEY, "left").select(
-        *PAIR_KEY,
-        F.array_distinct(F.slice(F.concat(chosen, rest), 1, keep)).alias("matches"),
-    )
+    fill = _fill_values(stored, index, 2 * keep)
+    none = F.array().cast("array<string>")
+    chosen = F.coalesce(F.col("chosen"), none)
+    own = fill.join(best, PAIR_KEY, "full").select(*PAIR_KEY, chosen.alias("chosen"), "fill")
+    return _every_column(questions, own, _first_texts(stored, 2 * keep), keep)
 
 
-def _scored_matches(
-    questions: DataFrame,
-    stored: DataFrame,
-    ranked: DataFrame,
-    lows: DataFrame,
-    stats: DataFrame,
-    k: int,
-    theta: float,
-) -> DataFrame:
-    """Fuzzy matches among the scored candidates.
+def _every_column(questions: DataFrame, own: DataFrame, first: DataFrame, keep: int) -> DataFrame:
+    """Rows for all columns: what a question has of its own, else the first values of the column.
 
-    Positive scores come first; negative ones come after all other values, so
-    that their rank counts from the end of the column.
+    Rows of its own are a map per question with one entry per column at most. The first values, one row
+    per column, are broadcast, so questions do not move for the columns that they do not touch.
     """
-    in_reach = (F.col("sign") > 0) | (
-        F.col("n_values") - F.coalesce(F.col("n_low"), F.lit(0)) + F.col("rank") <= k
-    )
-    candidates = (
-        ranked.join(lows, PAIR_KEY, "left")
-        .join(F.broadcast(stats), COLUMN_KEY)
-        .where(in_reach)
-        .select(*PAIR_KEY, "place", "score")
+    name = F.concat_ws(".", "table_name", "column_name")
+    grouped = own.groupBy("sql_idx").agg(
+        F.map_from_entries(F.collect_list(F.struct(name, F.struct("chosen", "fill")))).alias("own")
     )
-    # Each needed text is fetched once; a value may be a candidate of many questions.
-    needed = candidates.select(*VALUE_KEY).distinct()
-    texts = materialise(
-        stored.where("is_text")
-        .join(needed, VALUE_KEY, "left_semi")
-        .select(*VALUE_KEY, "value", comparable(F.col("value")).alias("stored")),
-        "texts",
-    )
-    asked = questions.select(
-        "sql_idx",
-        "question",
-        comparable(F.col("question")).alias("asked"),
-        word_starts(F.col("question")).alias("starts"),
-    )
-    pairs = (
-        spread_join(candidates, texts, VALUE_KEY, "sql_idx")
-        .join(asked, "sql_idx")
-        .where(may_match(F.col("asked"), F.col("starts"), F.col("stored"), theta))
-    )
-    return _keep_matches(pairs, theta, "score")
+    none = F.array().cast("array<string>")
+    rows = questions.select("sql_idx", "db_id").join(grouped, "sql_idx", "left").join(F.broadcast(first), "db_id")
+    rows = rows.withColumn("mine", F.try_element_at("own", name))
+    chosen, fill = F.coalesce("mine.chosen", none), F.coalesce("mine.fill", "first")
+    rest = let(chosen, lambda c: F.concat(c, F.filter(fill, lambda v: ~F.array_contains(c, v))))
+    return rows.select(*PAIR_KEY, F.array_distinct(F.slice(rest, 1, keep)).alias("matches"))
 
 
-def _unscored_matches(
-    questions: DataFrame,
-    prefix: DataFrame,
-    ranked: DataFrame,
-    taken: DataFrame,
-    stats: DataFrame,
-    k: int,
-    theta: float,
-) -> DataFrame:
-    """Fuzzy matches among the candidates that share no word with the question.
+def _first_texts(stored: DataFrame, size: int) -> DataFrame:
+    """(column, first): the first ``size`` values of each column, in value order."""
+    firsts = stored.where(F.col("place") <= size).groupBy(*COLUMN_KEY)
+    return firsts.agg(F.sort_array(F.collect_list(F.struct("place", "value")))["value"].alias("first"))
+
 
-    Their rank is the number of positive scores, plus the place in the column,
-    less the scored values before it.
+def _among_first(matches: DataFrame, index: bm25.Index, k: int) -> DataFrame:
+    """The matches whose value is among the ``k`` best of its column by (score descending, place).
+
+    Values better than a match are counted: scored ones one by one, those without a score by
+    their number. Only questions and columns that have a match are looked at.
     """
-    high = (
-        ranked.where(F.col("sign") > 0).groupBy(*PAIR_KEY).agg(F.count(F.lit(1)).alias("n_high"))
-    )
-    scored = F.coalesce(F.col("taken"), F.array().cast("array<bigint>"))
-    earlier = F.size(F.filter(scored, lambda p: p < F.col("place")))
-    rank = F.coalesce(F.col("n_high"), F.lit(0)) + F.col("place") - earlier
-    return (
-        fuzzy_pairs(questions, prefix, theta)
-        .join(F.broadcast(stats), COLUMN_KEY)
-        .join(high, PAIR_KEY, "left")
-        .join(taken, PAIR_KEY, "left")
-        .where(~F.array_contains(scored, F.col("place")))
-        .where((F.col("n_values") <= k) | (rank <= k))
-        .select(
-            *PAIR_KEY, "place", "value", F.lit(0.0).alias("score"), "match_text", "source_text",
-            "match_score", "match_size",
+    asked = matches.select(*PAIR_KEY).distinct()
+    scored = bm25.score_all(index, index.weights.join(asked, PAIR_KEY, "left_semi")).where("score <> 0")
+    other = scored.select(*PAIR_KEY, F.col("place").alias("p"), F.col("score").alias("s"))
+    better = (F.col("s") > F.col("score")) | ((F.col("s") == F.col("score")) & (F.col("p") < F.col("place")))
+    counted = (
+        matches.select(*PAIR_KEY, "place", "score")
+        .distinct()
+        .join(other, PAIR_KEY, "left")
+        .groupBy(*PAIR_KEY, "place", "score")
+        .agg(
+            F.count_if(better).alias("n_better"),
+            F.count("p").alias("n_scored"),
+            F.count_if(F.col("p") < F.col("place")).alias("n_before"),
         )
+        .join(F.broadcast(index.stats), COLUMN_KEY)
+    )
+    unscored = (
+        F.when(F.col("score") > 0, 0)
+        .when(F.col("score") == 0, F.col("place") - 1 - F.col("n_before"))
+        .otherwise(F.col("n_values") - F.col("n_scored"))
     )
+    kept = counted.where(F.col("n_better") + unscored < k).select(*PAIR_KEY, "place")
+    return matches.join(kept, [*PAIR_KEY, "place"], "left_semi")
 
 
 def _best_matches(matches: DataFrame, keep: int) -> DataFrame:
@@ -475,49 +382,80 @@ def _best_matches(matches: DataFrame, keep: int) -> DataFrame:
     )
 
 
-def _fill_values(
-    questions: DataFrame,
-    stored: DataFrame,
-    stats: DataFrame,
-    ranked: DataFrame,
-    taken: DataFrame,
-    size: int,
-) -> DataFrame:
-    """First ``size`` values by (score descending, value) for every question and column.
+def _free_places(size: int) -> Column:
+    """The first ``size`` places of a column that are not in ``high``, which has fewer than that."""
+    reach = F.least(F.col("n_values"), F.lit(size) + F.size("high"))
+    return F.slice(F.array_except(F.sequence(F.lit(1).cast("long"), reach), "high"), 1, size)
 
-    Worked out on places: the best positive ones, the first free places of the
-    column, the best negative ones. Texts are fetched for the result only.
+
+def _fill_values(stored: DataFrame, index: bm25.Index, size: int) -> DataFrame:
+    """First ``size`` values by (score descending, value) where a question shares a word with a column.
+
+    Worked out on places: the best positive ones, then the first free places of the column. Texts
+    are fetched for the result only. Questions and columns without a common word are left out: the
+    first values of the column are theirs.
     """
+    tops = bm25.top_values(index, size).where("score > 0")
+    high = tops.groupBy(*PAIR_KEY).agg(F.sort_array(F.collect_list(F.struct("rank", "place")))["place"].alias("high"))
+    if index.has_low:
+        high = high.join(F.broadcast(index.low), COLUMN_KEY, "left_anti")
+    places = high.join(F.broadcast(index.stats), COLUMN_KEY).select(
+        *PAIR_KEY, F.slice(F.concat("high", _free_places(size)), 1, size).alias("places")
+    )
+    if index.has_low:
+        places = places.unionByName(_low_places(index, size))
+    long_rows = places.select(*PAIR_KEY, F.posexplode("places").alias("n", "place"))
+    needed = long_rows.select(*VALUE_KEY).distinct()
+    texts = materialise(stored.join(needed, VALUE_KEY, "left_semi").select(*VALUE_KEY, "value"), "fill")
+    return (
+        spread_join(long_rows, texts, VALUE_KEY, "sql_idx")
+        .groupBy(*PAIR_KEY)
+        .agg(F.sort_array(F.collect_list(F.struct("n", "value")))["value"].alias("fill"))
+    )
+
+
+def _low_places(index: bm25.Index, size: int) -> DataFrame:
+    """(sql_idx, column, places) in columns where scores may be negative.
+
+    Free places are found by counting: of the stretches of ``_STRETCH`` places that are not all
+    scored, the first ``size`` hold enough of them, and only their scored places are looked at.
+    """
+    weights = index.weights.join(F.broadcast(index.low), COLUMN_KEY, "left_semi")
+    scored = materialise(bm25.score_all(index, weights).where("score <> 0"), "low-scores")
+    pairs = scored.select(*PAIR_KEY).distinct().join(F.broadcast(index.stats), COLUMN_KEY)
+    ends = scored.withColumn("sign", F.signum("score").cast("int"))
+    ends = ends.withColumn("rank", F.row_number().over(bm25.best_first(*PAIR_KEY, "sign"))).where(F.col("rank") <= size)
     in_order = lambda sign: F.sort_array(
         F.collect_list(F.when(F.col("sign") == sign, F.struct("rank", "place")))
     )["place"]
-    ends = (
-        ranked.where(F.col("rank") <= size)
+    ends = ends.groupBy(*PAIR_KEY).agg(in_order(1).alias("high"), in_order(-1).alias("low"))
+    stretch = F.floor((F.col("place") - 1) / _STRETCH).alias("stretch")
+    full = (
+        scored.groupBy(*PAIR_KEY, stretch)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") == _STRETCH)
         .groupBy(*PAIR_KEY)
-        .agg(in_order(1).alias("high"), in_order(-1).alias("low"))
+        .agg(F.collect_list("stretch").alias("full"))
     )
     none = F.array().cast("array<bigint>")
-    array = lambda name: F.coalesce(F.col(name), none)
-    reach = F.least(F.col("n_values"), F.lit(size) + F.size(array("taken")))
-    free = F.slice(F.array_except(F.sequence(F.lit(1).cast("long"), reach), array("taken")), 1, size)
-    places = (
-        questions.select("sql_idx", "db_id")
-        .join(F.broadcast(stats.drop("mean_length")), "db_id")
-        .join(ends, PAIR_KEY, "left")
-        .join(taken, PAIR_KEY, "left")
-        .select(
-            *PAIR_KEY,
-            F.posexplode(F.slice(F.concat(array("high"), free, array("low")), 1, size)).alias(
-                "n", "place"
-            ),
-        )
+    taken_up = F.coalesce(F.col("full"), none)
+    last = F.floor((F.col("n_values") - 1) / _STRETCH)
+    reach = F.least(last, F.lit(size) + F.size(taken_up))
+    open_ = pairs.join(full, PAIR_KEY, "left").select(
+        *PAIR_KEY,
+        "n_values",
+        F.explode(F.slice(F.array_except(F.sequence(F.lit(0).cast("long"), reach), taken_up), 1, size)).alias("stretch"),
     )
-    needed = places.select(*VALUE_KEY).distinct()
-    texts = materialise(
-        stored.join(needed, VALUE_KEY, "left_semi").select(*VALUE_KEY, "value"), "fill"
+    own = scored.select(*PAIR_KEY, stretch, "place")
+    used = open_.join(own, [*PAIR_KEY, "stretch"], "left").groupBy(*PAIR_KEY, "stretch", "n_values").agg(
+        F.collect_list("place").alias("used")
     )
+    first = F.col("stretch") * _STRETCH + 1
+    within = F.sequence(first, F.least(F.col("n_values"), first + (_STRETCH - 1)))
+    free = used.select(*PAIR_KEY, F.slice(F.array_except(within, "used"), 1, size).alias("free"))
+    free = free.groupBy(*PAIR_KEY).agg(F.slice(F.sort_array(F.flatten(F.collect_list("free"))), 1, size).alias("free"))
     return (
-        spread_join(places, texts, VALUE_KEY, "sql_idx")
-        .groupBy(*PAIR_KEY)
-        .agg(F.sort_array(F.collect_list(F.struct("n", "value")))["value"].alias("fill"))
+        pairs.join(ends, PAIR_KEY, "left")
+        .join(free, PAIR_KEY, "left")
+        .select(*PAIR_KEY, F.slice(F.concat("high", F.coalesce("free", none), "low"), 1, size).alias("places"))
     )

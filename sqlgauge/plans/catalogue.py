@@ -32,12 +32,8 @@ def _lines(column) -> F.Column:
 # --- value retrieval -------------------------------------------------------
 
 
-def _linked_values(spark: SparkSession, sf: str) -> DataFrame:
-    return dv.shop_values(spark, sf, dv.LINKED_COLUMNS)
-
-
 def _stored_values(spark: SparkSession, sf: str) -> DataFrame:
-    return vl.store_values(_linked_values(spark, sf))
+    return vl.store_values(dv.shop_values(spark, sf))
 
 
 def _clean_questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +46,7 @@ def question_cleanup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def picklist_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    return _linked_values(spark, sf).select("table_name", "column_name", "value")
+    return dv.shop_values(spark, sf).select("table_name", "column_name", "value")
 
 
 def picklist_first_k(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,7 +74,7 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
         {"web": {"documents": widen(dv.read(spark, sf, "documents").select("text"))}}
     )
     stored = vl.store_values(values)
-    top = vl.with_text(vl.bm25_topk(vl.bm25_scores(questions, stored), 10), stored)
+    top = vl.with_text(vl.bm25_topk(questions, stored, 10), stored)
     return top.select(
         "sql_idx", F.col("rank").cast("long").alias("rank"), F.md5("value").alias("value_md5"), F.round("score", 6).alias("score")
     )

@@ -34,13 +34,6 @@ FOREIGN_KEYS = [
     ("lineitem", "l_partkey", "part", "p_partkey"),
     ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
 ]
-# Columns whose values are searched for the words of a question.
-LINKED_COLUMNS = {
-    ("part", "p_name"), ("part", "p_brand"), ("part", "p_type"), ("part", "p_size"),
-    ("nation", "n_name"), ("region", "r_name"), ("supplier", "s_name"),
-    ("customer", "c_mktsegment"), ("orders", "o_orderpriority"), ("orders", "o_orderstatus"),
-}
-
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -69,23 +62,31 @@ def shop_schemas(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def question_log(spark: SparkSession, folder: str) -> DataFrame:
-    """(sql_idx, db_id, question, evidence): one question per supplier."""
-    supplier, part, customer, nation, region = (
-        read(spark, folder, t) for t in ("supplier", "part", "customer", "nation", "region")
+    """(sql_idx, db_id, question, evidence): one question per order, as in the query log.
+
+    The part is that of the order's lines with the smallest key; an order may have none.
+    """
+    orders, customer, nation, region, part, lineitem = (
+        read(spark, folder, t)
+        for t in ("orders", "customer", "nation", "region", "part", "lineitem")
     )
+    first_part = lineitem.groupBy("l_orderkey").agg(F.min("l_partkey").alias("first_part"))
     rows = (
-        supplier.join(part, F.col("p_partkey") == F.col("s_suppkey"))
-        .join(customer, F.col("c_custkey") == F.col("s_suppkey"))
-        .join(nation, F.col("n_nationkey") == F.col("s_nationkey"))
+        orders.select("o_orderkey", "o_custkey")
+        .join(first_part, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        .join(part.select("p_partkey", "p_name", "p_brand"), F.col("p_partkey") == F.col("first_part"), "left")
+        .join(customer.select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("c_custkey") == F.col("o_custkey"))
+        .join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
         .join(region, F.col("r_regionkey") == F.col("n_regionkey"))
     )
+    goods = F.concat("p_name", F.lit("s of ‘"), "p_brand", F.lit("’"))
     question = F.concat(
-        F.lit(" Which "), "p_name", F.lit("s of ‘"), "p_brand", F.lit("’ does "),
-        "s_name", F.lit("’s depot in "), "n_name", F.lit(" ("), F.lower("r_name"),
-        F.lit(") ship to the "), "c_mktsegment", F.lit(" market?"),
+        F.lit(" Which "), F.coalesce(goods, F.lit("goods")), F.lit(" did "), "n_name",
+        F.lit("’s buyers ("), F.lower("r_name"), F.lit(") order for the "), "c_mktsegment",
+        F.lit(" market?"),
     )
     return rows.select(
-        F.col("s_suppkey").alias("sql_idx"),
+        F.col("o_orderkey").alias("sql_idx"),
         F.lit(DB_ID).alias("db_id"),
         question.alias("question"),
         F.when(F.col("r_name") != "ASIA", F.concat("r_name", F.lit(" is a region"))).alias(
@@ -161,12 +162,15 @@ def shaped_sql(shapes: list[str]) -> str:
 def question_log_sql() -> str:
     """The cleaned questions as a DuckDB query."""
     return """
-        SELECT s_suppkey AS sql_idx,
-               'Which ' || p_name || 's of ''' || p_brand || ''' does ' || s_name
-               || '''s depot in ' || n_name || ' (' || lower(r_name) || ') ship to the '
+        SELECT o_orderkey AS sql_idx,
+               'Which ' || coalesce(p_name || 's of ''' || p_brand || '''', 'goods') || ' did '
+               || n_name || '''s buyers (' || lower(r_name) || ') order for the '
                || c_mktsegment || ' market?' AS question,
                CASE WHEN r_name <> 'ASIA' THEN r_name || ' is a region' END AS evidence
-        FROM supplier JOIN part ON p_partkey = s_suppkey
-        JOIN customer ON c_custkey = s_suppkey
-        JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
+        FROM orders
+        LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS first_part FROM lineitem GROUP BY l_orderkey)
+          ON l_orderkey = o_orderkey
+        LEFT JOIN part ON p_partkey = first_part
+        JOIN customer ON c_custkey = o_custkey
+        JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
     """

@@ -394,10 +394,37 @@ def _train_sql() -> str:
     """
 
 
+def _common_lengths(pairs: str) -> str:
+    """(a, b, n): length of the longest common subsequence, one row of the table per step."""
+    return f"""
+    WITH RECURSIVE pairs AS (SELECT DISTINCT a, b FROM ({pairs})),
+    t(a, b, i, cells) AS (
+      SELECT a, b, 0, list_transform(range(length(b) + 1), lambda x: 0) FROM pairs
+      UNION ALL
+      SELECT a, b, i + 1, list_transform(range(length(b) + 1), lambda j: list_max(list_transform(
+               range(j + 1), lambda m: CASE WHEN m = 0 THEN 0 WHEN a[i + 1] = b[m] THEN cells[m] + 1
+                                            ELSE cells[m + 1] END)))
+      FROM t WHERE i < length(a))
+    SELECT a, b, cells[-1] AS n FROM t WHERE i = length(a)
+    """
+
+
+def _lcs_ratio_sql() -> str:
+    pairs = "SELECT {a} AS a, {b} AS b FROM part"
+    low = _common_lengths(pairs.format(a="lower(p_name)", b="lower(p_type)"))
+    plain = _common_lengths(pairs.format(a="p_name", b="p_brand"))
+    ratio = lambda t: f"round(2e0 * {t}.n / (length({t}.a) + length({t}.b)), 6)"
+    return f"""
+    SELECT p_partkey, {ratio('x')} AS name_type, {ratio('y')} AS name_brand FROM part
+    JOIN ({low}) x ON x.a = lower(p_name) AND x.b = lower(p_type)
+    JOIN ({plain}) y ON y.a = p_name AND y.b = p_brand
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     words = "(SELECT lang, unnest(string_split(lower(text), ' ')) AS word FROM documents)"
     listed = lambda names: ", ".join(_q(n) for n in sorted(names))
-    linked = _values(sorted(dv.LINKED_COLUMNS))
+    linked = _values(ALL_COLUMNS)
     # White space at the ends of a word does not count.
     bare = "trim(word, chr(32) || chr(9) || chr(10) || chr(13))"
     flag = "CAST(o_orderstatus = 'F' AS INTEGER)"
@@ -416,6 +443,10 @@ def oracle_sql() -> dict[str, str]:
         + _bm25("SELECT item_id AS sql_idx, text AS question FROM benchmark",
                 _values([("documents", "text")]))
         + ")) WHERE rank <= 10",
+        "lcs_ratio": _lcs_ratio_sql(),
+        # every column has two values for each sample, or all that it has
+        "sample_contents": "SELECT o_orderkey AS sql_idx, (SELECT sum(least(2, n))::BIGINT FROM (SELECT count(*) "
+        f"AS n FROM ({linked}) GROUP BY table_name, column_name)) AS n_values FROM orders",
         "stopword_filter": f"SELECT lang, count(*) FILTER ({bare} IN ({listed(STOP_WORDS)})) AS n_stop, "
         f"count(*) FILTER ({bare} IN ({listed(COMMON_WORDS)})) AS n_common, "
         f"count(*) FILTER ({bare} = 'id') AS n_db_terms, count(*) AS n_words "

@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sqlgauge.functions.similarity import (
@@ -16,16 +17,20 @@ from sqlgauge.functions.similarity import (
     longest_match,
     match_value,
     may_match,
+    shortest_run,
     similarity,
     word_starts,
 )
 from sqlgauge.functions.wordlists import COMMON_WORDS, SPAN_SEPARATORS, STOP_WORDS
 from sqlgauge.operators.joins import measured_bytes, spread_join
+from sqlgauge.operators.bm25 import _counted, build_index, candidates, score_all, top_values
 from sqlgauge.operators.values import (
     bm25_scores,
     bm25_topk,
     column_values,
     first_values,
+    fuzzy_candidates,
+    fuzzy_pairs,
     link_values,
     picklists,
     store_values,
@@ -223,7 +228,7 @@ def make_db(spark, seed, sizes):
     return tables, corpora
 
 
-@pytest.mark.parametrize("seed,k", [(1, 1000), (2, 4), (3, 12)])
+@pytest.mark.parametrize("seed,k", [(1, 1000), (2, 4), (3, 12), (4, None)])
 def test_link_values_equals_model(spark, seed, k):
     tables, corpora = make_db(
         spark, seed, [("parts", "p_name", 40), ("places", "place", 25), ("one", "label", 1)]
@@ -262,7 +267,7 @@ def test_hot_word_is_spread_and_complete(spark):
                                "sql_idx long, db_id string, question string")
     scores = bm25_scores(qs, values)
     assert scores.groupBy("sql_idx").count().where("count = 3000").count() == 2
-    top = with_text(bm25_topk(scores, 2), values).where("sql_idx = 0").orderBy("rank").collect()
+    top = with_text(bm25_topk(qs, values, 2), values).where("sql_idx = 0").orderBy("rank").collect()
     assert [r.value for r in top] == ["hot w7", "hot w0"]
 
 
@@ -311,4 +316,106 @@ def test_results_do_not_depend_on_the_join(spark, monkeypatch):
     broadcast = results()
     never = functools.partial(spread_join, limit=-1)
     monkeypatch.setattr("sqlgauge.operators.values.spread_join", never)
+    monkeypatch.setattr("sqlgauge.operators.bm25.spread_join", never)
+    monkeypatch.setattr("sqlgauge.operators.bm25.BROADCAST_BYTES", -1)
     assert results() == broadcast
+
+
+def corpus_and_questions(spark, n=3000):
+    """Values with a few words that nearly all have, and questions full of them."""
+    rng = random.Random(9)
+    rare = [f"r{i}" for i in range(400)]
+    texts = {
+        " ".join(["the", "of", "to"] + rng.sample(["a", "in", "is"], 2) + rng.sample(rare, rng.randint(1, 5)) + ["and"] * rng.randint(0, 3))
+        for _ in range(n)
+    }
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "body string")
+    questions = [(i, "db", "the of to " + " ".join(rng.sample(rare, 6))) for i in range(10)]
+    questions += [(10, "db", "the of to"), (11, "db", "nothing here"), (12, "db", "the r1 r1 r1")]
+    qs = spark.createDataFrame(questions, "sql_idx long, db_id string, question string")
+    return store_values(column_values({"db": {"t": df}})), qs
+
+
+@pytest.mark.parametrize("k", [1, 10, 200])
+def test_best_values_are_those_of_all_pairs(spark, k):
+    values, qs = corpus_and_questions(spark)
+    index = build_index(qs, values)
+    order = W.partitionBy("sql_idx", "column_name").orderBy(F.desc("score"), "place")
+    every = score_all(index).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    want = sorted(map(tuple, every.select("sql_idx", "place", "score", "rank").collect()))
+    got = sorted(map(tuple, top_values(index, k).select("sql_idx", "place", "score", "rank").collect()))
+    assert got == want and got
+
+
+def test_common_words_alone_make_no_candidates(spark):
+    values, qs = corpus_and_questions(spark)
+    index = build_index(qs.where("sql_idx < 10"), values)
+    held = values.select("place", F.split("value", " ").alias("words"))
+    asked = qs.select("sql_idx", F.split("question", " ").alias("asked"))
+    rare = F.exists(F.array_intersect("words", "asked"), lambda w: w.startswith("r"))
+    met = candidates(index, 10).join(held, "place").join(asked, "sql_idx")
+    assert met.where(~rare).count() == 0
+    assert met.count() < score_all(index).count() / 8
+
+
+def test_no_text_is_shuffled(spark):
+    values, qs = corpus_and_questions(spark, 200)
+    words = materialise(qs.select("db_id", F.explode(F.split("question", " ")).alias("token")).distinct(), "w")
+    plan = _counted(values, words)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("value#" in line for line in exchanges)
+
+
+def test_shortest_run_holds_for_every_match():
+    rng = random.Random(6)
+    for theta in (0.85, 0.7, 1.0):
+        for _ in range(3000):
+            value = "".join(rng.choice("ab ") for _ in range(rng.randint(1, 14))).strip()
+            q = list("x " + value + " y")
+            for _ in range(rng.randint(0, 3)):
+                q[rng.randrange(2, len(q))] = rng.choice("abc ")
+            q = "".join(q)
+            found = match_value(q, value, theta) if value else None
+            if found:
+                run = shortest_run(len(value), theta)
+                assert 0 < run <= found[3], (q, value, found)
+
+
+@pytest.mark.parametrize("names_exact", [False, True])
+def test_gram_index_finds_every_match(spark, names_exact):
+    rng = random.Random(12)
+    tables, corpora = make_db(spark, 12, [("parts", "p_name", 120), ("places", "place", 120)])
+    odd = ["ΑΣΟΣ bar", "ασος bar", "İstanbul x", "x" * 70 + " tail of it", "(odd)", "'", "Big Bigger NAME"]
+    tables["odd"] = spark.createDataFrame([(t,) for t in odd], "label string")
+    corpora[("odd", "label")] = (odd, True)
+    texts = [random_text(rng, 3, 9) for _ in range(40)] + [f"is {o}'s here" for o in odd]
+    qs = spark.createDataFrame(list(enumerate(["db"] * len(texts))), "sql_idx long, db_id string").join(
+        spark.createDataFrame(list(enumerate(texts)), "sql_idx long, question string"), "sql_idx"
+    )
+    stored = store_values(column_values({"db": tables}))
+    got = {
+        (r.sql_idx, r.column_name, r.value) for r in fuzzy_pairs(qs, stored, names_exact=names_exact).collect()
+    }
+    want = set()
+    for i, q in enumerate(texts):
+        for (_, column), (corpus, is_text) in corpora.items():
+            for v in corpus if is_text else ():
+                m = plain_match(q, v)
+                if m and not (names_exact and "name" in column and m[2] < 1):
+                    want.add((i, column, v))
+    assert {g for g in got if g in want} == want and len(want) > 100
+    if not names_exact:
+        assert got == want
+
+
+def test_gram_index_meets_few_pairs(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9)))
+    texts = [f"{word()} {word()}" for _ in range(2000)]
+    questions = [(i, "db", f"which {texts[i]} and {word()} {word()} {word()}") for i in range(50)]
+    qs = spark.createDataFrame(questions, "sql_idx long, db_id string, question string")
+    stored = store_values(column_values({"db": {"t": spark.createDataFrame([(t,) for t in texts], "x string")}}))
+    asked = qs.select("sql_idx", "db_id", comparable(F.col("question")).alias("asked"))
+    values = stored.withColumn("stored", comparable(F.col("value")))
+    met = fuzzy_candidates(asked, values)
+    assert 50 <= met.count() < 50 * 2000 / 100
