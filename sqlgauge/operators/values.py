@@ -14,6 +14,8 @@ each task before anything is shuffled.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,16 +86,64 @@ def column_values(
     return distinct.join(F.broadcast(names), "number").select(*COLUMN_KEY, "value", "is_text")
 
 
-def first_values(values: DataFrame, k: int) -> DataFrame:
-    """The first ``k`` values of each column in value order, with their ``place``."""
-    by_value = W.partitionBy(*COLUMN_KEY).orderBy("value")
-    return values.withColumn("place", F.row_number().over(by_value)).where(F.col("place") <= k)
+def first_values(
+    databases: dict[str, dict[str, DataFrame]],
+    k: int,
+    columns: set[tuple[str, str]] | None = None,
+) -> DataFrame:
+    """(column, place, value): the ``k`` smallest distinct non-empty values of each column, as text.
+
+    Each round takes the least text above that of the round before, for all columns of a table in
+    one aggregation: a task sends one row, whatever the number of values, and nothing is made
+    distinct or sorted. The driver holds ``k`` texts per column. ``k`` scans cost less than a
+    shuffle of all values as long as ``k`` is small.
+    """
+    names = [
+        (db_id, table, f.name)
+        for db_id, tables in databases.items()
+        for table, df in tables.items()
+        for f in df.schema.fields
+        if not isinstance(f.dataType, _NESTED) and (columns is None or (table, f.name) in columns)
+    ]
+    number = {name: i for i, name in enumerate(names)}
+    found: dict[int, list[str]] = {i: [] for i in range(len(names))}
+    session = next(iter(next(iter(databases.values())).values())).sparkSession
+    for done in range(k):
+        parts = []
+        for db_id, tables in databases.items():
+            for table, df in tables.items():
+                own = [f for f in df.columns if len(found.get(number.get((db_id, table, f)), ())) == done]
+                own = [f for f in own if (db_id, table, f) in number]
+                if not own:
+                    continue
+                least = []
+                for i, f in enumerate(own):
+                    text = F.col(f"`{f}`").cast("string")
+                    before = found[number[db_id, table, f]]
+                    least.append(F.min(F.when(text > F.lit(before[-1] if before else ""), text)).alias(f"c{i}"))
+                cells = [F.struct(F.lit(number[db_id, table, f]).alias("n"), F.col(f"c{i}").alias("v")) for i, f in enumerate(own)]
+                parts.append(df.agg(*least).select(F.inline(F.array(*cells))))
+        rows = functools.reduce(DataFrame.unionAll, parts).where("v IS NOT NULL").collect() if parts else []
+        for r in rows:  # at most one row per column
+            found[r["n"]].append(r["v"])
+    cells = [
+        (db_id, table.lower(), name.lower(), place + 1, value)
+        for (db_id, table, name), i in number.items()
+        for place, value in enumerate(found[i])
+    ]
+    return session.createDataFrame(
+        cells, "db_id string, table_name string, column_name string, place long, value string"
+    )
 
 
-def picklists(values: DataFrame, k: int = 3) -> DataFrame:
+def picklists(
+    databases: dict[str, dict[str, DataFrame]],
+    k: int = 3,
+    columns: set[tuple[str, str]] | None = None,
+) -> DataFrame:
     """First ``k`` values of each column as one array."""
     return (
-        first_values(values, k)
+        first_values(databases, k, columns)
         .groupBy(*COLUMN_KEY)
         .agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("v"))
         .select(*COLUMN_KEY, F.col("v.value").alias("first_values"))

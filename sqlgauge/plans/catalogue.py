@@ -51,8 +51,7 @@ def picklist_distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 def picklist_first_k(spark: SparkSession, sf: str) -> DataFrame:
     """First three values of every column of every table."""
-    values = dv.shop_values(spark, sf)
-    return vl.picklists(values, 3).select(
+    return vl.picklists({dv.DB_ID: dv.shop(spark, sf)}, 3).select(
         "table_name", "column_name", F.array_join("first_values", "|").alias("first_values")
     )
 
@@ -286,9 +285,8 @@ def used_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sampled_schema(spark: SparkSession, sf: str) -> DataFrame:
     """The schema with the first two values of every column as sample values."""
-    values = dv.shop_values(spark, sf)
     entry = F.struct(F.concat_ws(".", "table_name", "column_name"), "first_values")
-    contents = vl.picklists(values, 2).groupBy("db_id").agg(
+    contents = vl.picklists({dv.DB_ID: dv.shop(spark, sf)}, 2).groupBy("db_id").agg(
         F.map_from_entries(F.collect_list(entry)).alias("contents")
     )
     return dv.shop_schemas(spark, sf).join(contents, "db_id").withColumn(

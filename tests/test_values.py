@@ -293,12 +293,21 @@ def test_places_follow_value_order(spark):
 
 
 def test_picklists(spark):
-    df = spark.createDataFrame([("b", 1), ("a", 2), ("", 2), (None, 3), ("c", None), ("a", 2)],
-                               "x string, n int")
-    values = column_values({"db": {"T": df}})
-    got = {r.column_name: list(r.first_values) for r in picklists(values, 2).collect()}
-    assert got == {"x": ["a", "b"], "n": ["1", "2"]}
-    assert first_values(values, 10).count() == 6
+    rows = [("b", 1, 2.5, [1]), ("a", 2, None, None), ("", 2, 10.0, [2]), (None, 3, 9.0, None), ("c", None, 9.0, None), ("a", 2, 9.0, None)]
+    df = spark.createDataFrame(rows, "`x y` string, n int, D double, nested array<int>")
+    none = df.where("false").select(F.col("x y").alias("z"))
+    databases = {"db": {"T": df, "empty": none}, "other": {"T": df.select("n")}}
+    got = {(r.db_id, r.table_name, r.column_name): list(r.first_values) for r in picklists(databases, 2).collect()}
+    assert got == {("db", "t", "x y"): ["a", "b"], ("db", "t", "n"): ["1", "2"], ("db", "t", "d"): ["10.0", "2.5"], ("other", "t", "n"): ["1", "2"]}
+    assert first_values(databases, 10).where("db_id = 'db'").count() == 9
+    assert {r.column_name for r in first_values(databases, 1, {("T", "n")}).collect()} == {"n"}
+
+
+def test_picklists_shuffle_one_row_per_task(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    spark.range(200_000).selectExpr("concat('v', id) AS a", "id AS b").repartition(4).write.parquet(path)
+    got = {r.column_name: list(r.first_values) for r in picklists({"db": {"t": spark.read.parquet(path)}}, 3).collect()}
+    assert got == {"a": ["v0", "v1", "v10"], "b": ["0", "1", "10"]}
 
 
 def test_results_do_not_depend_on_the_join(spark, monkeypatch):
