@@ -1,9 +1,8 @@
 """Guarded execution of query text: time limit, cancellation, structured errors.
 
-Planning a query needs the driver, so the driver streams statements and submits
-their jobs; the work of each query runs on the executors. Statements and
-outcomes pass through in bounded windows and outcomes are appended to a table,
-so that neither side of a long list is held at once.
+Planning a query needs the driver; the work of each query runs on the executors.
+Many statements go through ``operators.batch``, a window of them in one job. Only
+timing runs statements one after the other.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as FutureTimeout
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -27,13 +26,14 @@ from sqlgauge.functions.dialect import (
     any_value_of,
     to_spark_sql,
 )
+from sqlgauge.operators import batch
 from sqlgauge.operators.scoring import result_match
 from sqlgauge.session import shared_folder
 
 Loader = Callable[[SparkSession], DataFrame]
 TIMEOUT_SECONDS = 30.0
 PREVIEW_ROWS = 10
-VES_ITERATIONS = 5
+VES_ITERATIONS = 100
 _FLUSH_ROWS = 2000
 
 
@@ -164,61 +164,33 @@ class Executor:
 
     # --- many statements ---------------------------------------------------
 
-    def _windowed(self, rows: Iterable, work: Callable) -> Iterator:
-        """``work`` over ``rows`` with a bounded number in flight."""
-        with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
-            pending: set = set()
-            for row in rows:
-                pending.add(pool.submit(work, row))
-                if len(pending) >= 2 * self.parallelism:
-                    done, pending = wait(pending, return_when=FIRST_COMPLETED)
-                    yield from (f.result() for f in done)
-            yield from (f.result() for f in pending)
+    def check_all(self, drafts: DataFrame, rows: int | None = PREVIEW_ROWS) -> DataFrame:
+        """(sql_idx, ok, message, condition) of drafts (sql_idx, db_id, predicted_sql).
 
-    def _collect_outcomes(self, rows: Iterable, schema: str, name: str) -> DataFrame:
-        """Append outcome rows in batches to a table in the shared folder."""
-        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-        batch: list = []
-        self.spark.createDataFrame([], schema).write.parquet(path)
-        for row in rows:
-            batch.append(row)
-            if len(batch) >= _FLUSH_ROWS:
-                self.spark.createDataFrame(batch, schema).write.mode("append").parquet(path)
-                batch = []
-        if batch:
-            self.spark.createDataFrame(batch, schema).write.mode("append").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def check_all(self, drafts: DataFrame) -> DataFrame:
-        """(sql_idx, ok, message) of drafts (sql_idx, db_id, predicted_sql).
-
-        ``message`` is the error, or the first rows of the result.
+        ``message`` is the error, or the first ``rows`` rows of the result (all, if None).
         """
-        def work(row) -> tuple:
-            outcome = self.preview(row.db_id, row.predicted_sql)
-            text = str(outcome.value) if outcome.ok else outcome.error
-            return row.sql_idx, outcome.ok, text, outcome.condition
-
-        wanted = drafts.select("sql_idx", "db_id", "predicted_sql").toLocalIterator()
-        return self._collect_outcomes(
-            self._windowed(wanted, work),
-            "sql_idx long, ok boolean, message string, condition string",
-            "outcomes",
-        )
+        return batch.check_all(self, drafts, rows)
 
     def evaluate(self, pairs: DataFrame) -> DataFrame:
-        """(sql_idx, res) of pairs (sql_idx, db_id, predicted_sql, gold_sql).
+        """(sql_idx, res, condition) of pairs (sql_idx, db_id, predicted_sql, gold_sql).
 
         A missing prediction, an error and a time-out count as 0.
         """
-        def work(row) -> tuple:
-            outcome = self.matches(row.db_id, row.predicted_sql or " ", row.gold_sql)
-            return row.sql_idx, int(outcome.value) if outcome.ok else 0
+        return batch.evaluate(self, pairs)
 
-        wanted = pairs.select("sql_idx", "db_id", "predicted_sql", "gold_sql").toLocalIterator()
-        return self._collect_outcomes(
-            self._windowed(wanted, work), "sql_idx long, res int", "results"
-        )
+    def _collect_outcomes(self, rows: Iterable, schema: str, name: str) -> DataFrame:
+        """Append outcome rows in batches to a table in the shared folder."""
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        held: list = []
+        self.spark.createDataFrame([], schema).write.parquet(path)
+        for row in rows:
+            held.append(row)
+            if len(held) >= _FLUSH_ROWS:
+                self.spark.createDataFrame(held, schema).write.mode("append").parquet(path)
+                held = []
+        if held:
+            self.spark.createDataFrame(held, schema).write.mode("append").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
 
     def _seconds(self, db_id: str, sql: str) -> float:
         start = time.perf_counter()

@@ -43,6 +43,17 @@ def _positional(df: DataFrame, types: list[str], side: int) -> DataFrame:
     return df.toDF(*names).select(*cast, F.lit(side).alias("side"))
 
 
+def column_types(predicted: DataFrame, gold: DataFrame) -> list[str] | None:
+    """Type in which each column of two results is compared; None if their rows are never equal."""
+    if len(predicted.columns) != len(gold.columns):
+        return None
+    types = [
+        _common_type(p.dataType, g.dataType)
+        for p, g in zip(predicted.schema.fields, gold.schema.fields)
+    ]
+    return None if None in types else types
+
+
 def result_match(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """One row ``res``: 1 if both queries return the same set of rows.
 
@@ -51,13 +62,8 @@ def result_match(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     the whole row, so a frequent row is no hot key. Two empty results are equal
     whatever their columns.
     """
-    types: list[str | None] = [None]
-    if len(predicted.columns) == len(gold.columns):
-        types = [
-            _common_type(p.dataType, g.dataType)
-            for p, g in zip(predicted.schema.fields, gold.schema.fields)
-        ]
-    if any(t is None for t in types):
+    types = column_types(predicted, gold)
+    if types is None:
         # Rows of unlike shape differ, so only two empty results are equal.
         some = [df.limit(1).select(F.lit(1).alias("one")) for df in (predicted, gold)]
         return some[0].unionByName(some[1]).agg(

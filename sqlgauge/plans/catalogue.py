@@ -384,6 +384,47 @@ def exec_match(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Predictions for the statement below, by supplier key: equal, repeats dropped, other rows, and
+# statements that fail when analysed (two) or when run.
+SCORED_GOLD = "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_suppkey = {k}"
+SCORED_SHAPES = [
+    "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_suppkey = {k} ORDER BY l_quantity",
+    "SELECT DISTINCT l_orderkey, l_quantity FROM lineitem WHERE l_suppkey = {k}",
+    "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_suppkey = {k} AND l_quantity > 2",
+    "SELECT l_orderkey, l_quantities FROM lineitem WHERE l_suppkey = {k}",
+    "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_suppkey = ",
+    "SELECT l_orderkey, raise_error('stopped') FROM lineitem WHERE l_suppkey = {k}",
+]
+
+
+def _scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    filled = lambda text: F.replace(F.lit(text), F.lit("{k}"), key.cast("string"))
+    shapes = F.array(*[filled(s) for s in SCORED_SHAPES])
+    return dv.read(spark, sf, "supplier").select(
+        key.alias("sql_idx"),
+        F.lit(dv.DB_ID).alias("db_id"),
+        F.get(shapes, (key % len(SCORED_SHAPES)).cast("int")).alias("predicted_sql"),
+        filled(SCORED_GOLD).alias("gold_sql"),
+    )
+
+
+def evaluate_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions for one statement per supplier, run and scored in windows."""
+    return _executor(spark, sf).evaluate(_scored_pairs(spark, sf))
+
+
+def check_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The same predictions run on their own: their first three rows in order, or the error class."""
+    drafts = _scored_pairs(spark, sf).select(
+        "sql_idx",
+        "db_id",
+        F.concat(F.regexp_replace("predicted_sql", " ORDER BY .*", ""), F.lit(" ORDER BY 1, 2")).alias("predicted_sql"),
+    )
+    checked = _executor(spark, sf).check_all(drafts, 3)
+    return checked.select("sql_idx", "ok", F.when(F.col("ok"), F.col("message")).alias("rows"), "condition")
+
+
 def difficulty_class(spark: SparkSession, sf: str) -> DataFrame:
     sql = F.col("gold_sql")
     return dv.query_log(spark, sf).select(
@@ -535,6 +576,8 @@ OPERATORS: dict[str, Query] = {
     "render_selection": render_selection,
     "keys_by_table": keys_by_table,
     "exec_match": exec_match,
+    "evaluate_log": evaluate_log,
+    "check_log": check_log,
     "difficulty_class": difficulty_class,
     "difficulty_counts": difficulty_counts,
     "acc_by_difficulty": acc_by_difficulty,

@@ -40,13 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
     A local temporary folder is used only by local sessions, where the setting
     is usually absent; a cluster session without it is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_sqlgauge_folder", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = os.path.join(tempfile.gettempdir(), "sqlgauge-checkpoints")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    # Spark does not let a running session change the setting itself
+    folder = context._sqlgauge_folder = tempfile.mkdtemp(prefix="sqlgauge-checkpoints-")
     return folder
 
 
@@ -69,7 +70,7 @@ def task_count(spark: SparkSession) -> int:
     )
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage of a frame that several later jobs read, and survives the
@@ -78,7 +79,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

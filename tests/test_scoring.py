@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sqlgauge.functions.dialect import any_value_of, to_spark_sql
 from sqlgauge.operators import scoring
+from sqlgauge.operators import batch
 from sqlgauge.operators.execute import Executor, evaluation_pairs, parquet_tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -141,8 +142,93 @@ def test_evaluate(spark, executor):
     pairs = evaluation_pairs(predictions, gold)
     got = {r.sql_idx: r.res for r in executor.evaluate(pairs).collect()}
     assert got == {0: 1, 1: 0, 2: 0, 3: 0}
+    conditions = {r.sql_idx: r.condition for r in executor.evaluate(pairs).collect()}
+    assert conditions == {0: None, 1: None, 2: "UNRESOLVED_COLUMN.WITH_SUGGESTION", 3: "PARSE_EMPTY_STATEMENT"}
     timed = executor.time_pairs(pairs.where("sql_idx in (0, 2)"), iterations=2)
     by_key = {}
     for r in timed.collect():
         by_key.setdefault(r.sql_idx, []).append(r.ratio)
     assert len(by_key[0]) == 2 and min(by_key[0]) > 0 and by_key[2] == [0.0]
+
+
+def statements(spark, n, shapes):
+    """(sql_idx, db_id, predicted_sql, gold_sql): n pairs, predictions by turns from ``shapes``."""
+    gold = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < {k}"
+    return rows(spark, [(i, "shop", shapes[i % len(shapes)].replace("{k}", str(i)), gold.replace("{k}", str(i))) for i in range(n)],
+                "sql_idx long, db_id string, predicted_sql string, gold_sql string")
+
+
+SAME = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < {k} ORDER BY 2"
+OTHER = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey <= {k}"
+
+
+def test_a_window_is_one_job(spark, executor):
+    pairs = statements(spark, 12, [SAME, OTHER])
+    seen = []
+    original = batch.Batches._append
+    batch.Batches._append = lambda self, df: (seen.append(df.count()), original(self, df))[1]
+    try:
+        got = {r.sql_idx: r.res for r in batch.evaluate(executor, pairs, window=12).collect()}
+    finally:
+        batch.Batches._append = original
+    assert got == {i: int(i % 2 == 0) for i in range(12)} and seen == [12]
+
+
+def test_failing_statements_are_singled_out(spark, executor):
+    broken = "SELECT o_orderkey, raise_error('stop') FROM orders"
+    shapes = [SAME, OTHER, SAME, SAME, SAME, broken, "SELECT 1 FROM", SAME, "SELECT o_orderkey FROM orders WHERE o_orderkey < {k}"]
+    pairs = statements(spark, 20, shapes)
+    got = {r.sql_idx: (r.res, r.condition) for r in batch.evaluate(executor, pairs, window=7).collect()}
+    for i in range(20):
+        want = {1: (0, None), 5: (0, "USER_RAISED_EXCEPTION"), 6: (0, "ValueError"), 8: (0, None)}.get(i % 9, (1, None))
+        assert got[i] == want, i
+
+
+def test_slow_statements_are_cancelled_and_the_others_scored(spark, executor):
+    slow = "SELECT count(*), 1 FROM lineitem a, lineitem b, lineitem c WHERE a.l_tax + b.l_tax > c.l_tax"
+    quick = Executor(spark, executor.databases, timeout=6)
+    pairs = statements(spark, 3, [SAME, slow, OTHER])
+    got = {r.sql_idx: (r.res, r.condition) for r in batch.evaluate(quick, pairs).collect()}
+    assert got == {0: (1, None), 1: (0, "TIMEOUT"), 2: (0, None)}
+
+
+def test_equal_statements_run_once(spark, executor):
+    pair = (SAME.replace("{k}", "9"), OTHER.replace("{k}", "8"))
+    pairs = rows(spark, [(i, "shop", *pair) for i in range(50)] + [(99, "nowhere", *pair), (100, "shop", None, pair[1])],
+                 "sql_idx long, db_id string, predicted_sql string, gold_sql string")
+    got = {r.sql_idx: (r.res, r.condition) for r in executor.evaluate(pairs).collect()}
+    assert got == {**{i: (1, None) for i in range(50)}, 99: (0, "KeyError"), 100: (0, "PARSE_EMPTY_STATEMENT")}
+
+
+def test_windows_of_nothing(spark, executor):
+    none = rows(spark, [], "sql_idx long, db_id string, predicted_sql string, gold_sql string")
+    assert executor.evaluate(none).collect() == [] and executor.check_all(none).collect() == []
+
+
+def test_union_compares_like_a_pair(spark):
+    """Values, types and NULLs as in test_result_match, all in one window."""
+    texts = [
+        ("SELECT 1 AS a, 'x' AS b", "SELECT 1.0D AS u, 'x' AS v", 1), ("SELECT '1' AS a", "SELECT 1 AS a", 0),
+        ("SELECT NULL AS a", "SELECT CAST(NULL AS STRING) AS a", 1), ("SELECT 0.0D AS a", "SELECT -0.0D AS a", 1),
+        ("SELECT true AS a", "SELECT 1 AS a", 1), ("SELECT 1 AS a", "SELECT 1 AS a, 2 AS b", 0),
+        ("SELECT 1 AS a WHERE false", "SELECT 1 AS a, 2 AS b WHERE false", 1), ("SELECT 1 AS a", "SELECT 1 AS a WHERE false", 0),
+        ("SELECT explode(array(1, 1, 2)) AS a", "SELECT explode(array(2, 1)) AS a", 1),
+        ("SELECT array(1, 2) AS a", "SELECT array(1, 2) AS a", 1), ("SELECT 'a,b' AS a, 'c' AS b", "SELECT 'a' AS a, 'b,c' AS b", 0),
+        ("SELECT DATE '2020-01-01' AS a", "SELECT '2020-01-01' AS a", 1), ("SELECT '' AS a", "SELECT CAST(NULL AS STRING) AS a", 0),
+    ]
+    window = [(i, spark.sql(p), spark.sql(g)) for i, (p, g, _) in enumerate(texts)]
+    got = {r.statement: r.res for r in batch.match_window(window).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(texts)}
+    assert got == {r.sql_idx: r.res for r in scoring.match_table(window).collect()}
+
+
+def test_shown_results(spark, executor):
+    drafts = rows(spark, [
+        (0, "shop", "SELECT o_orderkey FROM orders WHERE o_orderkey < 12 ORDER BY 1 DESC"),
+        (1, "shop", "SELECT 'it''s', NULL, 1.5, 'x' FROM orders WHERE o_orderkey = 1"),
+        (2, "shop", "SELECT 1 FROM orders WHERE o_orderkey < 0"), (3, "shop", "SELECT x FROM orders"),
+    ], "sql_idx long, db_id string, predicted_sql string")
+    got = {r.sql_idx: r for r in executor.check_all(drafts, 2).collect()}
+    assert got[0].message == "[(11,), (10,)]" and got[1].message == """[("it's", None, 1.5, 'x')]"""
+    assert got[2].message == "[]" and got[2].ok and not got[3].ok and "x" in got[3].message
+    assert len(executor.check_all(drafts, None).where("sql_idx = 0").first().message.split("), (")) == 12
