@@ -1,8 +1,8 @@
 """Many statements in one plan: a window of statements is united and run as one Spark job.
 
 Planning a statement needs the driver, so the driver sees the texts of one window at a time, and
-nothing else: rows, comparisons and outcomes stay on the executors and are appended to a table by
-Spark. Every distinct statement or pair of statements is run once.
+nothing else: rows, comparisons and outcomes stay on the executors and are written to a table by
+Spark. Windows are independent, and a few run at a time. Every distinct statement or pair of statements is run once.
 
 A statement that cannot be analysed is a literal row of the union. If the job of a window
 fails or takes too long, the window is halved and each half runs again, down to the one statement that is
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import functools
 import uuid
-from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
@@ -25,8 +25,6 @@ from sqlgauge.session import materialise, shared_folder
 
 WINDOW = 32
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
-# A statement of a window: its key, and the plan made from its texts
-Plan = Callable[[object], DataFrame]
 
 
 def comparable_row(df: DataFrame, types: list[str]) -> DataFrame:
@@ -105,12 +103,11 @@ def shown_result(df: DataFrame, rows: int | None) -> DataFrame:
 
 
 class Batches:
-    """Runs windows of statements through an executor's sessions and appends their outcomes."""
+    """Runs windows of statements through an executor's sessions and stores their outcomes."""
 
     def __init__(self, executor, schema: str, name: str, window: int = WINDOW):
         self.executor, self.schema, self.window = executor, schema, window
         self.path = f"{shared_folder(executor.spark)}/{name}-{uuid.uuid4().hex}"
-        self.jobs = 0
 
     def run(self, statements: DataFrame, texts: list[str], plan, united, failed) -> DataFrame:
         """Outcomes (statement, ...) of ``statements`` (statement, db_id, ``texts``).
@@ -123,12 +120,18 @@ class Batches:
         n = statements.count()
         spread = F.pmod(F.xxhash64("statement"), F.lit(max(1, -(-n // self.window)))).alias("bucket")
         kept = materialise(statements.select(*columns, spread), "statements", partition_by=["db_id", "bucket"])
-        spark.createDataFrame([], self.schema).write.parquet(self.path)  # an empty table, if nothing is run
-        windows = kept.select("db_id", "bucket").distinct().sort("db_id", "bucket").collect()
-        for w in windows:  # one row per window
-            rows = kept.where((F.col("bucket") == w["bucket"]) & F.col("db_id").eqNullSafe(F.lit(w["db_id"]))).collect()
-            self._window(sorted(rows, key=lambda r: r["statement"]), plan, united, failed)
-        return spark.read.schema(self.schema).parquet(self.path)
+        spark.createDataFrame([], self.schema).write.parquet(f"{self.path}/none")  # if nothing is run
+        windows = kept.select("db_id", "bucket").distinct().collect()  # one row per window
+
+        def one(w) -> None:
+            mine = (F.col("bucket") == w["bucket"]) & F.col("db_id").eqNullSafe(F.lit(w["db_id"]))
+            rows = sorted(kept.where(mine).collect(), key=lambda r: r["statement"])
+            self._window(rows, plan, united, failed)
+
+        with ThreadPoolExecutor(max_workers=self.executor.parallelism) as pool:
+            for _ in pool.map(one, windows):
+                pass
+        return spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
 
     def _window(self, rows: list, plan, united, failed) -> None:
         ready, broken = [], []
@@ -140,27 +143,26 @@ class Batches:
             except (ValueError, KeyError) as error:
                 broken.append((row["statement"], type(error).__name__, str(error)))
         if broken:
-            self._append(functools.reduce(DataFrame.unionAll, [failed(self.executor.spark, *b) for b in broken]))
+            self._write(functools.reduce(DataFrame.unionAll, [failed(self.executor.spark, *b) for b in broken]))
         if ready:
             self._halves(ready, united, failed)
 
-    def _append(self, outcomes: DataFrame) -> None:
-        self.jobs += 1
+    def _write(self, outcomes: DataFrame) -> None:
+        """Outcomes in a folder of their own: complete, or not there at all."""
         typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(self.schema).fields]
-        outcomes.select(*typed).coalesce(1).write.mode("append").parquet(self.path)
+        outcomes.select(*typed).write.parquet(f"{self.path}/{uuid.uuid4().hex}")
 
     def _halves(self, window: list[tuple], united, failed) -> None:
-        # the outcomes are one row per statement, held back until the whole part has run
         limit = self.executor.timeout * max(1, len(window) // self.executor.parallelism)
-        outcome = self.executor.guarded(lambda: materialise(united(window), "outcome"), timeout=limit)
+        outcome = self.executor.guarded(lambda: self._write(united(window)), timeout=limit)
         if outcome.ok:
-            self._append(outcome.value)
-        elif len(window) == 1:
-            self._append(failed(self.executor.spark, window[0][0], outcome.condition, outcome.error))
-        else:
-            half = len(window) // 2
-            self._halves(window[:half], united, failed)
-            self._halves(window[half:], united, failed)
+            return
+        if len(window) == 1:
+            self._write(failed(self.executor.spark, window[0][0], outcome.condition, outcome.error))
+            return
+        half = len(window) // 2
+        self._halves(window[:half], united, failed)
+        self._halves(window[half:], united, failed)
 
 
 def evaluate(executor, pairs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -385,7 +385,7 @@ def exec_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Predictions for the statement below, by supplier key: equal, repeats dropped, other rows, and
-# statements that fail when analysed (two) or when run.
+# statements that fail when analysed (two); every 40th fails when run.
 SCORED_GOLD = "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_suppkey = {k}"
 SCORED_SHAPES = [
     "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_suppkey = {k} ORDER BY l_quantity",
@@ -393,8 +393,8 @@ SCORED_SHAPES = [
     "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_suppkey = {k} AND l_quantity > 2",
     "SELECT l_orderkey, l_quantities FROM lineitem WHERE l_suppkey = {k}",
     "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_suppkey = ",
-    "SELECT l_orderkey, raise_error('stopped') FROM lineitem WHERE l_suppkey = {k}",
 ]
+SCORED_FAILURE = "SELECT l_orderkey, raise_error('stopped') FROM lineitem WHERE l_suppkey = {k}"
 
 
 def _scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -404,7 +404,9 @@ def _scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return dv.read(spark, sf, "supplier").select(
         key.alias("sql_idx"),
         F.lit(dv.DB_ID).alias("db_id"),
-        F.get(shapes, (key % len(SCORED_SHAPES)).cast("int")).alias("predicted_sql"),
+        F.when(key % 40 == 5, filled(SCORED_FAILURE))
+        .otherwise(F.get(shapes, (key % len(SCORED_SHAPES)).cast("int")))
+        .alias("predicted_sql"),
         filled(SCORED_GOLD).alias("gold_sql"),
     )
 

@@ -422,27 +422,30 @@ def _lcs_ratio_sql() -> str:
 
 
 _SUPPLIED = "(SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey)"
-_CONDITIONS = ("CASE s_suppkey % 6 WHEN 3 THEN 'UNRESOLVED_COLUMN.WITH_SUGGESTION' "
-               "WHEN 4 THEN 'PARSE_SYNTAX_ERROR' WHEN 5 THEN {run} END")
+# number of the prediction's shape: 0 to 4, or 5 if it fails when run
+_SCORED = "CASE WHEN s_suppkey % 40 = 5 THEN 5 ELSE s_suppkey % 5 END"
+_SCORED_CONDITION = (
+    "CASE shape WHEN 3 THEN 'UNRESOLVED_COLUMN.WITH_SUGGESTION' WHEN 4 THEN 'PARSE_SYNTAX_ERROR' "
+    f"WHEN 5 THEN CASE WHEN EXISTS {_SUPPLIED} THEN 'USER_RAISED_EXCEPTION' END END"
+)
 
 
 def _evaluate_log_sql() -> str:
-    stopped = _CONDITIONS.format(run=f"CASE WHEN EXISTS {_SUPPLIED} THEN 'USER_RAISED_EXCEPTION' END")
     return f"""
-    SELECT s_suppkey AS sql_idx, CAST(CASE s_suppkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN NOT EXISTS (
-             SELECT l_orderkey, l_quantity FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity <= 2)
-           WHEN 5 THEN NOT EXISTS {_SUPPLIED} ELSE 0 END AS INTEGER) AS res, {stopped} AS condition
-    FROM supplier
+    SELECT s_suppkey AS sql_idx, CAST(CASE shape WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN NOT EXISTS (
+             SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity <= 2)
+           WHEN 5 THEN NOT EXISTS {_SUPPLIED} ELSE 0 END AS INTEGER) AS res, {_SCORED_CONDITION} AS condition
+    FROM (SELECT s_suppkey, {_SCORED} AS shape FROM supplier)
     """
 
 
 def _check_log_sql() -> str:
     shown = "'(' || l_orderkey || ', ' || l_quantity || ')'"
-    stopped = _CONDITIONS.format(run=f"CASE WHEN EXISTS {_SUPPLIED} THEN 'USER_RAISED_EXCEPTION' END")
     return f"""
-    WITH lines AS (
-      SELECT l_suppkey, l_orderkey, l_quantity, l_suppkey % 6 AS shape FROM lineitem
-      WHERE l_suppkey % 6 IN (0, 1) OR (l_suppkey % 6 = 2 AND l_quantity > 2)
+    WITH shaped AS (SELECT s_suppkey, {_SCORED} AS shape FROM supplier),
+    lines AS (
+      SELECT l_suppkey, l_orderkey, l_quantity, shape FROM lineitem JOIN shaped ON s_suppkey = l_suppkey
+      WHERE shape IN (0, 1) OR (shape = 2 AND l_quantity > 2)
     ), kept AS (
       SELECT * FROM lines WHERE shape <> 1
       UNION ALL SELECT DISTINCT * FROM lines WHERE shape = 1
@@ -450,7 +453,7 @@ def _check_log_sql() -> str:
       SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_quantity) <= 3
     ), texts AS (
       SELECT l_suppkey, string_agg({shown}, ', ' ORDER BY l_orderkey, l_quantity) AS t FROM firsts GROUP BY l_suppkey
-    ), failed AS (SELECT s_suppkey, {stopped} AS condition FROM supplier)
+    ), failed AS (SELECT s_suppkey, {_SCORED_CONDITION} AS condition FROM shaped)
     SELECT s_suppkey AS sql_idx, condition IS NULL AS ok,
            CASE WHEN condition IS NULL THEN '[' || coalesce(t, '') || ']' END AS rows, condition
     FROM failed LEFT JOIN texts ON l_suppkey = s_suppkey

@@ -165,12 +165,12 @@ OTHER = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey <= {k}"
 def test_a_window_is_one_job(spark, executor):
     pairs = statements(spark, 12, [SAME, OTHER])
     seen = []
-    original = batch.Batches._append
-    batch.Batches._append = lambda self, df: (seen.append(df.count()), original(self, df))[1]
+    original = batch.Batches._write
+    batch.Batches._write = lambda self, df: (seen.append(df.count()), original(self, df))[1]
     try:
         got = {r.sql_idx: r.res for r in batch.evaluate(executor, pairs, window=12).collect()}
     finally:
-        batch.Batches._append = original
+        batch.Batches._write = original
     assert got == {i: int(i % 2 == 0) for i in range(12)} and seen == [12]
 
 
