@@ -16,6 +16,7 @@ from sqlgauge.operators import dataset, scoring, training, usage
 from sqlgauge.operators import values as vl
 from sqlgauge.operators.execute import Executor, parquet_tables
 from sqlgauge.plans import derived as dv
+from sqlgauge.plans import formats
 from sqlgauge.plans.grammar import GRAMMAR, Tables
 from sqlgauge.plans.preprocess import contents_by_sample, prepare, with_contents
 from sqlgauge.session import widen
@@ -615,6 +616,7 @@ def queries() -> dict[str, Query]:
     found = {name: _grammar_query(name) for name in GRAMMAR}
     found.update({f"text_{name}": _text_query(name) for name in TEXT_QUERIES})
     found.update(OPERATORS)
+    found.update(formats.QUERIES)
     return found
 
 

@@ -10,6 +10,7 @@ from sqlgauge.functions import prompts
 from sqlgauge.functions.wordlists import COMMON_WORDS, COUNTED_OPS, STOP_WORDS
 from sqlgauge.plans import derived as dv
 from sqlgauge.plans.catalogue import MATCH_PAIRS, TEXT_QUERIES
+from sqlgauge.plans.formats import NATSQL, NATSQL_TABLES
 from sqlgauge.plans.grammar import GRAMMAR
 
 # table -> (column, Spark type)
@@ -421,6 +422,21 @@ def _lcs_ratio_sql() -> str:
     """
 
 
+def _natsql_sql() -> str:
+    """Canonical text and labels of each shape, worked out from the table and its two columns."""
+    cases = []
+    for i, (table, column, other) in enumerate(NATSQL_TABLES):
+        text = NATSQL.replace("{table}", table).replace("{column}", column).replace("{other}", other)
+        tables = "".join(str(int(t == table)) for t in COLUMNS)
+        columns = "/".join("".join(str(int(t == table and c in (column, other))) for c, _ in cs) for t, cs in COLUMNS.items())
+        cases.append(f"({i}, {_q(text)}, '{tables}', '{columns}')")
+    return f"""
+    SELECT o_orderkey AS sql_idx, replace(text, '{{k}}', o_orderkey::VARCHAR) AS norm_natsql, table_labels, column_labels
+    FROM orders JOIN (VALUES {', '.join(cases)}) AS n(shape, text, table_labels, column_labels)
+      ON shape = o_orderkey % {len(NATSQL_TABLES)}
+    """
+
+
 _SUPPLIED = "(SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey)"
 # number of the prediction's shape: 0 to 4, or 5 if it fails when run
 _SCORED = "CASE WHEN s_suppkey % 40 = 5 THEN 5 ELSE s_suppkey % 5 END"
@@ -548,6 +564,17 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT CAST({i} AS BIGINT) AS sql_idx, CAST({_set_equal(g, p)} AS INTEGER) AS res"
             for i, (g, p) in enumerate(MATCH_PAIRS)
         ),
+        "gold_source": f"SELECT sql_idx, gold_sql, '{dv.DB_ID}' AS db_id FROM {LOG}",
+        "sql_source": f"SELECT sql_idx, gold_sql AS predicted_sql FROM {LOG}",
+        "prediction_source": "SELECT sql_idx, CASE WHEN sql_idx % 4 = 3 THEN ' ' ELSE gold_sql END AS predicted_sql, "
+        f"CASE WHEN sql_idx % 4 = 3 THEN 'financial' ELSE '{dv.DB_ID}' END AS db_id FROM {LOG}",
+        "question_source": f"SELECT sql_idx, '{dv.DB_ID}' AS db_id, question, evidence, CAST(NULL AS VARCHAR) AS "
+        f"difficulty, gold_sql FROM ({dv.question_log_sql()}) JOIN {LOG} USING (sql_idx)",
+        "natsql_source": _natsql_sql(),
+        "selection_source": "SELECT o_orderkey AS sql_idx, 'orders:o_orderkey,o_' || o_orderkey || ';part:p_name' AS used "
+        "FROM orders",
+        "example_replies": "SELECT sql_idx, 'what about ' || sql_idx || '?' AS question, CASE WHEN sql_idx % 2 = 0 "
+        f"THEN 'fact ' || sql_idx END AS evidence, gold_sql FROM {LOG}",
         "evaluate_log": _evaluate_log_sql(),
         "check_log": _check_log_sql(),
         "difficulty_class": "SELECT sql_idx, n_operators, n_tables, difficulty "

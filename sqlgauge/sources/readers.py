@@ -13,31 +13,37 @@ from pyspark.sql import functions as F
 
 from sqlgauge.functions.text import strip
 from sqlgauge.functions.wordlists import MISSING_PREDICTION, PREDICTION_DELIMITER
+from sqlgauge.session import materialise
 from sqlgauge.sources.catalog import TABLES_JSON_FIELDS
 
+
 def with_line_index(lines: DataFrame, name: str = "sql_idx") -> DataFrame:
     """Number the lines of a freshly read text frame, first file and line first.
 
-    Lines are counted per file block, block offsets are summed over the (few)
-    blocks, and each line adds its place inside its block: no global sort.
+    Two passes over the files: the first counts the lines of each file block, one row per block;
+    the second adds the lines of all earlier blocks to a line's place in its own. A task reads a
+    block from front to back, so that place is the distance to the block's first row id, and no
+    line moves. Only the blocks, one row for each split of the input, are put in order.
     """
-    marked = lines.select(
-        "*",
+    block = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+    marked = lines.select("*", block.alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    named = lines.select(
+        block.alias("_block"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    blocks = marked.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
-    offsets = blocks.select(
-        "_file", "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    blocks = materialise(
+        named.groupBy("_file", "_start", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first")),
+        "blocks",
     )
-    within = W.partitionBy("_file", "_start").orderBy("_row")
+    before = W.orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    offsets = blocks.select("_block", (earlier - F.col("_first")).alias("_offset"))
     return (
-        marked.withColumn("_within", F.row_number().over(within) - 1)
-        .join(offsets, ["_file", "_start"])
-        .withColumn(name, (F.col("_before") + F.col("_within")).cast("long"))
-        .drop("_file", "_start", "_row", "_within", "_before")
+        marked.join(F.broadcast(offsets), "_block")
+        .withColumn(name, F.col("_row") + F.col("_offset"))
+        .drop("_block", "_row", "_offset")
     )
 
 
@@ -90,14 +96,23 @@ def read_questions(spark: SparkSession, path: str, lines: bool = False) -> DataF
     )
 
 
-def read_natsql(spark: SparkSession, path: str) -> DataFrame:
-    """(sql_idx, natsql), by place in the input."""
-    docs = _json_document(spark, path, "array<struct<NatSQL:string>>")
-    return docs.select(F.posexplode("doc").alias("sql_idx", "d")).select(
-        F.col("sql_idx").cast("long").alias("sql_idx"), strip(F.col("d.NatSQL")).alias("natsql")
+def _placed_documents(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """(sql_idx, doc): the entries of a JSON array, or of JSON Lines, by place in the input."""
+    if lines:
+        rows = with_line_index(spark.read.text(path))
+        return rows.select("sql_idx", F.from_json("value", schema).alias("doc"))
+    docs = _json_document(spark, path, f"array<{schema}>")
+    return docs.select(F.posexplode("doc").alias("place", "doc")).select(
+        F.col("place").cast("long").alias("sql_idx"), "doc"
     )
 
 
+def read_natsql(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(sql_idx, natsql), by place in the input."""
+    docs = _placed_documents(spark, path, "struct<NatSQL:string>", lines)
+    return docs.select("sql_idx", strip(F.col("doc.NatSQL")).alias("natsql"))
+
+
 def read_tables_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Catalog records; mixed index/name arrays are read as text."""
     return spark.read.schema(TABLES_JSON_FIELDS).json(path, multiLine=not lines)
@@ -183,13 +198,13 @@ def read_train_sql(spark: SparkSession, path: str, mode: str = "generate") -> Da
     raise ValueError("mode must be 'generate' or 'gt'")
 
 
-def read_selected_schema(spark: SparkSession, path: str) -> DataFrame:
-    """(sql_idx, used): an array of {table: [columns]} selections, in input order."""
-    docs = _json_document(spark, path, "array<map<string,array<string>>>")
-    return docs.select(F.posexplode("doc").alias("sql_idx", "m")).select(
-        F.col("sql_idx").cast("long").alias("sql_idx"),
+def read_selected_schema(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(sql_idx, used): {table: [columns]} selections, in input order."""
+    docs = _placed_documents(spark, path, "map<string,array<string>>", lines)
+    return docs.select(
+        "sql_idx",
         F.transform(
-            F.map_entries("m"),
+            F.map_entries("doc"),
             lambda e: F.struct(e["key"].alias("table_name"), e["value"].alias("columns")),
         ).alias("used"),
     )

@@ -147,6 +147,17 @@ def test_line_index_over_many_files_and_blocks(spark, tmp_path):
     assert [r.sql_idx for r in rows] == list(range(153))
 
 
+def test_lines_are_numbered_where_they_lie(spark, tmp_path):
+    for f in range(4):
+        write(tmp_path / "lines" / f"part-{f}.txt", "".join(f"{f}-{i}\n" for i in range(9)))
+    numbered = readers.read_lines(spark, str(tmp_path / "lines"), "x")
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    # what is exchanged are blocks; lines are only scanned and projected
+    assert not any("value#" in line for line in plan.split("\n") if "Exchange hashpartitioning" in line or "Sort [" in line)
+    assert "Window" in plan and "Exchange SinglePartition" in plan
+    assert [r.x for r in numbered.where("x like '%-8'").orderBy("sql_idx").collect()] == [f"{f}-8" for f in range(4)]
+
+
 def test_readers(spark, tmp_path):
     questions = [{"question": "a", "db_id": "x", "query": "SELECT 1"},
                  {"question": "b", "db_id": "y", "SQL": "SELECT 2", "evidence": "e", "difficulty": "simple"}]
