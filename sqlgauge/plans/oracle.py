@@ -410,6 +410,91 @@ def _common_lengths(pairs: str) -> str:
     """
 
 
+# What the questions of the log can match, worked out by hand: the part's name (with its plural s), brands
+# that begin alike, the nation, region and market, and a part type that is the first word of the name.
+_ASKED = """(
+    SELECT o_orderkey AS sql_idx, p_name, p_brand, split_part(p_name, ' ', 1) AS word, n_name, r_name, c_mktsegment
+    FROM orders
+    LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS first_part FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey
+    LEFT JOIN part ON p_partkey = first_part
+    JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+    JOIN region ON r_regionkey = n_regionkey)"""
+
+
+def _brand_pairs_sql() -> str:
+    """(asked, value, score, size): stored brands similar to the one in the question."""
+    lengths = _common_lengths(
+        "SELECT lower(x.p_brand) AS a, lower(y.p_brand) AS b FROM (SELECT DISTINCT p_brand FROM part) x, "
+        "(SELECT DISTINCT p_brand FROM part) y"
+    )
+    return f"""
+    SELECT x.p_brand AS asked, y.p_brand AS value, 2e0 * n / (length(a) + length(b)) AS score,
+           (SELECT max(k) FROM (SELECT unnest(range(1, 20)) AS k) WHERE k <= length(a) AND k <= length(b)
+             AND x.p_brand[1:k] = y.p_brand[1:k]) AS size
+    FROM ({lengths}) JOIN (SELECT DISTINCT p_brand FROM part) x ON lower(x.p_brand) = a
+    JOIN (SELECT DISTINCT p_brand FROM part) y ON lower(y.p_brand) = b
+    WHERE 2e0 * n / (length(a) + length(b)) >= 0.85
+    """
+
+
+def _fuzzy_sql() -> str:
+    exact = lambda t, c, value, source, where="TRUE": (
+        f"SELECT sql_idx, '{t}', '{c}', {value}, {value}, {source}, 1e0, length({value}) FROM asked WHERE {where}"
+    )
+    return f"""
+    WITH asked AS MATERIALIZED {_ASKED}, brands AS MATERIALIZED ({_brand_pairs_sql()}),
+    types AS (SELECT DISTINCT p_type FROM part)
+    SELECT sql_idx, table_name, column_name, value, match_text, source_text, round(score, 6) AS match_score,
+           size::INTEGER AS match_size
+    FROM (
+      SELECT sql_idx, 'part' AS table_name, 'p_name' AS column_name, p_name AS value, p_name AS match_text,
+             p_name || 's' AS source_text, 2e0 * length(p_name) / (2 * length(p_name) + 1) AS score, length(p_name) AS size
+      FROM asked WHERE p_name IS NOT NULL
+      UNION ALL SELECT sql_idx, 'part', 'p_brand', value, value[1:size], asked, score, size
+      FROM asked a JOIN brands ON a.p_brand = brands.asked
+      UNION ALL SELECT sql_idx, 'part', 'p_type', p_type, p_type, word, 1e0, length(p_type)
+      FROM asked JOIN types ON lower(p_type) = word
+      UNION ALL {exact('nation', 'n_name', 'n_name', 'n_name')}
+      UNION ALL {exact('region', 'r_name', 'r_name', 'lower(r_name)')}
+      UNION ALL {exact('customer', 'c_mktsegment', 'c_mktsegment', 'c_mktsegment')})
+    """
+
+
+def _links_sql() -> str:
+    """(sql_idx, table_name, column_name, matches): two values for every question and column."""
+    own = lambda t, c, value: f"SELECT sql_idx, '{t}', '{c}', {value}, 1 FROM asked WHERE {value} IS NOT NULL"
+    return f"""
+    WITH asked AS MATERIALIZED {_ASKED}, brands AS MATERIALIZED ({_brand_pairs_sql()}),
+    firsts AS MATERIALIZED (SELECT * FROM {_first_values(4)}),
+    -- of brands with one matched text the last stands for all, at the place of the first
+    texts AS (
+      SELECT asked, arg_max(struct_pack(v := value, s := score, n := size), value) AS m, min(value) AS first
+      FROM brands GROUP BY asked, value[1:size]),
+    best AS (
+      SELECT asked, m.v AS value, row_number() OVER (PARTITION BY asked ORDER BY 1e16 * m.s + 1e8 * m.s + m.n DESC, first) AS n
+      FROM texts),
+    chosen AS (
+      SELECT sql_idx, 'part' AS table_name, 'p_brand' AS column_name, value, n
+      FROM asked a JOIN best ON a.p_brand = best.asked WHERE n <= 2
+      UNION ALL SELECT sql_idx, 'part', 'p_name', value, row_number() OVER (PARTITION BY sql_idx ORDER BY value)
+      FROM asked JOIN (SELECT DISTINCT p_name AS value FROM part) ON split_part(value, ' ', 1) = word
+      UNION ALL SELECT sql_idx, 'part', 'p_type', p_type, 1 FROM asked JOIN (SELECT DISTINCT p_type FROM part) ON lower(p_type) = word
+      UNION ALL {own('nation', 'n_name', 'n_name')}
+      UNION ALL {own('region', 'r_name', 'r_name')}
+      UNION ALL {own('customer', 'c_mktsegment', 'c_mktsegment')}),
+    listed AS (
+      SELECT sql_idx, table_name, column_name, value, 0 AS rest, n FROM chosen WHERE n <= 4
+      UNION ALL SELECT sql_idx, table_name, column_name, value, 1, place FROM asked, firsts
+      WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.sql_idx = asked.sql_idx AND c.column_name = firsts.column_name
+                          AND c.value = firsts.value)),
+    two AS (
+      SELECT *, row_number() OVER (PARTITION BY sql_idx, table_name, column_name ORDER BY rest, n) AS spot FROM listed
+      QUALIFY spot <= 2)
+    SELECT sql_idx, table_name, column_name, string_agg(value, '|' ORDER BY spot) AS matches
+    FROM two GROUP BY sql_idx, table_name, column_name
+    """
+
+
 def _lcs_ratio_sql() -> str:
     pairs = "SELECT {a} AS a, {b} AS b FROM part"
     low = _common_lengths(pairs.format(a="lower(p_name)", b="lower(p_type)"))
@@ -498,6 +583,8 @@ def oracle_sql() -> dict[str, str]:
         + _bm25("SELECT item_id AS sql_idx, text AS question FROM benchmark",
                 _values([("documents", "text")]))
         + ")) WHERE rank <= 10",
+        "fuzzy_matches": _fuzzy_sql(),
+        "value_link_top2": _links_sql(),
         "lcs_ratio": _lcs_ratio_sql(),
         # every column has two values for each sample, or all that it has
         "sample_contents": "SELECT o_orderkey AS sql_idx, (SELECT sum(least(2, n))::BIGINT FROM (SELECT count(*) "

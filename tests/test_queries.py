@@ -12,7 +12,7 @@ FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 # the training-data operators have tests of their own
 QUERIES = {n: q for n, q in contract.queries().items() if n in catalogue.queries()}
 SQL = {n: sql for n, sql in contract.oracle_sql().items() if n in QUERIES}
-UNCHECKED = {"fuzzy_matches", "value_link_top2", "prepared_samples"}
+UNCHECKED = {"prepared_samples"}
 
 
 @pytest.fixture(scope="module")
