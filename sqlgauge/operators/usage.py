@@ -22,9 +22,6 @@ from sqlgauge.functions.text import (
 from sqlgauge.operators.joins import spread_join
 from sqlgauge.session import materialise
 
-# Paths between tables are only added for selections smaller than this.
-MAX_CONNECTED_TABLES = 10
-
 _SRC_T, _SRC_C = "source_table_name_original", "source_column_name_original"
 _DST_T, _DST_C = "target_table_name_original", "target_column_name_original"
 
@@ -205,16 +202,20 @@ def with_paths(schemas: DataFrame) -> DataFrame:
     return schemas.withColumn("paths", paths(F.col("fk")))
 
 
-def connected_tables(tables: Column, fk: Column, paths: Column) -> Column:
-    """Neighbours, plus the tables on the paths between unconnected pairs."""
+def connected_tables(
+    tables: Column, fk: Column, paths: Column, below: int | None = None
+) -> Column:
+    """Neighbours, plus the tables on the paths between unconnected pairs.
+
+    With ``below``, paths are only added to selections of fewer tables.
+    """
     def connect(near: Column) -> Column:
         between = F.filter(
             paths, lambda p: F.array_contains(near, p["a"]) & F.array_contains(near, p["b"])
         )
         joined = F.flatten(F.transform(between, lambda p: p["path"]))
-        return F.when(
-            F.size(near) < MAX_CONNECTED_TABLES, F.sort_array(F.array_union(near, joined))
-        ).otherwise(near)
+        whole = F.sort_array(F.array_union(near, joined))
+        return whole if below is None else F.when(F.size(near) < below, whole).otherwise(near)
 
     return let(with_neighbors(tables, fk), connect)
 

@@ -24,6 +24,12 @@ NORMALIZE = [
     # A column called description is no direction.
     ("SELECT description FROM t ORDER BY x", "select description from t order by x asc"),
     ("select x from t order by x desc", "select x from t order by x desc"),
+    # every key has its own direction
+    ("SELECT a FROM t ORDER BY a, b DESC, max(c) LIMIT 3",
+     "select a from t order by a asc , b desc , max ( c ) asc limit 3"),
+    ("select a from (select b from u order by b, c) order by a + b, t.c",
+     "select a from ( select b from u order by b asc , c asc ) order by a + b asc , t.c asc"),
+    ("select t12.a from x as t12 where t1.b = t120.c", "select x.a from x where t1.b = t120.c"),
     # t1 does not touch t10 or at1, and a string is left alone.
     (
         "SELECT T1.a, T10.b, at1 FROM x AS T1 JOIN y AS T10 ON T1.k = T10.k WHERE z = 't1 T1'",
