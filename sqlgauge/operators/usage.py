@@ -112,21 +112,16 @@ def used_columns(sql: Column, schema_items: Column) -> Column:
 
 
 def named_tables(sql: Column, schema_items: Column) -> Column:
-    """Tables whose name is a word of the query; all tables if there is none."""
-    names = _tables(schema_items)
-    odd_ends = F.filter(
-        F.transform(names, lambda n: F.right(n, F.lit(1))), lambda c: ~c.rlike(r"^[\p{L}\p{N}]$")
-    )
-
-    def bare(word: Column, odd: Column) -> Column:
-        last = F.right(word, F.lit(1))
-        whole = last.rlike(r"^[\p{L}\p{N}]$") | F.array_contains(odd, last)
-        return F.when(whole, word).otherwise(F.left(word, F.char_length(word) - 1))
+    """Tables whose name is a word of the query, with or without one mark at the word's end.
 
-    words = F.filter(F.split(F.lower(sql), " "), lambda w: F.trim(w) != "")
-    found = let(
-        odd_ends, lambda odd: F.array_intersect(names, F.transform(words, lambda w: bare(w, odd)))
+    If no word is a table's name, all tables.
+    """
+    names = _tables(schema_items)
+    words = F.split(F.lower(sql), r"\s+")
+    either = let(
+        words, lambda ws: F.concat(ws, F.transform(ws, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]$", "")))
     )
+    found = F.array_intersect(names, either)
     return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(names))
 
 

@@ -70,6 +70,9 @@ def test_skeleton(spark):
         ("select a from t where a in ( select b from u )", "select _ from _ where _ in ( select _ from _ )"),
         ("select max ( a ) from t group by b having count ( * ) >= 2",
          "select max ( _ ) from _ group by _ having count ( _ ) >= _"),
+        ("select t.a from t join u on t.a = u.b and t.a = u.b or a = b join t on a = b group by a , b",
+         "select _ from _ group by _"),
+        ("select a from t join u on t.a > u.b where a between 1 and 2 and b = 3", "select _ from _ on _ where _ between _ and _ and _"),
         ("select a from t where a like 'x y%' limit 3", "select _ from _ where _ like _ limit _"),
     ]
     got = apply(spark, lambda c: tx.sql_skeleton(c, names), [t for t, _ in cases])
