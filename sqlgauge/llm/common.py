@@ -20,13 +20,14 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only in local sessions."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_sqlgauge_folder", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local["):
+    if not context.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="sqlgauge-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    # Spark does not let a running session change the setting itself
+    folder = context._sqlgauge_folder = tempfile.mkdtemp(prefix="sqlgauge-")
     return folder
 
 

@@ -416,6 +416,15 @@ def test_every_operator_is_registered():
     assert names == set(range(1, 14)) and "pipeline" in contract.queries()
 
 
+def kept_by_similarity(rows):
+    """The text of the smallest id of each group linked by five-word similarity of 0.8."""
+    ids = sorted(rows)
+    n = [max(1, len(rows[i].split()) - 4) for i in ids]
+    near_in_size = lambda a, b: min(n[a], n[b]) >= 0.8 * max(n[a], n[b])
+    at = components(len(ids), lambda a, b: near_in_size(a, b) and similarity(rows[ids[a]], rows[ids[b]]) >= 0.8 - 1e-12)
+    return {ids[k]: rows[ids[k]] for k in set(at.values())}
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     extra = docs.selectExpr("*", "'x' AS _doc", "'y' AS _all", "1 AS fp").unionAll(
@@ -433,10 +442,7 @@ def test_pipeline_stages_equal_brute_force(spark):
             kept = con.execute(lines.LINES_SQL + "SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') FROM marked GROUP BY 1")
             rows = dict(kept.fetchall())
         elif name == "simhash_near_dedup":
-            ids = sorted(rows)
-            prints = [fingerprint(rows[i]) for i in ids]
-            at = components(len(ids), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
-            rows = {ids[k]: rows[ids[k]] for k in set(at.values())}
+            rows = kept_by_similarity(rows)
         elif name == "benchmark_decontamination":
             items = [" ".join(r["text"].split()) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
             held = {i for i, t in rows.items() if any(x in " ".join(t.split()) for x in items)}
@@ -456,13 +462,9 @@ def test_pipeline_near_stage_equals_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     now = corpus_pipeline.line_dedup(spark, corpus_pipeline.language_id(spark, docs, DATA), DATA)
     rows = {r["doc_id"]: r["text"] for r in now.collect()}
-    ids = sorted(rows)
-    n = [max(1, len(rows[i].split()) - 4) for i in ids]
-    near_in_size = lambda a, b: min(n[a], n[b]) >= 0.8 * max(n[a], n[b])
-    at = components(len(ids), lambda a, b: near_in_size(a, b) and similarity(rows[ids[a]], rows[ids[b]]) >= 0.8 - 1e-12)
     out = corpus_pipeline.near_dedup(spark, now, DATA)
     assert tuple(out.columns) == corpus_pipeline.COLUMNS
-    assert {r["doc_id"]: r["text"] for r in out.collect()} == {ids[k]: rows[ids[k]] for k in set(at.values())}
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == kept_by_similarity(rows)
     left = corpus_pipeline.decontaminate(spark, out, DATA)
     coded = corpus_pipeline.tokenize(spark, left, DATA)
     assert {r["doc_id"]: r["text"] for r in coded.collect()} == {r["doc_id"]: r["text"] for r in left.collect()}
