@@ -6,9 +6,10 @@ lines except those of the largest doc_id that holds them.
 
 Hashes of keys (two of 64 bits) are range-partitioned together with the document, so the rows
 of one frequent key lie in many partitions, sorted by hash, then document (largest first), then
-position. Each partition is read as a stream: the first row of a key is its largest document
-there, and a step to another document counts one. These per-partition results, one row per key
-and partition, are merged; all rows of one key and document lie in the same partition.
+position. Each partition is read as a stream by a window in that order, which needs no further
+sort or shuffle: a line without a predecessor of its key and document is a first occurrence and
+goes on, all other lines end there. First occurrences are merged to the largest document and the
+number of documents of each key, one row per key and partition before the shuffle.
 The decision returns to the documents as sparse bitmaps: words of 62 lines, of which only those
 with a dropped line are kept. Texts never move with the lines.
 
@@ -19,7 +20,7 @@ the same decision. Lines beyond any length are treated alike. An empty table giv
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +60,18 @@ def _judged_lines(docs: DataFrame, key: str, text: str, min_chars: int) -> DataF
     )
 
 
+def first_occurrences(lines: DataFrame) -> DataFrame:
+    """(h1, h2, doc): the first line of each key in each document, streamed from sorted ranges."""
+    # the complement of a document rises where the document falls
+    order = ["h1", "h2", "after", "pos"]
+    slim = lines.select("h1", "h2", F.bitwise_not("doc").alias("after"), "pos")
+    ordered = slim.repartitionByRange(partitions(lines.sparkSession), "h1", "h2", "after").sortWithinPartitions(*order)
+    stream = Window.partitionBy("h1", "h2", "after").orderBy("pos")
+    return ordered.withColumn("before", F.lag("pos").over(stream)).where(F.col("before").isNull()).select(
+        "h1", "h2", F.bitwise_not("after").alias("doc")
+    )
+
+
 def keep_bitmaps(
     docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3
 ) -> DataFrame:
@@ -69,12 +82,9 @@ def keep_bitmaps(
     """
     spark = docs.sparkSession
     lines = store(_judged_lines(docs, key, text, min_chars), "line-keys")
-    ordered = lines.repartitionByRange(partitions(spark), "h1", "h2", F.desc("doc")).sortWithinPartitions(
-        "h1", "h2", F.desc("doc"), "pos"
+    by_key = first_occurrences(lines).groupBy("h1", "h2").agg(
+        F.max("doc").alias("keeper"), F.count(F.lit(1)).alias("docs")
     )
-    # Streams: a row per key and document, without another shuffle, then one per key and partition
-    by_doc = ordered.groupBy("h1", "h2", "doc").agg(F.count(F.lit(1)).alias("n"))
-    by_key = by_doc.groupBy("h1", "h2").agg(F.max("doc").alias("keeper"), F.count(F.lit(1)).alias("docs"))
     # stored, so that the join sees two plain shuffles and can split a frequent key
     shared = store(by_key.where(F.col("docs") >= min_docs).select("h1", "h2", "keeper"), "shared-lines")
     dropped = lines.join(shared, ["h1", "h2"]).where(F.col("doc") != F.col("keeper"))
