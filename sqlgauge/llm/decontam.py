@@ -16,7 +16,8 @@ of five words) of at least ``LEAST`` = 0.8 with the item. Windows start at every
 
 Words are runs of ASCII letters, digits and other characters' bytes, A-Z lower-cased. Items of
 fewer than five words are one shingle. The benchmark is broadcast; its size is measured first,
-and larger benchmarks go in several passes of at most ``PASS_ITEMS`` items.
+and larger benchmarks go in several passes of about ``PASS_ITEMS`` items or ``PASS_BYTES`` bytes
+of text, whichever is less, one after the other over stored documents.
 
 Odd cases: null or empty texts and items match nothing; equal items are reported each under its
 own item_id; several matches of one item in a document are one row with the best. Rows that
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, pieces, small_batches, words
+from .common import mixed, pieces, release, small_batches, store, words
 
 SHINGLE_WORDS = 5
 LEAST = 0.8
@@ -42,6 +43,9 @@ BITS = 128
 BLOCK_BITS = 8
 RADIUS = 47
 PASS_ITEMS = 20_000
+PASS_BYTES = 1 << 25
+PART_PLACES = 1 << 16
+PART_WINDOWS = 4096
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _FOUND = T.ArrayType(
     T.StructType(
@@ -168,8 +172,7 @@ class Benchmark:
         inner = n - SHINGLE_WORDS + 1
         need = int(np.ceil(LEAST * inner - 1e-9))
         # windows that could hold enough shingles: starts up to inner-1 before a hit
-        start = np.unique((place[:, None] - np.arange(inner)[None, :]).ravel())
-        start = start[start >= 0]
+        start = _union(np.maximum(place - inner + 1, 0), place + 1)
         which = row[start]
         fits = start + n <= begin[which + 1]
         short = np.unique(row[place])
@@ -178,27 +181,41 @@ class Benchmark:
         # documents shorter than the item are one window
         whole = begin[short + 1] - begin[short] - SHINGLE_WORDS + 1
         start, size = np.concatenate([start, begin[short]]), np.concatenate([size, whole])
-        enough = np.searchsorted(place, start + size) - np.searchsorted(place, start) >= need
-        start, size = start[enough], size[enough]
-        for at in range(0, len(start), 4096):
-            self._verify(n, start[at : at + 4096], size[at : at + 4096], value, row, begin, found)
+        shared = np.searchsorted(place, start + size) - np.searchsorted(place, start)
+        enough = np.flatnonzero(shared >= need)
+        enough = enough[np.argsort(start[enough], kind="stable")]
+        start, size, shared = start[enough], size[enough], shared[enough]
+        if not len(start):
+            return
+        # windows that begin a bounded number of new places, so that memory is that of one window more
+        new = np.minimum(size, np.diff(start + size, prepend=start[0]))
+        full = np.diff(np.cumsum(new) // PART_PLACES) + np.diff(np.arange(len(start)) // PART_WINDOWS)
+        for own in np.split(np.arange(len(start)), np.flatnonzero(full) + 1):
+            self._verify(n, start[own], size[own], shared[own], value, row, begin, found)
 
-    def _verify(self, n, start, size, value, row, begin, found) -> None:
+    def _verify(self, n, start, size, shared, value, row, begin, found) -> None:
         # shingles of all windows, each once, then running sums of their signs
-        low = np.minimum.accumulate(start[::-1])[::-1]
-        place = np.unique(np.concatenate([np.arange(a, a + k) for a, k in zip(start.tolist(), size.tolist())])) if len(low) else start
+        place = _union(start, start + size)
         sums = np.zeros((len(place) + 1, BITS), np.int32)
         np.cumsum(signs(value[place]), axis=0, out=sums[1:])
         at = np.searchsorted(place, start)
         prints = _packed(sums[at + size] - sums[at])
         items = self.items[n]
-        for w, i in zip(*(x.tolist() for x in self.index[n].candidates(prints))):
-            item, own = items[i]
+        window, item = self.index[n].candidates(prints)
+        # most shared shingles first: later windows mostly cannot be more similar, and are passed over
+        order = np.lexsort((start[window], -shared[window]))
+        for w, i in zip(window[order].tolist(), item[order].tolist()):
+            number, own = items[i]
             a, k = int(start[w]), int(size[w])
-            like = weighted_similarity(own, np.sort(value[a : a + k]))
             doc = int(row[a])
-            if like >= LEAST - 1e-12 and like > found[doc].get(item, (0.0,))[0]:
-                found[doc][item] = (like, a - int(begin[doc]), k + SHINGLE_WORDS - 1)
+            best, first, _ = found[doc].get(number, (0.0, 0, 0))
+            both = min(int(shared[w]), k)
+            most, at = both / (len(own) + k - both), a - int(begin[doc])
+            if most < best or (most == best and at >= first):
+                continue
+            like = weighted_similarity(own, np.sort(value[a : a + k]))
+            if like >= LEAST - 1e-12 and (like > best or (like == best and at < first)):
+                found[doc][number] = (like, at, k + SHINGLE_WORDS - 1)
 
     def _short(self, n, h, row, begin, found) -> None:
         """Items of fewer words than a shingle are one shingle and match as a whole."""
@@ -213,6 +230,14 @@ class Benchmark:
                 found[int(row[a])].setdefault(item, (1.0, a - int(begin[row[a]]), n))
 
 
+def _union(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All places of ranges whose starts and ends both rise, each place once."""
+    start = np.maximum(start, np.concatenate([start[:1], end[:-1]]))
+    size = np.maximum(end - start, 0)
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - before, size)
+
+
 def short_shingle(h: np.ndarray) -> np.ndarray:
     """The one shingle of an item of fewer words than a shingle."""
     value = np.full(1, len(h), np.uint64)
@@ -246,7 +271,8 @@ def _passes(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[list[i
     usable = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(
         F.col(item).cast("long").alias("i"), F.col(text).alias("t")
     )
-    parts = max(1, -(-usable.count() // PASS_ITEMS))
+    size = usable.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
+    parts = max(1, -(-size["n"] // PASS_ITEMS), -(-(size["b"] or 0) // PASS_BYTES))
     for k in range(parts):
         own = usable.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k) if parts > 1 else usable
         rows = sorted((r["i"], r["t"]) for r in own.collect())
@@ -257,11 +283,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     """``docs`` with ``_found``: an array of (item_id, similarity, start_word, n_words)."""
     spark = docs.sparkSession
     small_batches(spark)
-    columns = []
-    for ids, texts in _passes(benchmark, item, item_text):
-        shared = spark.sparkContext.broadcast((ids, texts))
-        columns.append(_finder(shared)(F.col(text)))
-    return docs.withColumn("_found", F.concat(*columns) if len(columns) > 1 else columns[0])
+    stored = None
+    for k, (ids, texts) in enumerate(_passes(benchmark, item, item_text)):
+        found = _finder(spark.sparkContext.broadcast((ids, texts)))(F.col(text))
+        if not k:
+            docs = docs.withColumn("_found", found)
+            continue
+        before, stored = stored, store(docs, "contaminated")
+        docs = stored.withColumn("_found", F.concat("_found", found))
+        if before is not None:
+            release(before)
+    return docs
 
 
 def _finder(shared):
