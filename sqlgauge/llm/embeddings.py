@@ -3,8 +3,10 @@
 Distinct vectors are dealt into shards by a hash of their id. A task builds a hierarchical
 navigable small-world graph over the vectors of one shard and then streams queries through it:
 every vector meets every shard, each pair of shards on one of its two sides. Beams start at
-``BEAM`` entries; before a shard is searched, an audit compares the links found for a sample of
-queries with brute force and doubles the beam until the recall is at least ``AUDIT``; a query whose
+``BEAM`` entries. An audit compares what is found for a sample of queries with brute force: of the
+shard's own vectors (``AUDIT_QUERIES``) and of every batch that comes from other shards
+(``AUDIT_FOREIGN``). Of the sampled queries that link to another vector, a share of ``AUDIT`` must
+have all their links found; else the beam is doubled and the sample searched again. A query whose
 beam is full of links goes again with twice the beam, so large groups are found whole. Links are
 verified by their cosine in double precision. A task returns counts and the links of a spanning
 forest instead of all pairs; components are then united over all shards.
@@ -37,7 +39,8 @@ SPARE = 8  # further links of a node, to nodes that would else be hard to reach
 BUILD_BEAM = 48
 BEAM = 64
 AUDIT = 0.995
-AUDIT_QUERIES = 384
+AUDIT_QUERIES = 2048
+AUDIT_FOREIGN = 64
 _BATCH = 256
 _WIDTH = 4
 _SLACK = 1e-4  # between single and double precision
@@ -226,18 +229,17 @@ class Shard:
         self.unit = (self.exact / self.norm[:, None]).astype(np.float32)
         self.graph = SmallWorld(self.unit)
         self.beam = min(BEAM, max(1, len(ids)))
-        self.audited = False
+        self.recall = 1.0  # lowest share of audited queries found whole, with the final beam of each audit
         self.count = np.zeros(len(ids), np.int64)
         self.label = np.arange(len(ids))
 
-    def links(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of all verified links of some vectors."""
+    def links(self, raw: np.ndarray, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) of all verified links of some vectors; ``own``: they are the shard's."""
         exact = raw.astype(np.float64)
         norm = np.linalg.norm(exact, axis=1)
         unit = (exact / norm[:, None]).astype(np.float32)
-        if not self.audited:
-            self._audit(unit)
-            self.audited = True
+        most = AUDIT_QUERIES if own else AUDIT_FOREIGN
+        self._audit(unit, np.unique(np.linspace(0, len(unit) - 1, min(most, len(unit))).astype(int)), own)
         query, node = self._found(unit, self.beam)
         cosine = np.einsum("nd,nd->n", exact[query], self.exact[node]) / (norm[query] * self.norm[node])
         good = cosine >= self.least
@@ -263,24 +265,33 @@ class Shard:
         none = np.zeros(0, np.int64)
         return (np.concatenate(queries), np.concatenate(nodes)) if queries else (none, none)
 
-    def _audit(self, unit: np.ndarray) -> None:
-        """Widen the beam until a sample of queries finds what brute force finds."""
-        own = self.unit[:: max(1, len(self.unit) // AUDIT_QUERIES)][:AUDIT_QUERIES]
-        sample = np.concatenate([own, unit[:: max(1, len(unit) // AUDIT_QUERIES)][:AUDIT_QUERIES]])
-        true = sum(
-            int((sample @ self.unit[at : at + 65536].T >= self.least + _SLACK).sum())
-            for at in range(0, len(self.unit), 65536)
-        )
-        while self.beam < len(self.ids):
-            query, node = self._found(sample, self.beam)
-            sure = np.einsum("nd,nd->n", sample[query], self.unit[node]) >= self.least + _SLACK
-            if int(sure.sum()) >= AUDIT * true:
+    def _audit(self, unit: np.ndarray, sample: np.ndarray, own: bool) -> None:
+        """Widen the beam until enough of the sampled queries have all their links found."""
+        while len(sample):
+            share = self._found_whole(unit, sample, own)
+            if share >= AUDIT or self.beam >= len(self.ids):
+                self.recall = min(self.recall, share)
                 return
             self.beam = min(2 * self.beam, len(self.ids))
 
+    def _found_whole(self, unit: np.ndarray, sample: np.ndarray, own: bool) -> float:
+        """Share of the queries with links to other vectors for which the search finds them all."""
+        linked = whole = 0
+        for at in range(0, len(sample), 64):
+            now = sample[at : at + 64]
+            missed = unit[now] @ self.unit.T >= self.least + _SLACK
+            if own:
+                missed[np.arange(len(now)), now] = False
+            some = missed.any(1)
+            query, node = self._found(unit[now], self.beam)
+            missed[query, node] = False
+            linked += int(some.sum())
+            whole += int((some & ~missed.any(1)).sum())
+        return whole / linked if linked else 1.0
+
     def join_own(self) -> tuple[np.ndarray, np.ndarray]:
         """Count the links within the shard; the links of a spanning forest."""
-        query, node = self.links(self.exact)
+        query, node = self.links(self.exact, own=True)
         a, b = np.minimum(query, node), np.maximum(query, node)
         pair = np.unique(np.stack([a, b], 1)[a != b], axis=0)
         np.add.at(self.count, pair[:, 0], self.copies[pair[:, 1]])
