@@ -2,13 +2,16 @@
 
 A page is stripped of comments, scripts, styles and tags; each block element is a line. A line
 counts as many characters as it has outside of links; it counts none inside elements that by
-their name, role or class are menus, headers, footers, sidebars, notices, adverts, forms or
-reader comments, unless such an element holds all articles or, without any, most of the text.
+their name, role or class are menus, headers, footers, sidebars, notices, adverts or forms,
+unless such an element holds all articles or, without any, most of the text. Reader comments
+count none wherever they stand, even as articles. A class or id is judged as a whole: each of its
+words has to be such a name or a word of placement (``site-header``, ``sidebar-left``).
 Inside a marked article a line counts all its characters ``ARTICLE_WEIGHT`` times. Sums over
 sliding windows of lines then show where text surges (``SURGE`` characters, or the most that a
 window of the page has) and where it dives to nothing; all lines between a surge and its dive are
 kept, link-heavy ones too, as many such stretches as there are. The border of an article is a
-dive, and the lines in it surge by their sum as one stretch.
+dive, and the lines in it surge by their sum as one stretch; the only marked stretch of a page
+surges whatever its length. A paragraph with words outside of its links can begin a surge.
 
 White space inside a line becomes one space; kept lines are joined by an empty line. Character
 references are decoded once. Null, empty and textless pages give an empty text; unclosed and
@@ -48,11 +51,20 @@ ARTICLE = frozenset(("article", "main"))
 SILENT_WORDS = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising banner sponsor sponsored promo promotion "
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer bottombar sidebar aside "
-    "complementary contentinfo comment comments commentlist disqus reply replies respond cookie cookies consent "
-    "gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin share "
+    "complementary contentinfo cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin share "
     "sharing social related recommended recommendations widget widgets search searchbox pagination pager "
     "toolbar copyright disclaimer skip dialog form".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+# words beside such a name that tell where or how large an element is, or what kind of box
+PLACE_WORDS = frozenset(
+    "site page main top bottom left right center primary secondary global local upper lower inner outer sub in "
+    "inline list item items box block area container wrapper wrap section bar link links post posts article "
+    "articles entry blog story stories news button buttons group row col column content body text title heading "
+    "icon icons label panel pane unit slot zone sticky fixed floating float wide large small mini mobile desktop "
+    "thread meta author user users reader readers message legal privacy policy leaderboard google gpt dfp "
+    "media input field tags div id js the".split()
+)
 # elements that end when another of their kind begins
 _CLOSED_BY_SAME = frozenset("p li dt dd tr td th option".split())
 _PIECE = re.compile(
@@ -60,27 +72,44 @@ _PIECE = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z][^<>]*\Z",
     re.S | re.I,
 )
-_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
-# a name with one of these tells how the element is laid out around another
-_LAYOUT = frozenset("no not non has have with without".split())
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_WORD = re.compile(r"[a-z]{2,}")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    """Names, lower-cased, and values of a tag's attributes; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
 
+def _says(names: str, kinds: frozenset[str]) -> bool:
+    """Whether a name consists of words of ``kinds``, at least one, and words of placement."""
+    for name in names.split():
+        found = set(_WORD.findall(_HUMP.sub("-", name).lower()))
+        if found & kinds and found <= kinds | SILENT_WORDS | PLACE_WORDS:
+            return True
+    return False
 
-def _is_silent(tag: str, attributes: str) -> tuple[bool, bool]:
+
+def _is_silent(tag: str, raw: str) -> tuple[bool, bool]:
     """Whether an element is silent, and whether it may be spared for what it contains."""
-    if _HIDDEN.search(attributes) and tag not in ("html", "body", "article", "main"):
-        return True, False
     if tag in SILENT:
         return True, tag == "form"
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not raw or tag in ("html", "body", "main"):
+        return False, False
+    own = _attributes(raw)
+    names = " ".join(own.get(x, "") for x in ("class", "id", "role"))
+    if _says(names, COMMENT_WORDS):
+        return True, False
+    if tag == "article":
         return False, False
-    for m in _NAMED.finditer(attributes):
-        for name in (m[2] or m[3] or m[4] or "").lower().split():
-            found = _WORD.findall(name)
-            if _LAYOUT.isdisjoint(found) and not SILENT_WORDS.isdisjoint(found):
-                return True, True
-    return False, False
+    hidden = "hidden" in own or _NO_DISPLAY.search(own.get("style", "")) is not None
+    quiet = hidden or _says(names, SILENT_WORDS)
+    return quiet, quiet
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
@@ -103,6 +132,7 @@ def _walk(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, bool]
     silent = links = articles = size = seen = firm = 0
     parts: list[str] = []
     linked: list[str] = []
+    outside: list[str] = []
 
     def add(raw: str) -> None:
         nonlocal size
@@ -110,8 +140,7 @@ def _walk(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, bool]
             size += len(raw.strip())
         if raw and not silent:
             parts.append(raw)
-            if links:
-                linked.append(raw)
+            (linked if links else outside).append(raw)
 
     def end_line() -> None:
         if parts:
@@ -119,9 +148,12 @@ def _walk(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, bool]
             if text:
                 in_links = len(" ".join(references.unescape("".join(linked)).split())) if linked else 0
                 counted = 0 if in_links > LINKED_SHARE * len(text) else len(text) - in_links
+                if not counted and any(x[0] == "p" for x in open_) and any(x.isalpha() for x in "".join(outside)):
+                    counted = len(text) - in_links
                 lines.append((text, counted, articles > 0))
             parts.clear()
             linked.clear()
+            outside.clear()
 
     def close(depth: int) -> None:
         nonlocal silent, links, articles, firm
@@ -161,7 +193,7 @@ def _walk(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, bool]
             open_.append((tag, quiet, m.start() if quiet and by_name else -1, size, seen))
             silent += quiet
             firm += quiet and not by_name
-            seen += tag in ARTICLE
+            seen += tag in ARTICLE and not firm
             links += tag == "a"
             articles += tag in ARTICLE
     add(page[at:])
@@ -178,12 +210,13 @@ def main_text(page: str | None) -> str:
         sum(counts[j] for j in range(i, min(i + WINDOW, len(lines))) if lines[j][2] == inside)
         for i, (_, _, inside) in enumerate(lines)
     ]
-    # a marked stretch surges or not as a whole, by all its lines
+    # a marked stretch surges or not as a whole, by all its lines; the only one always does
+    only = sum(inside for inside, _ in groupby(lines, key=lambda line: line[2])) == 1
     at = 0
     for inside, run in groupby(lines, key=lambda line: line[2]):
         to = at + sum(1 for _ in run)
         if inside:
-            sums[at:to] = [sum(counts[at:to])] * (to - at)
+            sums[at:to] = [max(SURGE * only, sum(counts[at:to]))] * (to - at)
         at = to
     least = min(SURGE, max(sums, default=1) or 1)
     kept, flowing = [], False
