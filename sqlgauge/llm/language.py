@@ -11,12 +11,16 @@ are parsed in blocks of ``BLOCK`` characters, each from a fresh phrase, so that
 batch advance together through one table of transitions: one numpy step per character place,
 not one per character. All blocks of a text count; none is left out.
 
-The sample is bounded: of the labelled texts of ``sample_chars`` (least, most) characters,
-``per_language`` whole texts of each language with the smallest hashes. The automata have at most
-twice as many states as the sample has characters.
-
-Odd cases: null texts and texts without a letter give ``und`` with score 0. Letters unknown to
-all samples share one class. With no labelled text at all every text is ``und``. A null doc_id
+The sample is bounded by ``per_language`` texts of ``sample_chars`` (least, most) characters for
+each language, those with the smallest hashes. Where a language has too few texts of that length,
+the nearest lengths follow: of a longer text its middle, of shorter ones as many more texts as
+make up for their length, ``SHORT_TEXTS`` times as many at most. Every labelled language has a
+sample, so that the model grows with the number of languages, not with the texts. The automata
+have at most twice as many states as the sample has characters; the moves by frequent letters
+stand in a table of at most ``TABLE_BYTES``, those by other letters in one sorted list.
+
+Odd cases: null texts and texts without a letter give ``und`` with score 0. Only letters that no
+sample holds share one class. With no labelled text at all every text is ``und``. A null doc_id
 is hashed as an empty string.
 """
 
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, small_batches
@@ -35,8 +39,9 @@ UNKNOWN = "und"
 BLOCK = 256
 PER_LANGUAGE = 24
 SAMPLE_CHARS = (200, 6000)
-MOST_LANGUAGES = 200
-_LETTER_CLASSES = 250
+SHORT_TEXTS = 20
+TABLE_BYTES = 1 << 28
+_TABLE_LETTERS = 250
 _RESULT = "lang_pred string, score double"
 
 
@@ -55,31 +60,37 @@ def sample_texts(
     sample_chars: tuple[int, int] = SAMPLE_CHARS,
 ) -> dict[str, list[str]]:
     """The bounded sample of each language, the same at every run."""
-    usable = labelled.where(
-        F.col(lang).isNotNull() & (F.col(lang) != "") & F.length(text).between(*sample_chars)
-    ).select(
+    least, most = sample_chars
+    size = F.length(text)
+    usable = labelled.where(F.col(lang).isNotNull() & (F.col(lang) != "") & (size > 0)).select(
         F.col(lang).alias("_lang"),
-        F.col(key).alias("_key"),
         F.xxhash64(F.col(key).cast("string"), F.octet_length(text)).alias("_h"),
+        F.least(size, F.lit(most)).alias("_n"),
+        (F.greatest(F.lit(least) - size, F.lit(0)) + F.greatest(size - F.lit(most), F.lit(0))).alias("_off"),
+    )
+    # each task passes on only its first rows of each language
+    first = Window.partitionBy("_lang").orderBy("_off", "_h")
+    ranked = usable.withColumn("_rank", F.row_number().over(first)).where(
+        F.col("_rank") <= per_language * SHORT_TEXTS
     )
-    bucket = F.pmod(F.xxhash64("_h"), F.lit(per_language)).alias("_bucket")
-    # per_language rows for each language, whatever the number of its texts
-    chosen = usable.groupBy("_lang", bucket).agg(F.min(F.struct("_h", "_key")).alias("m"))
-    found = chosen.select("_lang", "m._h", "m._key").orderBy("_lang", "_h").limit(MOST_LANGUAGES * per_language)
-    wanted = {(r[0], r[1]) for r in found.collect()}
-    if not wanted:
-        return {}
-    hashes = [h for _, h in wanted]
+    before = F.coalesce(F.sum("_n").over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    enough = (F.col("_rank") > per_language) & (before >= per_language * least)
+    chosen = ranked.withColumn("_enough", enough).where(~F.col("_enough")).select("_lang", "_h").distinct()
+    middle = F.substring(F.col(text), F.greatest(F.lit(1), F.floor((size - most) / 2).cast("int")), F.lit(most))
     rows = (
-        labelled.where(F.xxhash64(F.col(key).cast("string"), F.octet_length(text)).isin(hashes))
-        .groupBy(F.col(lang).alias("_lang"), F.xxhash64(F.col(key).cast("string"), F.octet_length(text)).alias("_h"))
-        .agg(F.min(text).alias("_text"))
+        labelled.select(
+            F.col(lang).alias("_lang"),
+            F.xxhash64(F.col(key).cast("string"), F.octet_length(text)).alias("_h"),
+            F.when(size > most, middle).otherwise(F.col(text)).alias("_text"),
+        )
+        .join(chosen, ["_lang", "_h"])
+        .groupBy("_lang", "_h")
+        .agg(F.min("_text").alias("_text"))
         .collect()
     )
     out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["_lang"] or "", r["_h"])):
-        if (r["_lang"], r["_h"]) in wanted:
-            out.setdefault(r["_lang"], []).append(r["_text"])
+    for r in sorted(rows, key=lambda r: (r["_lang"], r["_h"])):
+        out.setdefault(r["_lang"], []).append(r["_text"])
     return out
 
 
@@ -125,26 +136,33 @@ class CrossParser:
                 for ch in t:
                     counts[ch] = counts.get(ch, 0) + 1
         counts.pop(" ", None)
-        letters = sorted(counts, key=lambda ch: (-counts[ch], ch))[:_LETTER_CLASSES]
+        letters = sorted(counts, key=lambda ch: (-counts[ch], ch))
         # class 0: space, 1..: letters of the samples, the last: all other letters
         self.other = len(letters) + 1
         number = {ch: i + 1 for i, ch in enumerate(letters)}
         number[" "] = 0
         self.classes = self._class_table(number)
-        tables, sizes, self.roots = [], [], []
-        base = 0
+        moves, sizes, self.roots = [], [], []
+        states = 0
         for name in self.names:
             codes = [number.get(ch, self.other) for ch in " ".join(plain[name])]
-            table = self._table(suffix_automaton(codes), base)
-            tables.append(table)
-            self.roots.append(base)
+            moves.append(suffix_automaton(codes))
+            self.roots.append(states)
             sizes.append(max(2, len(codes)))
-            base += len(table)
-        self.table = np.concatenate(tables) if tables else np.zeros((0, 1), np.int32)
+            states += len(moves[-1])
+        # frequent letters have a column each, the last column ends every phrase
+        self.wide = max(0, min(len(letters), _TABLE_LETTERS, TABLE_BYTES // (4 * max(states, 1)) - 2))
+        self.table = np.zeros((states, self.wide + 2), np.int32)
+        self.begin = np.zeros((len(self.names), self.other + 1), np.int32)
+        keys, values = [], []
+        for k, (own, base) in enumerate(zip(moves, self.roots)):
+            self._fill(k, own, base, keys, values)
+        order = np.argsort(np.array(keys, np.int64), kind="stable")
+        self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int32)[order]
         self.bits = np.log2(np.array(sizes, float)) if sizes else np.zeros(0)
 
     def _class_table(self, number: dict[str, int]) -> np.ndarray:
-        table = np.zeros(0x110000, np.int16)
+        table = np.zeros(0x110000, np.int32)
         for i in range(0x110000):
             ch = chr(i)
             if ch.isalpha():
@@ -152,16 +170,28 @@ class CrossParser:
                 table[i] = number.get(low if len(low) == 1 else low[0], self.other)
         return table
 
-    def _table(self, moves: list[dict[int, int]], base: int) -> np.ndarray:
+    def _fill(self, k: int, moves: list[dict[int, int]], base: int, keys: list[int], values: list[int]) -> None:
         """Next state; where a phrase ends, minus (the state after the next phrase's start) - 1."""
-        start = np.full(self.other + 1, -base - 1, np.int32)
+        start = self.begin[k]
+        start[:] = -base - 1
         for c, to in moves[0].items():
             start[c] = -(base + to) - 1
-        table = np.tile(start, (len(moves), 1))
+        part = self.table[base : base + len(moves)]
+        part[:, : self.wide + 1] = start[: self.wide + 1]
+        part[:, self.wide + 1] = -base - 1
         for state, row in enumerate(moves[1:], 1):
             for c, to in row.items():
-                table[state, c] = base + to
-        return table
+                if c <= self.wide:
+                    part[state, c] = base + to
+                else:
+                    keys.append((base + state) * (self.other + 1) + c)
+                    values.append(base + to)
+
+    def _rare(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """What the table would hold for letters without a column."""
+        key = state * np.int64(self.other + 1) + letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], self.begin[:, letter])
 
     def costs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bits per character of each text in each language, and whether it has a letter."""
@@ -194,14 +224,19 @@ class CrossParser:
         start, size, owner = start[order], size[order], owner[order]
         active = np.searchsorted(-size, -np.arange(BLOCK), "left")  # blocks longer than each place
         flat, width = self.table.ravel(), self.table.shape[1]
+        columns = np.minimum(codes, self.wide + 1)
+        rare = (codes > self.wide) & (codes < self.other) if len(self.keys) else None
         state = np.tile(np.array(self.roots, np.int32)[:, None], (1, len(start)))
         count = np.zeros((len(self.roots), len(start)), np.int32)
         for at in range(BLOCK):
             n = active[at]
             if not n:
                 break
-            ch = codes[start[:n] + at]
-            to = flat[state[:, :n] * np.int64(width) + ch]
+            place = start[:n] + at
+            to = flat[state[:, :n] * np.int64(width) + columns[place]]
+            some = np.flatnonzero(rare[place]) if rare is not None else ()
+            if len(some):
+                to[:, some] = self._rare(state[:, some], codes[place[some]])
             ended = to >> 31  # -1 where a phrase ended
             count[:, :n] -= ended
             state[:, :n] = to ^ ended
