@@ -206,10 +206,13 @@ def near_duplicates(
         ),
         "fingerprints",
     )
-    distinct = store(prints.groupBy("fp").agg(F.min("_doc").alias("id")), "distinct-fingerprints")
-    links = near_links(distinct, radius)
-    parts = connected_components(links, "a", "b").withColumnRenamed("node", "id")
-    named = distinct.join(parts, "id", "left").select("fp", F.coalesce("component", "id").alias("_to"))
+    distinct = store(prints.groupBy("fp").agg(F.min("_doc").alias("_least")), "distinct-fingerprints")
+    # fingerprints name themselves, since one doc_id may stand on several
+    links = near_links(distinct.select("fp", F.col("fp").alias("id")), radius)
+    parts = connected_components(links, "a", "b").withColumnRenamed("node", "fp")
+    named = distinct.join(parts, "fp", "left").withColumn("_part", F.coalesce("component", "fp"))
+    least = named.groupBy("_part").agg(F.min("_least").alias("_to"))
+    named = named.join(least, "_part").select("fp", "_to")
     real = [F.when(F.col(c) != F.lit(LEAST_LONG), F.col(c)) for c in ("_doc", "_to")]
     return prints.join(named, "fp").select(real[0].alias(key), "row", "fp", real[1].alias("component_id"))
 
