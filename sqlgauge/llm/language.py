@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches
+from .common import pieces, small_batches, store
 
 UNKNOWN = "und"
 BLOCK = 256
@@ -76,6 +76,8 @@ def sample_texts(
     before = F.coalesce(F.sum("_n").over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     enough = (F.col("_rank") > per_language) & (before >= per_language * least)
     chosen = ranked.withColumn("_enough", enough).where(~F.col("_enough")).select("_lang", "_h").distinct()
+    # stored, so that Spark knows how small it is and no text moves to meet it
+    chosen = store(chosen, "sample-keys")
     middle = F.substring(F.col(text), F.greatest(F.lit(1), F.floor((size - most) / 2).cast("int")), F.lit(most))
     rows = (
         labelled.select(
