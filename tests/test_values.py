@@ -428,3 +428,15 @@ def test_gram_index_meets_few_pairs(spark):
     values = stored.withColumn("stored", comparable(F.col("value")))
     met = fuzzy_candidates(asked, values)
     assert 50 <= met.count() < 50 * 2000 / 100
+
+
+def test_fuzzy_scores_are_worked_out_once(spark):
+    """A filter on the scores stays behind the shuffle: one Python step, not one on either side."""
+    rows = [(1, "shop", "Which small gears did France order?")]
+    questions = spark.createDataFrame(rows, "sql_idx long, db_id string, question string")
+    words = spark.createDataFrame([("small gear",), ("France",)], "p_name string")
+    stored = store_values(column_values({"shop": {"part": words}}))
+    found = fuzzy_pairs(questions, stored)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {r["match_text"] for r in found.collect()} == {"small gear", "France"}
