@@ -232,3 +232,24 @@ def test_shown_results(spark, executor):
     assert got[0].message == "[(11,), (10,)]" and got[1].message == """[("it's", None, 1.5, 'x')]"""
     assert got[2].message == "[]" and got[2].ok and not got[3].ok and "x" in got[3].message
     assert len(executor.check_all(drafts, None).where("sql_idx = 0").first().message.split("), (")) == 12
+
+
+def test_window_known_to_fail_is_not_run_again(spark):
+    """Once the first half has run, the second must hold the failure and is halved at once."""
+    from types import SimpleNamespace
+
+    from sqlgauge.operators.batch import Batches
+
+    tried, blamed = [], []
+
+    def guarded(work, timeout):
+        now = work()
+        tried.append(now)
+        return SimpleNamespace(ok=3 not in now, condition="BAD", error="bad")
+
+    batches = Batches(SimpleNamespace(spark=spark, timeout=1, parallelism=1, guarded=guarded), "statement long", "none")
+    batches._write = lambda outcome: outcome
+    window = [(i,) for i in range(4)]
+    assert not batches._halves(window, lambda w: [s[0] for s in w], lambda spark, *b: blamed.append(b[0]))
+    assert tried == [[0, 1, 2, 3], [0, 1], [2], [3]]
+    assert blamed == [3]
