@@ -8,10 +8,13 @@ that a text repeats counts as one token for each time, so this is the Jaccard in
    a token in common among their first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1. The index
    holds these prefixes only and misses no link. Any order is right; the tokens that most texts have
    come last, so that shared passages do not make long posting lists.
-2. Each list has a leader. In ``ROUNDS`` rounds with other leaders, a text is compared with the leader
+2. SimHash comes first (``simhash``): texts whose fingerprints of the same shingles differ in few bits
+   are paired by the inverted index of byte positions, and those pairs that are similar enough are one
+   component from then on. Fingerprints guarantee no similarity of 0.8, so the index above finds the rest.
+3. Each list has a leader. In ``ROUNDS`` rounds with other leaders, a text is compared with the leader
    that it meets in most lists; what a round links is one component, which is not compared
    again. Then all pairs of a list that are still in different components are compared.
-3. Pairs whose prefixes share too few tokens are dropped; every other pair is decided by its exact
+4. Pairs whose prefixes share too few tokens are dropped; every other pair is decided by its exact
    similarity, from tokens joined to it by Spark. Only texts of such pairs are tokenised again.
 
 Texts with equal tokens are one node, so groups of copies never form pairs. A node is a 64-bit hash
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import LEAST_LONG, mixed, pieces, release, small_batches, span_hashes, store
 from .components import connected_components
-from .simhash import shingle_spans
+from .simhash import fingerprint_column, near_links, shingle_spans
 
 SHINGLE_WORDS = 5
 LEAST = 0.8
@@ -194,6 +197,18 @@ def _all_left(named: DataFrame, least: float, close: Column) -> DataFrame:
     return shared.where(F.col("_shared") + rest >= _needed(F.col("n"), F.col("m"), least)).select("node", "b")
 
 
+def _by_fingerprint(own: DataFrame) -> DataFrame:
+    """(node, b): pairs of nodes that connect all those whose fingerprints are near.
+
+    The nodes of a fingerprint meet the smallest of them only, and that one those of near fingerprints.
+    """
+    worded = own.where("n > 0")
+    lead = store(worded.groupBy("fp").agg(F.min("node").alias("b")), "fingerprints")
+    same = worded.join(lead, "fp").where("node <> b").select("node", "b")
+    links = near_links(lead.select("fp", F.col("b").alias("id")))
+    return same.unionByName(links.select(F.col("a").alias("node"), "b"))
+
+
 def _components(docs: DataFrame, prints: DataFrame, own: DataFrame, size: int, least: float) -> DataFrame:
     """(node, component) of every linked node."""
     # prefixes of one text of each node; own has few columns, so texts and prefixes of copies do not move far
@@ -206,9 +221,12 @@ def _components(docs: DataFrame, prints: DataFrame, own: DataFrame, size: int, l
     links = store(lists.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"), "similar")
     parts = connected_components(links, "a", "b")
     close = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9
-    for k in range(ROUNDS + 1):
+    for k in range(-1, ROUNDS + 1):
         named = lists.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-        met = _led(named, k, close) if k < ROUNDS else _all_left(named, least, close)
+        if k < 0:
+            met = _by_fingerprint(own)
+        else:
+            met = _led(named, k, close) if k < ROUNDS else _all_left(named, least, close)
         met = met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         pairs = store(_likely(met, prefixes, least) if k < ROUNDS else met, "pairs")
         if not pairs.isEmpty():
@@ -239,9 +257,11 @@ def keep_one_of_each(
     row = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_row")
     slim = docs.select(ident, row, F.col(text).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(_common(slim, size))
-    entry = slim.select("_doc", "_row", _entry_column("_text", size, least, shared).alias("_e"))
-    prints = store(entry.select("_doc", "_row", "_e.*"), "shingle-prefixes")
-    first = prints.groupBy("node").agg(F.min(F.struct("_doc", "_row", "n")).alias("_at"))
+    entry = slim.select(
+        "_doc", "_row", _entry_column("_text", size, least, shared).alias("_e"), fingerprint_column("_text", size).alias("fp")
+    )
+    prints = store(entry.select("_doc", "_row", "_e.*", "fp"), "shingle-prefixes")
+    first = prints.groupBy("node").agg(F.min(F.struct("_doc", "_row", "n", "fp")).alias("_at"))
     own = store(first.select("node", "_at.*"), "nodes")
     release()
     named = own.join(_components(slim, prints, own, size, least), "node", "left")

@@ -159,6 +159,15 @@ def similarity(x, y, k=5):
     return sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
 
 
+def test_near_stage_pairs_texts_by_fingerprint(spark):
+    """SimHash names the first pairs; one of near prints that is not similar enough stays apart."""
+    fp = [0b1011, 0b1011, 0b1000, -1, 0]
+    rows = [(i + 10, 0, 0, int(i != 4), x) for i, x in enumerate(fp)]
+    own = spark.createDataFrame(rows, "node long, _doc long, _row long, n long, fp long")
+    pairs = {tuple(sorted((r["node"], r["b"]))) for r in near._by_fingerprint(own).collect()}
+    assert pairs == {(10, 11), (10, 12)}
+
+
 def test_near_stage_links_similarity_from_0_8(spark):
     r = random.Random(12)
     texts = odd_texts()
