@@ -23,7 +23,7 @@ from sqlgauge.functions.similarity import (
 )
 from sqlgauge.functions.wordlists import COMMON_WORDS, SPAN_SEPARATORS, STOP_WORDS
 from sqlgauge.operators.joins import measured_bytes, spread_join
-from sqlgauge.operators.bm25 import _counted, build_index, candidates, score_all, top_values
+from sqlgauge.operators.bm25 import COLUMN_KEY, _counted, build_index, candidates, score_all, score_pairs, top_values
 from sqlgauge.operators.values import (
     bm25_scores,
     bm25_topk,
@@ -375,6 +375,34 @@ def test_no_text_is_shuffled(spark):
     assert exchanges and not any("value#" in line for line in exchanges)
 
 
+def test_postings_stay_where_they_are(spark):
+    """Words are counted without a shuffle, and few pairs meet the postings by a broadcast."""
+    values, qs = corpus_and_questions(spark, 200)
+    stored = materialise(values, "values")
+    words = materialise(qs.select("db_id", F.explode(F.split("question", " ")).alias("token")).distinct(), "w")
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    index = build_index(qs, values)
+    pairs = score_all(index).select("sql_idx", *COLUMN_KEY, "place")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counted, scored = plan_of(_counted(stored, words)), plan_of(score_pairs(index, pairs))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange hashpartitioning" not in counted
+    assert "SortMergeJoin" not in scored and "ShuffledHashJoin" not in scored
+
+
+def test_words_are_counted_whole(spark):
+    texts = ["a a b", " a", "b ", "  ", "ü a\tb", "x" * 9, "a b a b a"]
+    rows = [("db", "t", "c", i + 1, v) for i, v in enumerate(texts)]
+    stored = spark.createDataFrame(rows, "db_id string, table_name string, column_name string, place long, value string")
+    words = materialise(spark.createDataFrame([("db", w) for w in ["a", "b", "", "ü"]], "db_id string, token string"), "w")
+    got = {(r.place, r.length, r.token, r.tf) for r in _counted(stored, words).collect()}
+    want = {(i + 1, len(v.split(" ")), w, v.split(" ").count(w)) for i, v in enumerate(texts) for w in v.split(" ")}
+    assert got == {x for x in want if x[2] in {"a", "b", "", "ü"}}
+
+
 def test_shortest_run_holds_for_every_match():
     rng = random.Random(6)
     for theta in (0.85, 0.7, 1.0):
