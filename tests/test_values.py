@@ -26,6 +26,7 @@ from sqlgauge.operators.joins import measured_bytes, spread_join
 from sqlgauge.operators.bm25 import COLUMN_KEY, _counted, build_index, candidates, score_all, score_pairs, top_values
 from sqlgauge.operators.values import (
     bm25_scores,
+    bm25_texts,
     bm25_topk,
     column_values,
     first_values,
@@ -375,22 +376,30 @@ def test_no_text_is_shuffled(spark):
     assert exchanges and not any("value#" in line for line in exchanges)
 
 
-def test_postings_stay_where_they_are(spark):
-    """Words are counted without a shuffle, and few pairs meet the postings by a broadcast."""
+def test_few_pairs_leave_postings_in_place(spark):
+    """Pairs that are small enough to be broadcast are, and the postings do not move to meet them."""
     values, qs = corpus_and_questions(spark, 200)
-    stored = materialise(values, "values")
-    words = materialise(qs.select("db_id", F.explode(F.split("question", " ")).alias("token")).distinct(), "w")
-    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
     index = build_index(qs, values)
     pairs = score_all(index).select("sql_idx", *COLUMN_KEY, "place")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        counted, scored = plan_of(_counted(stored, words)), plan_of(score_pairs(index, pairs))
+        plan = score_pairs(index, pairs)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert "Exchange hashpartitioning" not in counted
-    assert "SortMergeJoin" not in scored and "ShuffledHashJoin" not in scored
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_scored_pairs_are_not_shuffled(spark):
+    """The words of a question are summed up where they are; scores and texts are those of the salted join."""
+    values, qs = corpus_and_questions(spark, 200)
+    index = build_index(qs, values)
+    plan = score_all(index)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "BY_NUM" not in line]
+    assert not any("place#" in line for line in moved), moved
+    got = {(r.sql_idx, r.value, r.score) for r in bm25_texts(qs, values).collect()}
+    want = {(r.sql_idx, r.value, r.score) for r in with_text(bm25_scores(qs, values), values).collect()}
+    assert got == want and len(got) > 200
 
 
 def test_words_are_counted_whole(spark):
