@@ -7,7 +7,9 @@ that a text repeats counts as one token for each time, so this is the Jaccard in
 1. With the tokens of all texts in one order, two sets of n and m tokens that are this similar have
    a token in common among their first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1. The index
    holds these prefixes only and misses no link. Any order is right; the tokens that most texts have
-   come last, so that shared passages do not make long posting lists.
+   come last, so that shared passages do not make long posting lists. How many texts have a token is
+   read off a table of ``BUCKETS`` counters, filled by all tokens of all texts: tokens that share a counter count
+   together. Each task fills its own table and tables are summed, so tokens are never shuffled.
 2. SimHash comes first (``simhash``): texts whose fingerprints of the same shingles differ in few bits
    are paired by the inverted index of byte positions, and those pairs that are similar enough are one
    component from then on. Fingerprints guarantee no similarity of 0.8, so the index above finds the rest.
@@ -15,7 +17,8 @@ that a text repeats counts as one token for each time, so this is the Jaccard in
    that it meets in most lists; what a round links is one component, which is not compared
    again. Then all pairs of a list that are still in different components are compared.
 4. Pairs whose prefixes share too few tokens are dropped; every other pair is decided by its exact
-   similarity, from tokens joined to it by Spark. Only texts of such pairs are tokenised again.
+   similarity, from tokens joined to it by Spark. Only texts of such pairs are tokenised again; a
+   table of ``MARKS`` bits lets the others go before the shuffle of that join.
 
 Texts with equal tokens are one node, so groups of copies never form pairs. A node is a 64-bit hash
 of the tokens and not a doc_id: rows that repeat a doc_id with different texts are different nodes.
@@ -36,13 +39,15 @@ from pyspark.sql import functions as F
 
 from .common import LEAST_LONG, mixed, pieces, release, small_batches, span_hashes, store
 from .components import connected_components
-from .simhash import fingerprint_column, near_links, shingle_spans
+from .simhash import fingerprints, near_links, shingle_spans
 
 SHINGLE_WORDS = 5
 LEAST = 0.8
 ROUNDS = 4
 RANGES = 4
-COMMON = 200_000  # tokens that come last in the order
+BUCKETS = 1 << 20  # counters of tokens
+WIDE = 64  # counters in a row of the summed table
+MARKS = 1 << 24  # bits that tell which texts may be asked for
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -81,8 +86,12 @@ def token_column(text: str, size: int) -> Column:
     return make(F.col(text))
 
 
-def _entry(texts: pa.Array, size: int, least: float, common: np.ndarray) -> pa.Array:
-    """Node, number of tokens and prefix of each text; ``common`` has sorted tokens with their ranks."""
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _entry(texts: pa.Array, size: int, least: float, counts: np.ndarray) -> pa.Array:
+    """Node, number of tokens, prefix and fingerprint of each text; ``counts`` has the counter of each bucket."""
     h, row = tokens(texts, size)
     bounds = _bounds(row, len(texts))
     n = np.diff(bounds)
@@ -90,40 +99,76 @@ def _entry(texts: pa.Array, size: int, least: float, common: np.ndarray) -> pa.A
     some = np.flatnonzero(n)
     if len(some):
         node[some] = mixed(node[some] + np.add.reduceat(mixed(h + _STEP), bounds[some]))
-    rank = np.zeros(len(h), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common["token"], h), len(common) - 1)
-        rank = np.where(common["token"][at] == h, common["rank"][at], 0)
-    h = h[np.lexsort((h, rank, row))]
+    h = h[np.lexsort((h, counts[_bucket(h)], row))]
     first = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
     kept = np.arange(len(h)) - bounds[row] < first[row]
     prefix = _lists(h[kept], np.concatenate([[0], np.cumsum(first)]))
-    return pa.StructArray.from_arrays([pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), prefix], ["node", "n", "prefix"])
+    prints = pa.array(fingerprints(texts, size).view(np.int64))
+    columns = [pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), prefix, prints]
+    return pa.StructArray.from_arrays(columns, ["node", "n", "prefix", "fp"])
 
 
 def _entry_column(text: str, size: int, least: float, shared) -> Column:
-    @F.arrow_udf("node long, n long, prefix array<long>")
+    @F.arrow_udf("node long, n long, prefix array<long>, fp long")
     def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        common = shared.value
+        counts = shared.value
         for batch in batches:
-            parts = [_entry(p, size, least, common) for p in pieces(batch)]
-            yield pa.concat_arrays(parts) if parts else _entry(batch, size, least, common)
+            parts = [_entry(p, size, least, counts) for p in pieces(batch, 1 << 20)]
+            yield pa.concat_arrays(parts) if parts else _entry(batch, size, least, counts)
 
     return make(F.col(text))
 
 
-def _common(docs: DataFrame, size: int) -> np.ndarray:
-    """The tokens that most texts have, sorted, with the number of texts as rank.
+def _summed(docs: DataFrame, size: int) -> DataFrame:
+    """(block, c0, c1, ...): ``WIDE`` counters of tokens in a row, over all texts."""
+    names = [f"c{i}" for i in range(WIDE)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for part in pieces(batch["_text"], 1 << 20):
+                np.add.at(seen, _bucket(tokens(part, size)[0]), 1)
+        seen = seen.reshape(-1, WIDE)
+        block = np.flatnonzero(seen.any(1))
+        for at in range(0, len(block), 1024):
+            part = block[at : at + 1024]
+            columns = [pa.array(part), *(pa.array(x) for x in np.ascontiguousarray(seen[part].T))]
+            yield pa.RecordBatch.from_arrays(columns, ["block", *names])
+
+    each = docs.select("_text").mapInArrow(count, ", ".join(f"{c} long" for c in ["block", *names]))
+    return each.groupBy("block").agg(*(F.sum(c).alias(c) for c in names))
+
+
+def _counts(docs: DataFrame, size: int) -> np.ndarray:
+    """How many texts have the tokens of each bucket.
 
-    Counted over all texts. Which tokens are in this list of bounded length decides about the length
-    of posting lists only, never about a link.
+    The counters decide about the length of posting lists only, never about a link.
     """
-    seen = docs.select(F.explode(token_column("_text", size)).alias("token")).groupBy("token").count()
-    rows = seen.where("count > 2").orderBy(F.desc("count"), "token").limit(COMMON).collect()
+    found = _summed(docs, size).toArrow()
     release()
-    kind = np.dtype([("token", np.uint64), ("rank", np.int64)])
-    found = np.array([(r["token"] % 2**64, r["count"]) for r in rows], kind)
-    return np.sort(found, order="token")
+    counts = np.zeros((BUCKETS // WIDE, WIDE), np.int64)
+    counts[found["block"].to_numpy()] = np.stack([found[f"c{i}"].to_numpy() for i in range(WIDE)], 1)
+    return counts.ravel()
+
+
+def _possible(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in ``wanted`` (by ``_doc`` and ``_row``), and few others.
+
+    The table of bits has one size for any input; each wanted row sets one of them.
+    """
+    bit = F.pmod(F.xxhash64("_doc", "_row"), F.lit(MARKS))
+    flag = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    words = wanted.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(flag).alias("bits")).toArrow()
+    table = np.zeros(MARKS // 64, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def marked(bits: pa.Array) -> pa.Array:
+        at = bits.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at // 64] >> (at % 64)) & 1 == 1)
+
+    return docs.where(marked(bit))
 
 
 def _needed(n: Column, m: Column, least: float) -> Column:
@@ -232,7 +277,7 @@ def _components(docs: DataFrame, prints: DataFrame, own: DataFrame, size: int, l
         if not pairs.isEmpty():
             ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
             wanted = store(own.join(ends, "node").select("node", "_doc", "_row"), "wanted")
-            texts = docs.join(wanted, ["_doc", "_row"]).dropDuplicates(["node"])
+            texts = _possible(docs, wanted).join(wanted, ["_doc", "_row"]).dropDuplicates(["node"])
             held = store(texts.select("node", token_column("_text", size).alias("tokens")), "tokens")
             release()
             before, links = links, store(links.unionByName(_similar(pairs, held, least)), "similar")
@@ -256,11 +301,9 @@ def keep_one_of_each(
     ident = F.coalesce(F.col(key).cast("long"), F.lit(LEAST_LONG)).alias("_doc")
     row = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_row")
     slim = docs.select(ident, row, F.col(text).alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(_common(slim, size))
-    entry = slim.select(
-        "_doc", "_row", _entry_column("_text", size, least, shared).alias("_e"), fingerprint_column("_text", size).alias("fp")
-    )
-    prints = store(entry.select("_doc", "_row", "_e.*", "fp"), "shingle-prefixes")
+    shared = docs.sparkSession.sparkContext.broadcast(_counts(slim, size))
+    entry = slim.select("_doc", "_row", _entry_column("_text", size, least, shared).alias("_e"))
+    prints = store(entry.select("_doc", "_row", "_e.*"), "shingle-prefixes")
     first = prints.groupBy("node").agg(F.min(F.struct("_doc", "_row", "n", "fp")).alias("_at"))
     own = store(first.select("node", "_at.*"), "nodes")
     release()

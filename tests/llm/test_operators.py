@@ -168,6 +168,30 @@ def test_near_stage_pairs_texts_by_fingerprint(spark):
     assert pairs == {(10, 11), (10, 12)}
 
 
+def test_near_stage_counts_tokens_without_shuffling_them(spark):
+    """All tokens of all texts are counted, but what is shuffled does not grow with them."""
+    shared = " ".join(f"s{i}" for i in range(9))
+    texts = [None, "", "one two"] + [f"{shared} " + " ".join(f"w{k}x{i}" for i in range(2000)) for k in range(60)]
+    docs = spark.createDataFrame([(t,) for t in texts], "_text string").repartition(2)
+    counts = near._counts(docs, 5)
+    h, row = near.tokens(pa.array(texts), 5)
+    assert (counts == np.bincount(near._bucket(h), minlength=near.BUCKETS)).all()
+    common = near.tokens(pa.array([shared]), 5)[0]
+    assert counts[near._bucket(common)].min() >= 60 > np.median(counts[near._bucket(h)])
+    blocks = near._summed(docs, 5)
+    assert blocks.count() <= near.BUCKETS // near.WIDE < len(h) / 2
+    assert "Generate" not in blocks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_stage_moves_only_texts_that_are_asked_for(spark):
+    rows = [(i, i * 7919, f"text {i}") for i in range(5000)] + [(near.LEAST_LONG, 3, None), (7, 55, "other text of 7")]
+    docs = spark.createDataFrame(rows, "_doc long, _row long, _text string")
+    ask = [rows[i][:2] for i in (0, 7, 4999, 5000)]
+    kept = {(r["_doc"], r["_row"]) for r in near._possible(docs, spark.createDataFrame(ask, "_doc long, _row long")).collect()}
+    assert set(ask) <= kept and len(kept) < 20
+    assert near._possible(docs, docs.where("false")).count() == 0
+
+
 def test_near_stage_links_similarity_from_0_8(spark):
     r = random.Random(12)
     texts = odd_texts()
