@@ -13,10 +13,15 @@ that a text repeats counts as one token for each time, so this is the Jaccard in
 2. SimHash comes first (``simhash``): texts whose fingerprints of the same shingles differ in few bits
    are paired by the inverted index of byte positions, and those pairs that are similar enough are one
    component from then on. Fingerprints guarantee no similarity of 0.8, so the index above finds the rest.
-3. Each list has a leader. In ``ROUNDS`` rounds with other leaders, a text is compared with the leader
-   that it meets in most lists; what a round links is one component, which is not compared
-   again. Then all pairs of a list that are still in different components are compared.
-4. Pairs whose prefixes share too few tokens are dropped; every other pair is decided by its exact
+3. A text has a sketch of 64 * ``SKETCH`` bits, each the parity of its tokens there. Sketches differ in no more bits
+   than the texts differ in tokens, and similar texts have enough tokens from their first shared one on. Nodes of
+   a list become a pair only if both bounds allow 0.8 (``_odds``), so many texts that are a bit
+   less similar than that, as are copies of one text with many edits, do not form all their pairs.
+4. Each list has a leader. In ``ROUNDS`` rounds with other leaders, a text is compared with the leader
+   of best odds; what a round links is one component, which is not compared
+   again. Then all pairs that may be similar and are still in different components are listed; the best
+   of each node are compared first, then those that these have not connected.
+5. Pairs whose prefixes share too few tokens are dropped; every other pair is decided by its exact
    similarity, from tokens joined to it by Spark. Only texts of such pairs are tokenised again; a
    table of ``MARKS`` bits lets the others go before the shuffle of that join.
 
@@ -43,12 +48,14 @@ from .simhash import fingerprints, near_links, shingle_spans
 
 SHINGLE_WORDS = 5
 LEAST = 0.8
-ROUNDS = 4
+ROUNDS = 3
 RANGES = 4
 BUCKETS = 1 << 20  # counters of tokens
 WIDE = 64  # counters in a row of the summed table
 MARKS = 1 << 24  # bits that tell which texts may be asked for
+SKETCH = 8  # longs in the sketch of a set of tokens
 _STEP = np.uint64(0x9FB21C651E98DF25)
+_WORDS = [f"w{i}" for i in range(SKETCH)]
 
 
 def tokens(texts: pa.Array, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -90,9 +97,22 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def _sketch(h: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
+    """64 * ``SKETCH`` bits of each text: whether an odd number of its tokens falls on the bit.
+
+    Each token that only one of two texts has changes one bit, so sketches differ in as many bits at most.
+    """
+    width = 64 * SKETCH
+    odd = np.bincount(row * width + (h >> np.uint64(32)).astype(np.int64) % width, minlength=n * width) & 1
+    words = np.packbits(odd.astype(np.uint8).reshape(n, width), axis=1, bitorder="little")
+    words = np.ascontiguousarray(words).view(np.int64).reshape(n, SKETCH)
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)) for x in words.T], _WORDS)
+
+
 def _entry(texts: pa.Array, size: int, least: float, counts: np.ndarray) -> pa.Array:
-    """Node, number of tokens, prefix and fingerprint of each text; ``counts`` has the counter of each bucket."""
+    """Node, number of tokens, prefix, fingerprint and sketch of each text; ``counts`` has the counter of each bucket."""
     h, row = tokens(texts, size)
+    sketch = _sketch(h, row, len(texts))
     bounds = _bounds(row, len(texts))
     n = np.diff(bounds)
     node = mixed(n.astype(np.uint64))
@@ -104,12 +124,14 @@ def _entry(texts: pa.Array, size: int, least: float, counts: np.ndarray) -> pa.A
     kept = np.arange(len(h)) - bounds[row] < first[row]
     prefix = _lists(h[kept], np.concatenate([[0], np.cumsum(first)]))
     prints = pa.array(fingerprints(texts, size).view(np.int64))
-    columns = [pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), prefix, prints]
-    return pa.StructArray.from_arrays(columns, ["node", "n", "prefix", "fp"])
+    columns = [pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), prefix, prints, sketch]
+    return pa.StructArray.from_arrays(columns, ["node", "n", "prefix", "fp", "sketch"])
 
 
 def _entry_column(text: str, size: int, least: float, shared) -> Column:
-    @F.arrow_udf("node long, n long, prefix array<long>, fp long")
+    sketch = ", ".join(f"{w}: long" for w in _WORDS)
+
+    @F.arrow_udf(f"node long, n long, prefix array<long>, fp long, sketch struct<{sketch}>")
     def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counts = shared.value
         for batch in batches:
@@ -177,7 +199,9 @@ def _needed(n: Column, m: Column, least: float) -> Column:
 
 
 def _likely(pairs: DataFrame, prefixes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose prefixes share enough tokens; no similar pair is missed.
+    """(a, b, odds) of the pairs whose prefixes share enough tokens; no similar pair is missed.
+
+    ``odds`` is the most that they can share over what they must share.
 
     Of two prefixes one ends first in the order of the tokens. A shared token up to that end is in both
     prefixes; all others are among the rest of the text whose prefix ends first.
@@ -187,7 +211,8 @@ def _likely(pairs: DataFrame, prefixes: DataFrame, least: float) -> DataFrame:
     met = pairs.join(left, "a").join(right, "b")
     rest = F.greatest(F.col("_n") - F.size("_x"), F.col("_m") - F.size("_y"))
     shared = F.size(F.array_intersect("_x", "_y"))
-    return met.where(shared + rest >= _needed(F.col("_n"), F.col("_m"), least)).select("a", "b")
+    odds = (shared + rest) / _needed(F.col("_n"), F.col("_m"), least)
+    return met.select("a", "b", odds.alias("odds")).where("odds >= 1")
 
 
 def _similar(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
@@ -200,46 +225,52 @@ def _similar(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
 
 
 def _posting_lists(prefixes: DataFrame) -> DataFrame:
-    """(key, node, n) of every key that several nodes have.
+    """(key, node, n, pos, sketch) of every key that several nodes have; ``pos`` is its place in the prefix, from 0.
 
     Keys are taken a range at a time, so that only one range of the index lies on disk.
     """
     found = []
     for k in range(RANGES):
-        index = prefixes.select("node", "n", F.explode("prefix").alias("key")).where(F.pmod(F.shiftright("key", 8), F.lit(RANGES)) == k)
+        index = prefixes.select("node", "n", F.posexplode("prefix").alias("pos", "key")).where(F.pmod(F.shiftright("key", 8), F.lit(RANGES)) == k)
         ends = index.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a < _b")
         met = index.join(ends.select("key"), "key", "left_semi")
-        found.append(store(met.select("key", "node", "n").distinct(), "posting-lists"))
+        met = met.select("key", "node", "n", "pos").distinct()
+        found.append(store(met.join(prefixes.select("node", "sketch"), "node"), "posting-lists"))
         release()
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def _led(named: DataFrame, k: int, close: Column) -> DataFrame:
-    """(node, b): for each node the leader that it meets in most lists, of those in other components."""
+def _odds(least: float) -> Column:
+    """The most tokens that two nodes share, if they meet at their first shared token, over what similar ones must share.
+
+    They share this token and later ones of both. Those that only one of them has are as many at least as the bits that
+    differ in their sketches. Similar nodes have 1 or more where they meet first; the pairs of
+    a list that have less need not be made.
+    """
+    later = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
+    differ = functools.reduce(Column.__add__, [F.bit_count(F.col("sketch")[w].bitwiseXOR(F.col("_sketch")[w])) for w in _WORDS])
+    return F.least(later, (F.col("n") + F.col("m") - differ) / 2) / _needed(F.col("n"), F.col("m"), least)
+
+
+def _led(named: DataFrame, k: int, least: float) -> DataFrame:
+    """(node, b): for each node the leader with the best odds, of those in other components."""
     open_ = named.groupBy("key").agg(
         F.min("c").alias("_low"),
         F.max("c").alias("_high"),
-        F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(k))).alias("_lead"),
+        F.min_by(F.struct("node", "n", "c", "pos", "sketch"), F.xxhash64("node", F.lit(k))).alias("_lead"),
     ).where("_low < _high")
-    lead = F.col("_lead")
-    other = open_.select("key", lead["node"].alias("b"), lead["n"].alias("m"), lead["c"].alias("d"))
-    met = named.join(other, "key").where("c <> d").where(close).groupBy("node", "b").count()
-    return met.groupBy("node").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-
+    names = {"b": "node", "m": "n", "d": "c", "at": "pos", "_sketch": "sketch"}
+    other = open_.select("key", *(F.col("_lead")[c].alias(x) for x, c in names.items()))
+    met = named.join(other, "key").where("c <> d").where(_odds(least) >= 1)
+    return met.groupBy("node").agg(F.max_by("b", F.struct(_odds(least), "b")).alias("b"))
 
-def _all_left(named: DataFrame, least: float, close: Column) -> DataFrame:
-    """(node, b): all pairs in different components whose prefixes share enough tokens.
 
-    Two such nodes share no list that is not open, so the lists that they meet in are all the
-    tokens that their prefixes share.
-    """
+def _all_left(named: DataFrame, least: float) -> DataFrame:
+    """(node, b): all pairs in different components that may be similar enough, once for each list where they meet so."""
     open_ = named.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high")
     mine = named.join(open_.select("key"), "key", "left_semi")
-    met = mine.join(mine.selectExpr("key", "node AS b", "n AS m", "c AS d"), "key").where("c < d").where(close)
-    shared = met.groupBy("node", "n", "b", "m").agg(F.count(F.lit(1)).alias("_shared"))
-    after = lambda n: F.ceil(F.lit(least) * n - 1e-9) - 1
-    rest = F.greatest(after(F.col("n")), after(F.col("m")))
-    return shared.where(F.col("_shared") + rest >= _needed(F.col("n"), F.col("m"), least)).select("node", "b")
+    other = mine.selectExpr("key", "node AS b", "n AS m", "c AS d", "pos AS at", "sketch AS _sketch")
+    return mine.join(other, "key").where("c < d").where(_odds(least) >= 1).select("node", "b")
 
 
 def _by_fingerprint(own: DataFrame) -> DataFrame:
@@ -254,36 +285,65 @@ def _by_fingerprint(own: DataFrame) -> DataFrame:
     return same.unionByName(links.select(F.col("a").alias("node"), "b"))
 
 
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes are in different components."""
+    left = parts.select(F.col("node").alias("a"), F.col("component").alias("_c"))
+    right = parts.select(F.col("node").alias("b"), F.col("component").alias("_d"))
+    met = pairs.join(left, "a", "left").join(right, "b", "left")
+    return met.where(F.coalesce("_c", "a") != F.coalesce("_d", "b")).select(*pairs.columns)
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """(a, b): the pair of each node with the best odds."""
+    ends = pairs.withColumn("node", F.explode(F.array("a", "b")))
+    best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("odds", "a", "b")).alias("_at"))
+    return best.select("_at.*").distinct()
+
+
 def _components(docs: DataFrame, prints: DataFrame, own: DataFrame, size: int, least: float) -> DataFrame:
     """(node, component) of every linked node."""
     # prefixes of one text of each node; own has few columns, so texts and prefixes of copies do not move far
     prefixes = store(
-        prints.join(own.select("_doc", "_row"), ["_doc", "_row"], "left_semi").dropDuplicates(["node"]).select("node", "n", "prefix"),
+        prints.join(own.select("_doc", "_row"), ["_doc", "_row"], "left_semi").dropDuplicates(["node"]).select("node", "n", "prefix", "sketch"),
         "node-prefixes",
     )
     release(prints)
     lists = _posting_lists(prefixes)
     links = store(lists.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"), "similar")
     parts = connected_components(links, "a", "b")
-    close = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9
-    for k in range(-1, ROUNDS + 1):
-        named = lists.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-        if k < 0:
-            met = _by_fingerprint(own)
-        else:
-            met = _led(named, k, close) if k < ROUNDS else _all_left(named, least, close)
+
+    def decide(pairs: DataFrame) -> None:
+        """Adds the similar ones of the stored ``pairs`` to the links."""
+        nonlocal links, parts
+        if pairs.isEmpty():
+            return
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = store(own.join(ends, "node").select("node", "_doc", "_row"), "wanted")
+        texts = _possible(docs, wanted).join(wanted, ["_doc", "_row"]).dropDuplicates(["node"])
+        held = store(texts.select("node", token_column("_text", size).alias("tokens")), "tokens")
+        release()
+        before, links = links, store(links.unionByName(_similar(pairs, held, least)), "similar")
+        release(before, held, wanted)
+        parts = store(connected_components(links, "a", "b"), "components")
+
+    def likely(met: DataFrame) -> DataFrame:
         met = met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        pairs = store(_likely(met, prefixes, least) if k < ROUNDS else met, "pairs")
-        if not pairs.isEmpty():
-            ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            wanted = store(own.join(ends, "node").select("node", "_doc", "_row"), "wanted")
-            texts = _possible(docs, wanted).join(wanted, ["_doc", "_row"]).dropDuplicates(["node"])
-            held = store(texts.select("node", token_column("_text", size).alias("tokens")), "tokens")
-            release()
-            before, links = links, store(links.unionByName(_similar(pairs, held, least)), "similar")
-            release(before, held, wanted)
-            parts = store(connected_components(links, "a", "b"), "components")
+        return store(_likely(met, prefixes, least), "pairs")
+
+    for k in range(-1, ROUNDS + 1):
+        named = lists.join(parts, "node", "left").select(*lists.columns, F.coalesce("component", "node").alias("c"))
+        if k == ROUNDS:
+            break
+        pairs = likely(_by_fingerprint(own) if k < 0 else _led(named, k, least))
+        decide(pairs)
         release(pairs)
+    left = likely(_all_left(named, least))
+    best = store(_best(left), "best-pairs")
+    decide(best)
+    before, left = left, store(_apart(left.join(best, ["a", "b"], "left_anti"), parts), "pairs")
+    release(before, best)
+    decide(left)
+    release(left)
     return parts
 
 

@@ -213,6 +213,44 @@ def test_near_stage_links_similarity_from_0_8(spark):
     assert {(x["doc_id"], x["text"]) for x in near.keep_one_of_each(twice).collect()} >= {(5, texts[90]), (9, "alone")}
 
 
+def test_near_stage_does_not_pair_all_copies_with_many_edits(spark, monkeypatch):
+    """Copies of one text, most of them less similar than 0.8, stay few pairs, and all links are found."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(160):
+        w = list(base)
+        for at in r.sample(range(len(w)), r.randrange(3, 6)):
+            w[at] = f"v{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    like = {(a, b): similarity(texts[a], texts[b]) for a in range(len(texts)) for b in range(a)}
+    want = components(len(texts), lambda a, b: like[a, b] >= 0.8 - 1e-12)
+    made, stored = [], near.store
+
+    def store(df, name):
+        found = stored(df, name)
+        made.append(found.count() if name.endswith("pairs") else 0)
+        return found
+
+    monkeypatch.setattr(near, "store", store)
+    kept = near.keep_one_of_each(frame(spark, texts))
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(want.values()))
+    assert 1 < len(set(want.values())) < len(texts)
+    assert sum(made) < len(like) / 8
+
+
+def test_near_stage_sketches_differ_in_no_more_bits_than_tokens(spark):
+    r = random.Random(6)
+    texts = [None, "", "a b", *(" ".join(r.choice("abcdefg") for _ in range(r.randrange(1, 900))) for _ in range(20))]
+    h, row = near.tokens(pa.array(texts), 5)
+    sets = [set(h[row == i].tolist()) for i in range(len(texts))]
+    sketches = [list(x.values()) for x in near._sketch(h, row, len(texts)).to_pylist()]
+    for x, a in zip(sketches, sets):
+        for y, b in zip(sketches, sets):
+            differ = sum(((v ^ w) % 2**64).bit_count() for v, w in zip(x, y))
+            assert differ <= len(a ^ b) and (differ - len(a ^ b)) % 2 == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_simhash_posting_lists_miss_no_link(spark, seed):
     r = random.Random(seed)
