@@ -17,9 +17,9 @@ that a text repeats counts as one token for each time, so this is the Jaccard in
    than the texts differ in tokens, and similar texts have enough tokens from their first shared one on. Nodes of
    a list become a pair only if both bounds allow 0.8 (``_odds``), so many texts that are a bit
    less similar than that, as are copies of one text with many edits, do not form all their pairs.
-4. Each list has a leader. In ``ROUNDS`` rounds with other leaders, a text is compared with the leader
-   of best odds; what a round links is one component, which is not compared
-   again. Then all pairs that may be similar and are still in different components are listed; the best
+4. Each list has ``LEADERS`` leaders. A text is compared with those of best odds in one round with the pairs of
+   fingerprints; what the round links is one component, which is not compared again. Then all
+   pairs that may be similar and are still in different components are listed; the best
    of each node are compared first, then those that these have not connected.
 5. Pairs whose prefixes share too few tokens are dropped; every other pair is decided by its exact
    similarity, from tokens joined to it by Spark. Only texts of such pairs are tokenised again; a
@@ -48,7 +48,7 @@ from .simhash import fingerprints, near_links, shingle_spans
 
 SHINGLE_WORDS = 5
 LEAST = 0.8
-ROUNDS = 3
+LEADERS = 3
 RANGES = 4
 BUCKETS = 1 << 20  # counters of tokens
 WIDE = 64  # counters in a row of the summed table
@@ -252,17 +252,14 @@ def _odds(least: float) -> Column:
     return F.least(later, (F.col("n") + F.col("m") - differ) / 2) / _needed(F.col("n"), F.col("m"), least)
 
 
-def _led(named: DataFrame, k: int, least: float) -> DataFrame:
-    """(node, b): for each node the leader with the best odds, of those in other components."""
-    open_ = named.groupBy("key").agg(
-        F.min("c").alias("_low"),
-        F.max("c").alias("_high"),
-        F.min_by(F.struct("node", "n", "c", "pos", "sketch"), F.xxhash64("node", F.lit(k))).alias("_lead"),
-    ).where("_low < _high")
-    names = {"b": "node", "m": "n", "d": "c", "at": "pos", "_sketch": "sketch"}
-    other = open_.select("key", *(F.col("_lead")[c].alias(x) for x, c in names.items()))
-    met = named.join(other, "key").where("c <> d").where(_odds(least) >= 1)
-    return met.groupBy("node").agg(F.max_by("b", F.struct(_odds(least), "b")).alias("b"))
+def _led(lists: DataFrame, least: float) -> DataFrame:
+    """(node, b): for each node the ``LEADERS`` leaders of lists with the best odds."""
+    lead = [F.min_by(F.struct("node", "n", "pos", "sketch"), F.xxhash64("node", F.lit(k))) for k in range(LEADERS)]
+    leads = lists.groupBy("key").agg(F.array(*lead).alias("_leads")).select("key", F.posexplode("_leads").alias("k", "_lead"))
+    names = {"b": "node", "m": "n", "at": "pos", "_sketch": "sketch"}
+    other = leads.select("key", "k", *(F.col("_lead")[c].alias(x) for x, c in names.items()))
+    met = lists.join(other, "key").where("node <> b").where(_odds(least) >= 1)
+    return met.groupBy("node", "k").agg(F.max_by("b", F.struct(_odds(least), "b")).alias("b")).select("node", "b")
 
 
 def _all_left(named: DataFrame, least: float) -> DataFrame:
@@ -310,7 +307,7 @@ def _components(docs: DataFrame, prints: DataFrame, own: DataFrame, size: int, l
     release(prints)
     lists = _posting_lists(prefixes)
     links = store(lists.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"), "similar")
-    parts = connected_components(links, "a", "b")
+    parts = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     def decide(pairs: DataFrame) -> None:
         """Adds the similar ones of the stored ``pairs`` to the links."""
@@ -330,13 +327,10 @@ def _components(docs: DataFrame, prints: DataFrame, own: DataFrame, size: int, l
         met = met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         return store(_likely(met, prefixes, least), "pairs")
 
-    for k in range(-1, ROUNDS + 1):
-        named = lists.join(parts, "node", "left").select(*lists.columns, F.coalesce("component", "node").alias("c"))
-        if k == ROUNDS:
-            break
-        pairs = likely(_by_fingerprint(own) if k < 0 else _led(named, k, least))
-        decide(pairs)
-        release(pairs)
+    pairs = likely(_by_fingerprint(own).unionByName(_led(lists, least)))
+    decide(pairs)
+    release(pairs)
+    named = lists.join(parts, "node", "left").select(*lists.columns, F.coalesce("component", "node").alias("c"))
     left = likely(_all_left(named, least))
     best = store(_best(left), "best-pairs")
     decide(best)
