@@ -7,6 +7,7 @@ timing runs statements one after the other.
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -28,13 +29,16 @@ from sqlgauge.functions.dialect import (
 )
 from sqlgauge.operators import batch
 from sqlgauge.operators.scoring import result_match
-from sqlgauge.session import shared_folder
+from sqlgauge.session import delete_on_exit, file_bytes, shared_folder, task_count
 
 Loader = Callable[[SparkSession], DataFrame]
+Lookups = tuple[tuple[str, str], ...]  # (table, column) by which rows are looked up
 TIMEOUT_SECONDS = 30.0
 PREVIEW_ROWS = 10
 VES_ITERATIONS = 100
 _FLUSH_ROWS = 2000
+_COPY_BYTES = 1 << 20  # of a table's files, for each file of a copy
+_MOST_FILES = 2048
 
 
 def parquet_tables(folder: str, names: Iterable[str]) -> dict[str, Loader]:
@@ -70,9 +74,15 @@ class Executor:
         self.databases = databases
         self.timeout = timeout
         self.parallelism = parallelism
+        self._lock = threading.Lock()
         self._session = lru_cache(maxsize=None)(self._open)
 
-    def _open(self, db_id: str) -> tuple[SparkSession, set[str], set[str]]:
+    def opened(self, db_id: str, by: Lookups = ()) -> tuple[SparkSession, set[str], set[str]]:
+        """Session of a database, its names and integer columns; tables in ``by`` are copies of :meth:`_copied`."""
+        with self._lock:
+            return self._session(db_id, by)
+
+    def _open(self, db_id: str, by: Lookups) -> tuple[SparkSession, set[str], set[str]]:
         if db_id not in self.databases:
             raise KeyError(f"unknown database: {db_id}")
         session = self.spark.newSession()
@@ -87,7 +97,11 @@ class Executor:
         floats: set[str] = set()
         for table, load in self.databases[db_id].items():
             df = load(session)
-            df.createOrReplaceTempView(table)
+            column = dict(by).get(table)
+            if column:
+                self._copied(df, table, column)
+            else:
+                df.createOrReplaceTempView(table)
             names.add(table.lower())
             for f in df.schema.fields:
                 names.add(f.name.lower())
@@ -95,10 +109,29 @@ class Executor:
                 (integers if whole else floats).add(f.name.lower())
         return session, names, integers - floats
 
-    def query(self, db_id: str, sql: str) -> DataFrame:
+    def tables(self, db_id: str) -> dict[str, DataFrame]:
+        session = self.opened(db_id)[0]
+        return {table: session.table(table) for table in self.databases[db_id]}
+
+    @staticmethod
+    def _copied(df: DataFrame, table: str, column: str) -> None:
+        """A view of a copy in the shared folder that is dealt into files by ``column``.
+
+        A statement that compares the column with a number reads one of the files: Spark sees to that.
+        """
+        session, name = df.sparkSession, f"sqlgauge_{uuid.uuid4().hex}"
+        path = f"{shared_folder(session)}/by-column-{uuid.uuid4().hex}"
+        n = min(_MOST_FILES, max(task_count(session), -(-file_bytes(df) // _COPY_BYTES)))
+        dealt = df.repartition(n, column).write.bucketBy(n, column).sortBy(column)
+        dealt.option("path", path).saveAsTable(name, format="parquet")
+        delete_on_exit(session, path)
+        session.table(name).createOrReplaceTempView(table)
+        session.sql(f"DROP TABLE {name}")  # the name; files stay, and so does the view
+
+    def query(self, db_id: str, sql: str, by: Lookups = ()) -> DataFrame:
         """Analysed DataFrame of one statement, with SQLite's leniency about
         select lists that name ungrouped columns."""
-        session, names, integers = self._session(db_id)
+        session, names, integers = self.opened(db_id, by)
         text = to_spark_sql(sql, names, integers)
         while True:  # each round wraps one more column
             try:
