@@ -3,7 +3,9 @@
 import difflib
 import functools
 import math
+import pickle
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -507,3 +509,70 @@ def test_heavy_logs_get_tasks_of_bounded_size(spark, tmp_path):
     scan = spark.read.parquet(path)
     assert widen(scan, 100_000).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
     assert widen(scan, 1 << 40).rdd.getNumPartitions() == widen(scan).rdd.getNumPartitions()
+
+
+def odd_text(rng, alphabet, least, most):
+    return "".join(rng.choice(alphabet) for _ in range(rng.randint(least, most)))
+
+
+def test_matcher_equals_pairwise_matches():
+    """Values found by stretches, by candidates and as a whole, in turns; runs that cross words and separators."""
+    from sqlgauge.functions.similarity import Matcher, _rung
+
+    rng = random.Random(31)
+    n_found = 0
+    for alphabet in ["abc ", "ab (' ", "abcde  .", "aB'?s ", "aé b", "ab , c"] * 8:
+        theta = rng.choice([0.85, 0.7, 1.0])
+        values = {i * 3: v for i in range(40) for v in [odd_text(rng, alphabet, 1, 14)] if v.strip()}
+        values |= {1: "x" * 190 + " y of it all", 2: "a" * 210, 4: "ab'ab ab", 5: "AB A"}
+        grams, words = {}, {}
+        for i, v in values.items():
+            text = v.strip().lower()
+            run = _rung(shortest_run(len(text), theta))
+            for p in range(len(text) - run + 1) if run and i % 7 else ():
+                grams.setdefault(text[p : p + run], []).append(i)
+            for word in re.findall(r"[^'\"()`,.?! ]+", text) if i % 7 == 0 else ():
+                words.setdefault(word, []).append(i)
+        matcher = pickle.loads(pickle.dumps(Matcher(values, {"db": grams}, {"db": words}, theta)))
+        some = list(values.values())
+        for _ in range(25):
+            parts = [rng.choice([rng.choice(some), rng.choice(some) + "'s", rng.choice(some)[:-1], rng.choice(some).upper(), odd_text(rng, alphabet, 1, 9)])
+                     for _ in range(rng.randint(1, 5))]
+            q = odd_text(rng, alphabet, 0, 8) + " ".join(parts) + odd_text(rng, alphabet, 0, 4)
+            matcher._by_words = rng.random() < 0.8
+            got = sorted(matcher.matches("db", q, q.strip().lower()))
+            want = {(i, *m) for i, v in values.items() for m in [match_value(q, v, theta)] if m}
+            asked = set(re.findall(r"[^'\"()`,.?! ]+", q.strip().lower()))
+            met = {w for w in want if w[0] % 7 or asked & set(re.findall(r"[^'\"()`,.?! ]+", values[w[0]].strip().lower()))}
+            assert got == sorted(met), q
+            n_found += len(met)
+        assert matcher.matches("other", "ab ab", "ab ab") == []
+    assert n_found > 1000
+
+
+def test_questions_are_compared_where_they_lie(spark):
+    """One row per question goes to Python, and no pairs are shuffled."""
+    questions = spark.createDataFrame([(i, "shop", f"Which small gears did France order {i} times?") for i in range(50)],
+                                      "sql_idx long, db_id string, question string")
+    words = spark.createDataFrame([("small gear",), ("France",), ("large gear",), ("gears",)], "label string")
+    stored = store_values(column_values({"shop": {"part": words}}))
+    found = fuzzy_pairs(questions, stored)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Exchange hashpartitioning" not in plan
+    assert {(r["value"], r["match_text"]) for r in found.collect()} == {("small gear", "small gear"), ("France", "France"), ("gears", "gears")}
+
+
+@pytest.mark.parametrize("rows", [25, 0])
+def test_large_indexes_lose_grams_or_are_joined(spark, monkeypatch, rows):
+    """An index of too many rows keeps the grams of the questions; one that is still too long is not sent to the tasks."""
+    from sqlgauge.operators import values as vl
+
+    texts = ["small gear", "France", "large gears", "nobody asks this", "GEARS", "BIG ONE"]
+    questions = [(i, "shop", q) for i, q in enumerate(["Which small gears did France order?", "large gear of the big one", None])]
+    qs = spark.createDataFrame(questions, "sql_idx long, db_id string, question string")
+    stored = store_values(column_values({"shop": {"part": spark.createDataFrame([(t,) for t in texts], "label string")}}))
+    want = sorted(map(tuple, fuzzy_pairs(qs, stored).collect()))
+    monkeypatch.setattr(vl, "INDEX_ROWS", rows)
+    found = fuzzy_pairs(qs, stored)
+    assert sorted(map(tuple, found.collect())) == want and len(want) >= 4
+    assert ("Exchange hashpartitioning" in found._jdf.queryExecution().executedPlan().toString()) == (rows == 0)
